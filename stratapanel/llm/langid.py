@@ -28,7 +28,7 @@ BLOCK_CHARS = 1_000_000
 #: An odd 64-bit constant: multiplying by it permutes the n-grams.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Share of the calibration texts that may exceed the rejection threshold, and nats that are added to it.
-REJECT_SHARE, REJECT_SLACK = 0.002, 0.5
+REJECT_SHARE, REJECT_SLACK = 0.002, 1.0
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []

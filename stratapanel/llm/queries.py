@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import bpe, langid, mixing
-from stratapanel.llm.common import crc_remainder, materialised, table
+from stratapanel.llm import bpe, fingerprint, langid, mixing, ngram_join, vectors, warc
+from stratapanel.llm.common import crc_remainder, materialised, scratch_path, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,20 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), path)
+    return warc.read(spark, path).where("gap_end is null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_remainder(F.col("doc_id"), 5) == 0
@@ -25,6 +39,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer() -> tuple[str, str]:
     """Path of the rank file and pre-token pattern of the public tokenizers on this machine."""
     import public_tokenizers

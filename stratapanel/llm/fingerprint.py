@@ -2,14 +2,17 @@
 
 With H[i] = sum of c[j] * B**j for j < i (mod a prime), the hash of any span is (H[e] - H[s]) * B**-s: one
 subtraction and one product answer whether two spans are equal, and binary search over them finds the longest
-common extension of two places. A fingerprint holds the length, the whole text's hash under two primes, and the
-smallest hashes of all spans of ``SPAN`` code points, whose overlap estimates how much two texts share.
+common extension of two places. A fingerprint holds the length, the whole text's hash under two primes, the hashes
+of its prefixes of ``STEPS`` code points, and the smallest hashes of all spans of ``SPAN`` code points. Of two
+fingerprints, binary search over the prefixes finds how far the texts agree from their start, and the overlap of
+the smallest hashes estimates how much they share anywhere.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ from stratapanel.llm.common import blocks, materialised, short_batches
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 #: Code points of a span; span hashes kept; code points handled together.
 SPAN, KEPT, BLOCK_CHARS = 12, 64, 1_000_000
+#: Lengths of the prefixes that a fingerprint holds: each about 1.4 times the one before.
+STEPS = np.unique((2.0 ** np.arange(0, 40, 0.5)).astype(np.int64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,29 +104,62 @@ def sketches(prefixes: Prefixes) -> list[np.ndarray]:
     return out
 
 
-def fingerprints(texts: list[str]) -> tuple[list[str], list[np.ndarray], Prefixes]:
-    """Fingerprint, sketch and prefix hashes of each text."""
+@dataclass
+class Fingerprint:
+    n: int
+    whole: str
+    prefixes: np.ndarray
+    spans: np.ndarray
+
+    def __str__(self) -> str:
+        return "-".join((f"{self.n:x}", self.whole, *(x.astype(">u4").tobytes().hex() for x in (self.prefixes, self.spans))))
+
+    @classmethod
+    def parse(cls, said: str) -> Fingerprint:
+        n, whole, prefixes, spans = said.split("-")
+        return cls(int(n, 16), whole, *(np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint32) for x in (prefixes, spans)))
+
+
+def fingerprints(texts: list[str]) -> tuple[list[Fingerprint], Prefixes]:
+    """The fingerprint of each text, and the prefix hashes they come from."""
     first, second = Prefixes(texts, 0), Prefixes(texts, 1)
     ends = first.starts + first.lengths
     whole, again = first.span(first.starts, ends), second.span(first.starts, ends)
-    kept = sketches(first)
-    said = [f"{n:x}-{h:08x}{g:08x}-{s.astype('>u4').tobytes().hex()}" for n, h, g, s in zip(first.lengths, whole, again, kept, strict=True)]
-    return said, kept, first
-
-
-def sketch_of(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint.rpartition("-")[2]), ">u4").astype(np.uint32)
+    steps = np.searchsorted(STEPS, first.lengths, side="right")
+    stops = np.cumsum(steps)
+    place = np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - steps, steps)
+    start = np.repeat(first.starts, steps)
+    held = first.span(start, start + STEPS[place]).astype(np.uint32)
+    made = zip(first.lengths.tolist(), whole.tolist(), again.tolist(), stops - steps, stops, sketches(first), strict=True)
+    return [Fingerprint(n, f"{h:08x}{g:08x}", held[a:b], spans) for n, h, g, a, b, spans in made], first
+
+
+def agreed_prefix(a: Fingerprint, b: Fingerprint) -> int:
+    """The longest held prefix that is equal in both, by binary search; the whole length if the texts are equal."""
+    if (a.n, a.whole) == (b.n, b.whole):
+        return a.n
+    low, high = 0, min(len(a.prefixes), len(b.prefixes))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if a.prefixes[middle - 1] == b.prefixes[middle - 1] else (low, middle - 1)
+    return int(STEPS[low - 1]) if low else 0
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of common spans of two sketches: of the smallest hashes of both, those that both have."""
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Estimated Jaccard similarity of two span sets: of the smallest hashes of both, the share that both have."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both = np.sort(np.concatenate([a, b]))
-    first = np.r_[True, both[1:] != both[:-1]]
-    least, twice = np.flatnonzero(first)[:KEPT], ~first
-    end = least[-1] + 1 if least[-1] + 1 == len(both) or first[least[-1] + 1] else least[-1] + 2
-    return float(twice[:end].sum() / len(least))
+    fresh = np.r_[True, both[1:] != both[:-1]]
+    least = np.flatnonzero(fresh)[: KEPT + 1]
+    end = least[KEPT] if len(least) > KEPT else len(both)
+    return float((~fresh[:end]).sum() / min(len(least), KEPT))
+
+
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """0 to 1: the larger of the spans' overlap and the agreed prefix's share of the longer text; 1 if both are empty."""
+    longer = max(a.n, b.n)
+    return max(overlap(a.spans, b.spans), agreed_prefix(a, b) / longer) if longer else 1.0
 
 
 def _chained(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
@@ -162,7 +200,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_prefix). The next
     document is that with the next smaller id, after the last the first; of rows with one id that with the smaller
-    hash of its text comes first, and a null id is last. A null text is an empty one; two empty sketches have
+    hash of its text comes first, and a null id is last. A null text is an empty one; two empty texts have
     likeness 1. Ids are integers. Other columns are ignored; an empty table gives an empty result.
     ``common_prefix`` is the longest common extension of the text and its edit from their starts. Working memory
     is about 50 bytes a code point of the longest text.
@@ -192,16 +230,16 @@ def _block(rows: list[tuple[int, int | None, bool, str]]) -> pa.RecordBatch:
     """Results of the rows that have their successor in the block."""
     own = [i for i in range(len(rows) - 1) if rows[i][2]]
     texts = [r[3] for r in rows]
-    said, kept, prefixes = fingerprints(texts)
+    made, prefixes = fingerprints(texts)
     changed = [edited(texts[i], texts[i + 1]) for i in own]
-    said_2, kept_2, prefixes_2 = fingerprints(changed)
+    made_2, prefixes_2 = fingerprints(changed)
     at = np.array(own, np.int64)
     n = prefixes.lengths[at] if own else np.zeros(0, np.int64)
     shared = common_extension(prefixes, prefixes.starts[at], prefixes_2, prefixes_2.starts, np.minimum(n, prefixes_2.lengths)) if own else n
-    near = [likeness(kept[i], kept_2[k]) for k, i in enumerate(own)]
-    following = [likeness(kept[i], kept[i + 1]) for i in own]
+    near = [likeness(made[i], made_2[k]) for k, i in enumerate(own)]
+    following = [likeness(made[i], made[i + 1]) for i in own]
     digests = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed]
     return pa.RecordBatch.from_arrays(
-        [pa.array([rows[i][1] for i in own], pa.int64()), pa.array(n), pa.array(digests, pa.string()), pa.array([said[i] for i in own], pa.string()), pa.array(said_2, pa.string()), pa.array(near, pa.float64()), pa.array(following, pa.float64()), pa.array(shared, pa.int64())],
+        [pa.array([rows[i][1] for i in own], pa.int64()), pa.array(n), pa.array(digests, pa.string()), pa.array([str(made[i]) for i in own], pa.string()), pa.array(list(map(str, made_2)), pa.string()), pa.array(near, pa.float64()), pa.array(following, pa.float64()), pa.array(shared, pa.int64())],
         ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"],
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import bpe, fingerprint, langid, mixing, ngram_join, vectors, warc
+from stratapanel.llm import bpe, fingerprint, langid, mixing, ngram_join, pii, secrets, toxicity, vectors, warc
 from stratapanel.llm.common import crc_remainder, materialised, scratch_path, table
 
 
@@ -26,6 +26,30 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the digest are of the base spans; ``spans`` holds these and the ones that the trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.said(F.col("base")), 256).alias("base_sha256"), pii.said(F.col("spans")).alias("spans"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the number of secrets, start:end of each (code points, end exclusive) and the highest score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find(docs, secrets.fit(docs))
+    spans = F.array_join(F.transform("secrets", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return found.select("doc_id", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"), F.coalesce(F.array_max(F.transform("secrets", lambda s: s["score"])), F.lit(0.0)).alias("score"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 4) != 2)
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_matches")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), path)

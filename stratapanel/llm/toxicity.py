@@ -1,13 +1,16 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lower-cases, maps homoglyphs and accented letters to plain ones and undoes digit substitutions. The lexicon
-is learned from labelled documents: terms are taken greedily while they explain toxic documents that no term before
-explains, weighted by log odds. Exception phrases are blanked before matching. The weight found, and its rate by
+Folding lower-cases, maps homoglyphs to plain letters and undoes digit substitutions; whole words of plain letters
+are also found under accents, which other languages need as they are. The lexicon
+is learned from labelled documents: words and word stems (``stem*``) are taken greedily while they explain toxic
+documents that few terms before explain, weighted by log odds. Exception phrases are blanked before matching. The weight found, and its rate by
 length, become a probability through a logistic curve fitted on the same labelled documents.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -22,18 +25,23 @@ from stratapanel.llm.common import short_batches
 
 #: Labelled documents that are learned from at most; lexicon terms at most.
 FIT_DOCS, TERMS = 40_000, 400
-#: A term needs so many toxic documents that no earlier term explains, and so small a rate among the others.
-LEAST_DOCS, MOST_RATE = 4, 0.02
+#: A toxic document asks for so many terms; a term must serve so many that ask, and be so many times as frequent as elsewhere.
+ASKED, LEAST_DOCS, LEAST_RATIO = 3, 4, 5.0
+#: Letters of a stem.
+STEMS = range(3, 9)
 # Look-alike letters of other scripts, and digits and signs that stand for letters.
-HOMOGLYPHS = dict(zip("аеорсухіјѕԁһқтмнвкαεορτυνικβκλ", "aeopcyxijsdhktmhbkaeoptuvikbkl", strict=True)) | {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "ł": "l", "đ": "d", "ı": "i"}
+HOMOGLYPHS = dict(zip("аеорсухіјѕԁһқтмнвкαεορτυνικβκλ", "aeopcyxijsdhktmhbkaeoptuvikbkl", strict=True)) | {"ı": "i", "ł": "l", "đ": "d"}
 DIGITS = dict(zip("013457@$!|", "oieastasil", strict=True))
+#: One or two such signs before a letter stand for letters; signs that end a word don't.
+_SIGNS = re.compile(r"(?<![013457@$!|])[013457@$!|]{1,2}(?=[^\W\d_])")
 #: Harmless phrases with words that may be in a lexicon.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "clown fish", "rodeo clown", "pond scum", "sore loser clause")
 
 
-def fold_table() -> dict[int, str]:
-    table = {ord(a): b for a, b in (HOMOGLYPHS | DIGITS).items()}
-    for code in (*range(0xC0, 0x250), *range(0xFF01, 0xFF5F)):
+def fold_table(accents: bool) -> dict[int, str]:
+    """Look-alikes and full-width letters; with ``accents``, accented Latin letters too."""
+    table = {ord(a): b for a, b in HOMOGLYPHS.items()}
+    for code in (*(range(0xC0, 0x250) if accents else ()), *range(0xFF01, 0xFF5F)):
         plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c)).lower()
         if plain.isascii() and plain.isalpha():
             table.setdefault(code, plain)
@@ -42,11 +50,14 @@ def fold_table() -> dict[int, str]:
     return table
 
 
-_FOLD = fold_table()
+_FOLD, _PLAIN = fold_table(False), fold_table(True)
 
 
 def fold(text: str) -> str:
-    return text.lower().translate(_FOLD)
+    text = text.lower()
+    if not text.isascii():
+        text = text.translate(_FOLD)
+    return _SIGNS.sub(lambda m: "".join(DIGITS[c] for c in m[0]), text)
 
 
 def words(folded: str) -> list[str]:
@@ -70,8 +81,11 @@ class Lexicon:
             import ahocorasick
 
             made = ahocorasick.Automaton()
+            by_text = defaultdict(list)
             for term, weight in self.weights.items():
-                made.add_word(term, (term, weight))
+                by_text[term.removesuffix("*")].append((term, weight))
+            for text, terms in by_text.items():
+                made.add_word(text, (text, terms))
             for phrase in self.exceptions:
                 made.add_word(phrase, (phrase, None))
             made.make_automaton()
@@ -82,23 +96,32 @@ class Lexicon:
         return self.__dict__ | {"_matcher": None}
 
     def matches(self, text: str) -> list[tuple[int, str, float]]:
-        """(place in the folded text, term, weight) of whole-word terms outside exception phrases."""
+        """(place in the folded text, term, weight) of words and of words' stems outside exception phrases."""
         if not self.weights:
             return []
         folded = fold(text)
-        found, blanks = [], []
-        for end, (term, weight) in self.matcher().iter(folded):
-            start = end - len(term) + 1
-            if (start and folded[start - 1].isalpha()) or (end + 1 < len(folded) and folded[end + 1].isalpha()):
-                continue
-            if weight is None:
-                blanks.append((start, end))
-            else:
-                found.append((start, term, weight))
+        found, blanks = self._found(folded, stems=True)
+        if not folded.isascii() and len(plain := folded.translate(_PLAIN)) == len(folded):
+            more, also = self._found(plain, stems=False)
+            found, blanks = sorted({*found, *more}), blanks + also
         if blanks:
             found = [x for x in found if not any(a <= x[0] <= b for a, b in blanks)]
         return found
 
+    def _found(self, folded: str, stems: bool) -> tuple[list[tuple[int, str, float]], list[tuple[int, int]]]:
+        found, blanks = [], []
+        for end, (text, terms) in self.matcher().iter(folded):
+            start = end - len(text) + 1
+            if start and folded[start - 1].isalpha():
+                continue
+            whole = end + 1 == len(folded) or not folded[end + 1].isalpha()
+            if terms is None:
+                if whole:
+                    blanks.append((start, end))
+                continue
+            found += [(start, term, weight) for term, weight in terms if (stems and term.endswith("*")) or (whole and not term.endswith("*"))]
+        return found, blanks
+
     def measures(self, text: str | None) -> tuple[float, float, int]:
         """The logarithms of the total weight and of the weight a hundred words, and the number of matches."""
         text = text or ""
@@ -124,28 +147,46 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30)
     return beta
 
 
+def terms_of(has: set[str]) -> set[str]:
+    """A document's words and their stems."""
+    return has | {f"{w[:k]}*" for w in has for k in STEMS if len(w) >= k}
+
+
+def copy_key(has: set[str]) -> int:
+    """The smallest word hash: alike for most near copies, which so count once."""
+    return min((int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest()) for w in has), default=0)
+
+
 def choose_terms(toxic: list[set[str]], others: Counter, n_others: int) -> dict[str, float]:
-    """Terms that explain the toxic documents, taken greedily, with their log odds."""
+    """Terms that explain the toxic documents (sets of terms), taken greedily, with their log odds."""
     everywhere: Counter = Counter()
     for has in toxic:
         everywhere.update(has)
-    within = defaultdict(set)
+    ratio = lambda w: (everywhere[w] / len(toxic)) / ((others[w] + 0.5) / (n_others + 1))
+    good = {w for w, k in everywhere.items() if k >= LEAST_DOCS and len(w) >= 3 and ratio(w) >= LEAST_RATIO}
+    worth = {w: float(np.log(ratio(w))) for w in good}
+    serves = defaultdict(set)
     for i, has in enumerate(toxic):
-        for word in has:
-            if len(word) >= 3 and everywhere[word] >= LEAST_DOCS and others[word] <= MOST_RATE * n_others * min(1.0, everywhere[word] / len(toxic)) + 0.5:
-                within[word].add(i)
+        for word in has & good:
+            serves[word].add(i)
+    asks = [ASKED] * len(toxic)
     weights: dict[str, float] = {}
-    while within and len(weights) < TERMS:
-        word = min(within, key=lambda w: (-len(within[w]), w))
-        new = within.pop(word)
+    while serves and len(weights) < TERMS:
+        word = min(serves, key=lambda w: (-len(serves[w]) * worth[w], -len(w), w))
+        new = serves.pop(word)
         if len(new) < LEAST_DOCS:
             break
-        odds = np.log((everywhere[word] + 0.5) / (len(toxic) - everywhere[word] + 0.5)) - np.log((others[word] + 0.5) / (n_others - others[word] + 0.5))
-        if odds > 1:
-            weights[word] = float(odds)
-            for rest in within.values():
-                rest -= new
-    return weights
+        text = word.removesuffix("*")
+        if any(t.endswith("*") and text.startswith(t[:-1]) or text.startswith(t) or word.endswith("*") and t.startswith(text) for t in weights):
+            continue
+        weights[word] = float(np.log((everywhere[word] + 0.5) / (len(toxic) - everywhere[word] + 0.5)) - np.log((others[word] + 0.5) / (n_others - others[word] + 0.5)))
+        for i in new:
+            asks[i] -= 1
+        done = {i for i in new if not asks[i]}
+        if done:
+            for rest in serves.values():
+                rest -= done
+    return {w: max(x, 0.5) for w, x in weights.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_docs: int = FIT_DOCS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
@@ -160,33 +201,31 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_docs: int = FIT_D
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
     chosen = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(F.broadcast(known), "doc_id").select("toxic", "text")
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = Counter(), 0
+    def toxic_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                has = set(words(fold(text.as_py().decode("utf-8", "replace"))))
-                if toxic:
-                    yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(has))]), pa.array([None], pa.string()), pa.array([1], pa.int64())], ["toxic", "word", "n"])
-                else:
-                    n += 1
-                    counts.update(has)
-                    if len(counts) > 500_000:
-                        yield _counted(counts)
-                        counts = Counter()
-        counts[""] = n
-        yield _counted(counts)
+            rows = [set(words(fold(x.as_py().decode("utf-8", "replace")))) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array([copy_key(r) >> 1 for r in rows], pa.int64()), pa.array([" ".join(sorted(r)) for r in rows], pa.string())], ["key", "words"])
 
-    table = chosen.mapInArrow(terms, "toxic string, word string, n bigint")
-    found = table.groupBy("toxic", "word").agg(F.sum("n").alias("n"))
-    toxic_rows = found.where("toxic is not null").select("toxic", "n").toPandas()
-    toxic = [set(t.split()) for t, n in zip(toxic_rows["toxic"], toxic_rows["n"], strict=True) for _ in range(n)]
+    one = chosen.where("toxic > 0").mapInArrow(toxic_words, "key bigint, words string").groupBy("key").agg(F.min("words").alias("words"))
+    toxic = [terms_of(set(t.split())) for t in one.select("words").toPandas()["words"]]
     if not toxic:
         return Lexicon({}, exceptions)
     seen = Counter()
     for has in toxic:
         seen.update(has)
-    asked = spark.createDataFrame([(w,) for w, k in seen.items() if k >= LEAST_DOCS] + [("",)], "word string")
-    others = Counter(dict(found.where("toxic is null").join(F.broadcast(asked), "word").select("word", "n").toPandas().itertuples(index=False)))
+    asked = spark.sparkContext.broadcast(frozenset(w for w, k in seen.items() if k >= LEAST_DOCS))
+
+    def other_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, n = Counter(), 0
+        for batch in batches:
+            for text in batch.column(1):
+                counts.update(terms_of(set(words(fold(text.as_py().decode("utf-8", "replace"))))) & asked.value)
+                n += 1
+        counts[""] = n
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    table = chosen.where("toxic = 0").mapInArrow(other_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    others = Counter(dict(zip(table["word"], table["n"].astype(int), strict=True)))
     lexicon = Lexicon(choose_terms(toxic, others, others[""]), exceptions)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,10 +240,6 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_docs: int = FIT_D
     return lexicon
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(len(counts), pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["toxic", "word", "n"])
-
-
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, n_matches) of every whole text; null and empty texts get the score of a text without matches.
 

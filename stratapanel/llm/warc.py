@@ -12,7 +12,8 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs
@@ -76,9 +77,12 @@ class Record:
 
 
 @dataclass
-class Salvaged:
-    records: list[Record] = field(default_factory=list)
-    gaps: list[tuple[int, int, str]] = field(default_factory=list)
+class Gap:
+    """Bytes that were quarantined, and why."""
+
+    start: int
+    end: int
+    reason: str
 
 
 def _parsed(data: bytes, start: int = 0) -> tuple[Record, int]:
@@ -115,23 +119,27 @@ def _parsed(data: bytes, start: int = 0) -> tuple[Record, int]:
 
 
 def _unpacked(data: bytes, at: int) -> tuple[bytes, int]:
-    unpacker = zlib.decompressobj(31)
-    try:
-        out = unpacker.decompress(memoryview(data)[at:])
-    except zlib.error:
-        raise ValueError("gzip member is damaged") from None
-    if not unpacker.eof:
-        raise ValueError("gzip member is cut off")
-    return out, len(data) - len(unpacker.unused_data)
+    """The gzip member at ``at`` and its end; fed in pieces, so the bytes after it are not copied."""
+    unpacker, out = zlib.decompressobj(31), []
+    while not unpacker.eof:
+        if at >= len(data):
+            raise ValueError("gzip member is cut off")
+        piece = data[at : at + 65536]
+        try:
+            out.append(unpacker.decompress(piece))
+        except zlib.error:
+            raise ValueError("gzip member is damaged") from None
+        at += len(piece)
+    return b"".join(out), at - len(unpacker.unused_data)
 
 
-def salvage(data: bytes) -> Salvaged:
-    """All records that pass the checks, in order, and the (start, end, reason) of the bytes between them.
+def scan(data: bytes) -> Iterator[Record | Gap]:
+    """The records that pass all checks and the gaps between them, in order.
 
-    Handles archives of gzip members and plain ones, also in turn. An empty archive has no record and no gap. A
-    member that unpacks but holds a damaged record is a gap as a whole.
+    Handles archives of gzip members and plain ones, also in turn. An empty archive has neither. A member that
+    unpacks but holds a damaged record is a gap as a whole.
     """
-    out, at, bad = Salvaged(), 0, None
+    at, bad = 0, None
     while at < len(data):
         try:
             if data.startswith(_MAGIC, at):
@@ -150,13 +158,12 @@ def salvage(data: bytes) -> Salvaged:
             at = min([x for x in (packed, plain.start() if plain else -1) if x >= 0], default=len(data))
             continue
         if bad:
-            out.gaps.append((bad[0], at, bad[1]))
+            yield Gap(bad[0], at, bad[1])
             bad = None
-        out.records += found
+        yield from found
         at = end
     if bad:
-        out.gaps.append((bad[0], len(data), bad[1]))
-    return out
+        yield Gap(bad[0], len(data), bad[1])
 
 
 def with_revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -231,19 +238,28 @@ def _page(value: str | None) -> int | None:
 def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """A row for each record of the archives below ``path``, and one for each gap (``gap_end`` is not null).
 
-    ``payloads`` adds the bytes of response records. Archives are read whole, so they should be of bounded size.
+    ``payloads`` adds the bytes of response records. Spark lists the archives; a task reads one at a time, whole, so
+    archives should be of bounded size.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path")
+
+    def row(name: str, found: Record | Gap) -> dict:
+        if isinstance(found, Gap):
+            return {"archive": name, "start": found.start, "gap_end": found.end, "gap_reason": found.reason}
+        header = found.headers.get
+        return {
+            "archive": name, "start": found.start, "page_id": _page(header("warc-record-id")), "record_type": header("warc-type"), "url": header("warc-target-uri"),
+            "payload_digest": header("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": found.payload_bytes, "refers_to": _page(header("warc-refers-to")), "payload": found.payload if payloads else None,
+        }
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                name, found = batch.column(0)[i].as_py(), salvage(batch.column(1)[i].as_py())
-                rows = [
-                    {"archive": name, "start": r.start, "page_id": _page(r.headers.get("warc-record-id")), "record_type": r.headers.get("warc-type"), "url": r.headers.get("warc-target-uri"), "payload_digest": r.headers.get("warc-payload-digest", "").removeprefix("sha1:"), "payload_bytes": r.payload_bytes, "refers_to": _page(r.headers.get("warc-refers-to")), "payload": r.payload if payloads else None}
-                    for r in found.records
-                ] + [{"archive": name, "start": a, "gap_end": b, "gap_reason": why} for a, b, why in found.gaps]
-                yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
+            for name in batch.column(0).to_pylist():
+                source, place = _files(name)
+                with source.open_input_stream(place) as stream:
+                    events = scan(stream.read())
+                while rows := [row(name, x) for x in islice(events, 500)]:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_ROW)
 
     kinds = "archive string, start bigint, page_id bigint, record_type string, url string, payload_digest string, payload_bytes bigint, refers_to bigint, gap_end bigint, gap_reason string, payload binary"
     return files.mapInArrow(run, kinds)

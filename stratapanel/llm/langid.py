@@ -271,3 +271,21 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         F.when(known, best).alias("cross_entropy"),
         (~known | (best > F.lit(model.threshold))).alias("rejected"),
     )
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are not rejected, all columns unchanged; all rows if there is no model."""
+    if not model.langs:
+        return docs
+    spark = docs.sparkSession
+    short_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            ce, _, has = cross_entropies(model, batch.column(place).to_pylist())
+            yield batch.filter(pa.array(has & (ce.min(1) <= model.threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.llm.common import blocks, materialised, short_batches
@@ -234,6 +234,24 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").union(alone).withColumnRenamed("doc_id", id_col)
 
 
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one of each group of linked rows, that with the smallest id; columns unchanged.
+
+    Only the ids that go are joined. Of rows that share the id that stays, the one with the smallest hash of its
+    text stays. Rows with an empty set, or without an id, all stay.
+    """
+    found = materialised(similar_documents(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    go = found.where((F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
+    twins = found.where("n_shingles > 0").groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__id"))
+    kept = docs.join(go, F.col(id_col) == F.col("__id"), "left_anti")
+    if not twins.limit(1).count():
+        return kept
+    alike = kept.join(twins, F.col(id_col) == F.col("__id"), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    alike = alike.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    return kept.join(twins, F.col(id_col) == F.col("__id"), "left_anti").union(alike)
+
+
 def _links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that connect all linked nodes; not all links inside a component.
 

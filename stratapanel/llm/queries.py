@@ -30,7 +30,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The counts and the digest are of the base spans; ``spans`` holds these and the ones that the trees add."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.fit(docs))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{kind}") for k, kind in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.said(F.col("base")), 256).alias("base_sha256"), pii.said(F.col("spans")).alias("spans"))
 
 

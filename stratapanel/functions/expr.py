@@ -12,10 +12,21 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-9
-TIME = Window.partitionBy("ticker").orderBy("date")
-ALL = TIME.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-SO_FAR = TIME.rowsBetween(Window.unboundedPreceding, 0)
-DAY = Window.partitionBy("date")
+def by_ticker():
+    """A ticker's rows in time order. Windows need a session, so they are made when a plan is built."""
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def all_rows():
+    return by_ticker().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def so_far():
+    return by_ticker().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def by_day():
+    return Window.partitionBy("date")
 
 
 def col(x: str | Column) -> Column:
@@ -43,7 +54,7 @@ def clip(x: str | Column, low: float | None = None, high: float | None = None) -
 
 
 def rows(n: int):
-    return TIME.rowsBetween(1 - n, 0)
+    return by_ticker().rowsBetween(1 - n, 0)
 
 
 def roll(agg: Callable[[Column], Column], x: str | Column, n: int, least: int | None = None) -> Column:
@@ -68,11 +79,11 @@ def zscore(x, n: int, least: int | None = None, eps: float = EPS) -> Column:
 
 
 def lag(x: str | Column, n: int = 1) -> Column:
-    return F.lag(col(x), n).over(TIME)
+    return F.lag(col(x), n).over(by_ticker())
 
 
 def lead(x: str | Column, n: int = 1) -> Column:
-    return F.lead(col(x), n).over(TIME)
+    return F.lead(col(x), n).over(by_ticker())
 
 
 def diff(x: str | Column, n: int = 1) -> Column:
@@ -86,23 +97,14 @@ def change(x: str | Column, n: int) -> Column:
 
 def filled(x: str | Column) -> Column:
     """The last value that is not null, in time order."""
-    return F.last(col(x), ignorenulls=True).over(SO_FAR)
-
-
-def pct_rank(x: str | Column, by=DAY) -> Column:
-    """Average-tie rank divided by the number of values; NULL stays NULL."""
-    x = col(x)
-    ties = F.count(x).over(_also(by, x))
-    order = _ordered(by, x)
-    return F.when(x.isNotNull(), (F.rank().over(order) + (ties - 1) / 2.0) / F.count(x).over(by))
-
-
-def _also(by, x: Column):
-    return Window.partitionBy("date", x) if by is DAY else by.partitionBy("date", "sector", x)
+    return F.last(col(x), ignorenulls=True).over(so_far())
 
 
-def _ordered(by, x: Column):
-    return by.orderBy(x.asc_nulls_last())
+def pct_rank(x: str | Column, by: tuple[str, ...] = ("date",)) -> Column:
+    """Average-tie rank in its group divided by the number of values; NULL stays NULL."""
+    x, group = col(x), Window.partitionBy(*by)
+    ties = F.count(x).over(Window.partitionBy(*by, x))
+    return F.when(x.isNotNull(), (F.rank().over(group.orderBy(x.asc_nulls_last())) + (ties - 1) / 2.0) / F.count(x).over(group))
 
 
 def adjusted_skew(x: str | Column, n: int) -> Column:

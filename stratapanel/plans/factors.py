@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratapanel.functions.aliases import resolve
-from stratapanel.functions.expr import ALL, EPS, SO_FAR, TIME, adjusted_kurtosis, adjusted_skew, change, clip, diff, div, filled, lag, mean, median, nonzero, pct_rank, roll, rolling_corr, rows, std, zscore
+from stratapanel.functions.expr import all_rows, EPS, so_far, by_ticker, adjusted_kurtosis, adjusted_skew, change, clip, diff, div, filled, lag, mean, median, nonzero, pct_rank, roll, rolling_corr, rows, std, zscore
 from stratapanel.operators.asof import asof_join
 from stratapanel.operators.ewm import Ewm, add_ewm, span
 
@@ -140,7 +140,7 @@ factor("mr_bb_pos", "mean_reversion", lambda: div(c("close") - (c("_sma20") - 2
 factor("mr_bb_width", "mean_reversion", lambda: div(4 * c("_sd20"), c("_sma20") + EPS), "_sma20", "_sd20")
 factor("ma_cross_5_21", "mean_reversion", lambda: div(c("_sma5") - c("_sma21"), c("_sma21") + EPS), "_sma5", "_sma21")
 factor("ma_cross_21_63", "mean_reversion", lambda: div(c("_sma21") - c("_sma63"), c("_sma63") + EPS), "_sma21", "_sma63")
-part("_has_high", lambda: F.count("high").over(ALL))
+part("_has_high", lambda: F.count("high").over(all_rows()))
 part("_h", lambda: F.when(c("_has_high") == 0, c("close")).otherwise(c("high")), "_has_high")
 part("_l", lambda: F.when(c("_has_high") == 0, c("close")).otherwise(c("low")), "_has_high")
 part("_h252", lambda: roll(F.max, "_h", 252), "_h")
@@ -159,7 +159,7 @@ factor("amihud_63d", "volume", lambda: mean("_illiq", 63) * 1e6, "_illiq")
 factor("pv_corr_21d", "volume", lambda: rolling_corr("close", "volume", 21))
 factor("cmf_21d", "volume", lambda: div(roll(F.sum, "_mfv", 21), roll(F.sum, "volume", 21) + EPS), "_mfv")
 factor("mfi_14", "volume", lambda: 100 - div(F.lit(100.0), 1 + div(roll(F.sum, "_pos", 14), roll(F.sum, "_neg", 14) + EPS)), "_pos", "_neg")
-factor("ad_line", "volume", lambda: div(F.sum("_ad").over(SO_FAR), F.sum("volume").over(ALL) + EPS), "_ad")
+factor("ad_line", "volume", lambda: div(F.sum("_ad").over(so_far()), F.sum("volume").over(all_rows()) + EPS), "_ad")
 
 # ---- technical: volatility
 for _n in (21, 63):
@@ -353,9 +353,9 @@ def earnings_events(panel: DataFrame) -> DataFrame:
 
 def add_earnings(panel: DataFrame) -> DataFrame:
     ev = earnings_events(panel).withColumn("beat", F.when(c("s").isNotNull(), (c("s") > 0).cast("double"))).withColumn("size", F.abs("s")).withColumn("hit", F.coalesce(c("s") > 0, F.lit(False)))
-    ev = ev.withColumn("turn", F.coalesce(c("hit") != F.lag("hit").over(TIME), F.lit(True)).cast("int"))
-    ev = ev.withColumn("growth", div(diff("eps_actual"), F.greatest(F.abs(lag("eps_actual")), F.lit(0.01))) * 100).withColumn("run", F.sum("turn").over(TIME))
-    run = TIME.partitionBy("ticker", "run").orderBy("date")
+    ev = ev.withColumn("turn", F.coalesce(c("hit") != F.lag("hit").over(by_ticker()), F.lit(True)).cast("int"))
+    ev = ev.withColumn("growth", div(diff("eps_actual"), F.greatest(F.abs(lag("eps_actual")), F.lit(0.01))) * 100).withColumn("run", F.sum("turn").over(by_ticker()))
+    run = by_ticker().partitionBy("ticker", "run").orderBy("date")
     accuracy = clip(100 - median("size", 4, 2), 0, 100)
     made = {
         "eps_sue_price": clip(div(c("eps_actual") - c("eps_estimate"), F.when(c("_c") > 0, c("_c"))), -0.5, 0.5), "earn_surprise_pct": clip("s", -500, 500),

@@ -23,8 +23,8 @@ MACRO = """macro AS (
     CAST(0.5 AS DOUBLE) + CAST(max(o_orderkey) % 500 AS DOUBLE) / 100 AS us_10y_close, 20.0 + min(o_totalprice) / 1000 AS oil_close, CAST(80 + count(*) AS DOUBLE) AS usd_close
   FROM orders GROUP BY 1)"""
 STATEMENTS = f"""sums AS (
-  SELECT l_suppkey AS ticker, date_trunc('quarter', CAST(l_shipdate AS DATE)) AS quarter, CAST(sum(l_quantity) AS BIGINT) AS q, CAST(sum(l_orderkey) AS BIGINT) AS k, CAST(sum(l_partkey) AS BIGINT) AS p,
-    CAST(sum(l_linenumber) AS BIGINT) AS n, count(*) AS c FROM lineitem GROUP BY 1, 2),
+  SELECT l_suppkey AS ticker, date_trunc('quarter', CAST(l_shipdate AS DATE)) AS quarter, CAST(sum(l_quantity) AS DOUBLE) AS q, CAST(sum(l_orderkey) AS DOUBLE) AS k, CAST(sum(l_partkey) AS DOUBLE) AS p,
+    CAST(sum(l_linenumber) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS c FROM lineitem GROUP BY 1, 2),
 statements AS (
   SELECT ticker, CAST(quarter + INTERVAL 3 MONTH AS DATE) - 1 + {REPORTING_LAG_DAYS} AS date, {", ".join(f"{_field(x)} AS {k}" for k, x in STATEMENT_FIELDS.items())} FROM sums)"""
 PANEL = f"""{BARS}, {SECTORS}, {MACRO}, {STATEMENTS},

@@ -54,10 +54,10 @@ def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Statement fields as sums over a quarter's line items; q, k, p and n are quantity, order, part and line numbers.
 STATEMENT_FIELDS = {
     "total_revenue": "100.0 * q", "fcf": "q * 1.0 - 100", "ocf": "q * 1.0 + k % 50", "market_cap": "1000.0 * c + 10000", "total_debt": "10.0 * (n % 40)", "total_cash": "5.0 * (p % 60)",
-    "ebitda": "(k % 90) * 1.0 - 10", "pe_ratio": "(p % 400) / 10.0", "forward_pe": "1 + (k % 300) / 10.0", "eps": "(p % 200) / 10.0 - 5", "fwd_eps": "(k % 200) / 10.0 - 4", "pb_ratio": "0.5 + (n % 70) / 10.0",
+    "ebitda": "(k % 90) * 1.0 - 10", "pe_ratio": "(p % 400) / 10.0", "forward_pe": "1 + (k % 300) / 10.0", "eps": "(p % 200) / 10.0 - 5.03", "fwd_eps": "(k % 200) / 10.0 - 4", "pb_ratio": "0.5 + (n % 70) / 10.0",
     "ps_ratio": "0.5 + (k % 80) / 10.0", "ev_ebitda": "2 + (p % 90) / 10.0", "roe": "(p % 90) / 100.0 - 0.3", "roa": "(k % 40) / 100.0 - 0.1", "gross_margin": "(n % 80) / 100.0", "op_margin": "(p % 60) / 100.0",
     "ebitda_margin": "(k % 70) / 100.0", "profit_margin": "(p % 50) / 100.0 - 0.1", "debt_to_equity": "(n % 35) / 10.0", "current_ratio": "(k % 45) / 10.0", "quick_ratio": "(p % 35) / 10.0", "beta": "(n % 25) / 10.0",
-    "earnings_growth": "(k % 120) / 100.0 - 0.4", "rev_growth": "(p % 110) / 100.0 - 0.3", "dividend": "CASE WHEN k % 3 = 0 THEN NULL ELSE (k % 60) / 1000.0 END", "buyback": "0.0 - (p % 30)", "dividends_paid": "0.0 - (n % 20)",
+    "earnings_growth": "(k % 120) / 100.0 - 0.405", "rev_growth": "(p % 110) / 100.0 - 0.3", "dividend": "CASE WHEN k % 3 = 0 THEN NULL ELSE (k % 60) / 1000.0 END", "buyback": "0.0 - (p % 30)", "dividends_paid": "0.0 - (n % 20)",
     "eps_actual": "(p % 1000) / 100.0 - 4", "eps_estimate": "(k % 1000) / 100.0 - 4", "surprise_pct": "CASE WHEN n % 2 = 0 THEN NULL ELSE (p % 300) / 10.0 - 15 END",
 }
 
@@ -67,7 +67,7 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read(spark, sf_dir, "lineitem", ["l_suppkey", "l_shipdate", "l_quantity", "l_orderkey", "l_partkey", "l_linenumber"])
     quarter = F.trunc(F.to_date("l_shipdate"), "quarter")
     sums = items.groupBy(F.col("l_suppkey").alias("ticker"), quarter.alias("quarter")).agg(
-        F.sum("l_quantity").cast("bigint").alias("q"), F.sum("l_orderkey").alias("k"), F.sum("l_partkey").alias("p"), F.sum("l_linenumber").cast("bigint").alias("n"), F.count(F.lit(1)).alias("c")
+        F.sum("l_quantity").alias("q"), F.sum("l_orderkey").cast("double").alias("k"), F.sum("l_partkey").cast("double").alias("p"), F.sum("l_linenumber").cast("double").alias("n"), F.count(F.lit(1)).cast("double").alias("c")
     )
     counts_from = F.date_add(F.date_add(F.add_months("quarter", 3), -1), REPORTING_LAG_DAYS)
     return sums.select("ticker", counts_from.alias("date"), *(F.expr(f"cast({x} as double)").alias(k) for k, x in STATEMENT_FIELDS.items()))

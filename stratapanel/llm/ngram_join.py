@@ -257,7 +257,8 @@ def _links(nodes: DataFrame) -> DataFrame:
 
     A posting knows the place of its n-gram in its node's order. If that is the first n-gram a pair shares, the
     overlap is at most what follows in either node, so the posting serves partners up to a size (``reach``) only.
-    Postings that reach no node of their list are dropped before any pair is made.
+    Postings that reach no node of their list are dropped before any pair is made. Lists are written before they
+    are joined, so that a very frequent n-gram is a skewed join key that is split, not one task.
     """
     fragment = lambda i: F.filter("grams", lambda x: F.pmod(x, F.lit(PAIR_FRAGMENTS)) == i)
     pieces = F.array(*(F.struct(F.lit(i).alias("f"), fragment(i).alias("part")) for i in range(PAIR_FRAGMENTS)))
@@ -269,15 +270,16 @@ def _links(nodes: DataFrame) -> DataFrame:
     postings = postings.withColumn("reach", F.floor(left * (100 + PERCENT) / PERCENT) - F.col("n")).where(F.col("reach") * 100 >= F.col("n") * PERCENT)
     for _ in range(2):
         lists = postings.groupBy("gram").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        postings = materialised(postings.join(lists.select("gram", "least"), "gram").where("reach >= least").drop("least"))
+        postings = materialised(postings.join(materialised(lists.select("gram", "least")), "gram").where("reach >= least").drop("least"))
     centre = F.struct((-F.col("shared") / F.col("n")).alias("r"), "n", "node", "reach")
     lists = postings.groupBy("gram").agg(F.min(centre).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    pairs = postings.join(lists.select("gram", "c"), "gram").where("node <> c.node and reach >= c.n and c.reach >= n").where(_may_link(F.col("n"), F.col("c.n")))
+    pairs = postings.join(materialised(lists.select("gram", "c")), "gram").where("node <> c.node and reach >= c.n and c.reach >= n").where(_may_link(F.col("n"), F.col("c.n")))
     pairs = materialised(pairs.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c.node").alias("b"), F.col("c.n").alias("n_b")).distinct())
     links = materialised(_linked(pairs, segments))
     names = materialised(components(links))
     own = postings.join(names, postings["node"] == names["node"], "left").select(postings["node"], "n", "reach", "gram", F.coalesce("component", postings["node"]).alias("name"))
-    mixed_lists = own.groupBy("gram").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x <> y").select("gram")
+    own = materialised(own)
+    mixed_lists = materialised(own.groupBy("gram").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x <> y").select("gram"))
     open_rows = materialised(own.join(mixed_lists, "gram"))
     a, b = open_rows.alias("a"), open_rows.alias("b")
     across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.name") != F.col("b.name")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.reach") >= F.col("b.n")) & (F.col("b.reach") >= F.col("a.n")) & _may_link(F.col("a.n"), F.col("b.n")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import bpe, fingerprint, langid, mixing, ngram_join, pii, secrets, toxicity, vectors, warc
+from stratapanel.llm import bpe, fingerprint, langid, mixing, ngram_join, oracles, pii, secrets, toxicity, vectors, warc
 from stratapanel.llm.common import crc_remainder, materialised, scratch_path, table
 
 
@@ -86,4 +86,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of those that SQL can express; the tests hold the others against brute force."""
-    return {}
+    return dict(oracles.ORACLES)

@@ -96,14 +96,15 @@ class Lexicon:
         return self.__dict__ | {"_matcher": None}
 
     def matches(self, text: str) -> list[tuple[int, str, float]]:
-        """(place in the folded text, term, weight) of words and of words' stems outside exception phrases."""
+        """(place in the folded text, term, weight) outside exception phrases; at one place the heaviest term."""
         if not self.weights:
             return []
         folded = fold(text)
         found, blanks = self._found(folded, stems=True)
         if not folded.isascii() and len(plain := folded.translate(_PLAIN)) == len(folded):
             more, also = self._found(plain, stems=False)
-            found, blanks = sorted({*found, *more}), blanks + also
+            at = {x[0] for x in found}
+            found, blanks = sorted([*found, *(x for x in more if x[0] not in at)]), blanks + also
         if blanks:
             found = [x for x in found if not any(a <= x[0] <= b for a, b in blanks)]
         return found
@@ -120,7 +121,11 @@ class Lexicon:
                     blanks.append((start, end))
                 continue
             found += [(start, term, weight) for term, weight in terms if (stems and term.endswith("*")) or (whole and not term.endswith("*"))]
-        return found, blanks
+        best: dict[int, tuple[int, str, float]] = {}
+        for x in found:
+            if x[0] not in best or x[2] > best[x[0]][2]:
+                best[x[0]] = x
+        return sorted(best.values()), blanks
 
     def measures(self, text: str | None) -> tuple[float, float, int]:
         """The logarithms of the total weight and of the weight a hundred words, and the number of matches."""
@@ -177,7 +182,7 @@ def choose_terms(toxic: list[set[str]], others: Counter, n_others: int) -> dict[
         if len(new) < LEAST_DOCS:
             break
         text = word.removesuffix("*")
-        if any(t.endswith("*") and text.startswith(t[:-1]) or text.startswith(t) or word.endswith("*") and t.startswith(text) for t in weights):
+        if any(t.endswith("*") and text.startswith(t[:-1]) and worth[word] < worth[t] + 1 or text == t or word.endswith("*") and t.startswith(text) for t in weights):
             continue
         weights[word] = float(np.log((everywhere[word] + 0.5) / (len(toxic) - everywhere[word] + 0.5)) - np.log((others[word] + 0.5) / (n_others - others[word] + 0.5)))
         for i in new:

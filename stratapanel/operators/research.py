@@ -111,12 +111,12 @@ def drift(daily: DataFrame, window: int = 21, z_limit: float = 2.0, mse_factor:
 
 
 def trend_vol_regime(df: DataFrame, trend: int = 200, vol: int = 20, base: int = 252) -> DataFrame:
-    """(date, ticker, regime): bull or bear by the trend mean, calm or volatile by the median of past volatility."""
+    """(date, ticker, regime): Bull or Bear by the trend mean, LowVol or HighVol by the median of past volatility."""
     rows = df.withColumn("r", div("close", F.lag("close").over(by_ticker())) - 1)
     rows = rows.withColumn("v", std("r", vol) * (252**0.5))
     rows = rows.withColumns({"sma": mean("close", trend), "med": median("v", base)})
     up, loud = F.coalesce(F.col("close") > F.col("sma"), F.lit(False)), F.coalesce(F.col("v") > F.col("med"), F.lit(False))
-    name = F.concat(F.when(up, "bull").otherwise("bear"), F.lit("_"), F.when(loud, "volatile").otherwise("calm"))
+    name = F.concat(F.when(up, "Bull").otherwise("Bear"), F.lit("_"), F.when(loud, "HighVol").otherwise("LowVol"))
     return rows.select("date", "ticker", name.alias("regime"))
 
 

@@ -230,7 +230,7 @@ def rolling_beta(spark, d):
 
 
 @query(f"""WITH {oracle.BARS}, a AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS x FROM bars), b AS (SELECT *, {oracle.std("x", 20)} * sqrt(252.0) AS v, {oracle.mean("close", 200)} AS sma FROM a),
-c AS (SELECT *, {oracle.median("v", 252)} AS med FROM b) SELECT date, ticker, CASE WHEN close > sma THEN 'bull' ELSE 'bear' END || '_' || CASE WHEN v > med THEN 'volatile' ELSE 'calm' END AS regime FROM c""")
+c AS (SELECT *, {oracle.median("v", 252)} AS med FROM b) SELECT date, ticker, CASE WHEN close > sma THEN 'Bull' ELSE 'Bear' END || '_' || CASE WHEN v > med THEN 'HighVol' ELSE 'LowVol' END AS regime FROM c""")
 def regime_trend_vol(spark, d):
     return research.trend_vol_regime(bars(spark, d))
 

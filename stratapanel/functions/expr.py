@@ -71,11 +71,17 @@ def std(x, n: int, least: int | None = None) -> Column:
 
 
 def median(x, n: int, least: int | None = None) -> Column:
-    return roll(lambda c: F.percentile(c, 0.5), x, n, least)
+    """Median of a trailing frame: one sorted array a row, which costs less than a percentile a frame."""
+    x = col(x)
+    held = F.array_sort(F.collect_list(x).over(rows(n)))
+    middle = lambda h: (F.get(h, F.floor((F.size(h) - 1) / 2).cast("int")) + F.get(h, F.floor(F.size(h) / 2).cast("int"))) / 2
+    return F.when(F.count(x).over(rows(n)) >= (n if least is None else least), F.transform(F.array(held), middle)[0])
 
 
 def zscore(x, n: int, least: int | None = None, eps: float = EPS) -> Column:
-    return div(col(x) - mean(x, n, least), std(x, n, least) + eps)
+    x, frame = col(x), rows(n)
+    score = div(x - F.avg(x).over(frame), F.stddev_samp(x).over(frame) + eps)
+    return F.when(F.count(x).over(frame) >= (n if least is None else least), score)
 
 
 def lag(x: str | Column, n: int = 1) -> Column:

@@ -165,7 +165,8 @@ factor("ad_line", "volume", lambda: div(F.sum("_ad").over(so_far()), F.sum("volu
 for _n in (21, 63):
     factor(f"volatility_{_n}d", "volatility", lambda n=_n: std("_r1", n) * YEAR, "_r1")
 for _n, _name in ((21, "gk_vol_21"), (63, "gk_val_63")):
-    factor(_name, "volatility", lambda n=_n: F.sqrt(clip(mean("_gk", n), 0.0)) * YEAR, "_gk")
+    part(f"_gk{_n}", lambda n=_n: mean("_gk", n), "_gk")
+    factor(_name, "volatility", lambda n=_n: F.sqrt(clip(f"_gk{n}", 0.0)) * YEAR, f"_gk{_n}")
 for _n in (14, 21):
     factor(f"atr_{_n}", "volatility", lambda n=_n: div(mean("_tr", n), c("close") + EPS), "_tr")
 factor("vol_ratio_5_21", "volatility", lambda: div(std("_r1", 5), std("_r1", 21) + EPS), "_r1")
@@ -197,7 +198,8 @@ factor(
 )
 part("_spread", lambda: c("_y21") - c("_oil21"), "_y21", "_oil21")
 part("_z_spread", lambda: zscore("_spread", 63, 21, 1e-6), "_spread")
-factor("alt_growth_inflation_mix", "alternative", lambda: clip(mean("_z_spread", 5, 1), -3, 3), "_z_spread")
+part("_z_spread5", smooth("_z_spread"), "_z_spread")
+factor("alt_growth_inflation_mix", "alternative", lambda: clip("_z_spread5", -3, 3), "_z_spread5")
 part("_vix_norm", lambda: clip((c("vix_close") - 10) / 30, 0, 1))
 factor("alt_vix_level", "alternative", smooth("_vix_norm"), "_vix_norm")
 part("_vix5p", lambda: c("_vix5") * 100, "_vix5")
@@ -206,14 +208,17 @@ factor("alt_risk_on_off", "alternative", lambda: F.coalesce((c("vix_close") < 20
 factor("alt_volatility_stress", "alternative", lambda: c("_vix_norm") * 70 + clip("_vix5", 0, 1) * 30, "_vix_norm", "_vix5")
 
 # ---- composite
-part("_vix_s5", lambda: clip(mean("vix_close", 5), 10, 40))
+part("_vix5m", lambda: mean("vix_close", 5))
+part("_y21m", lambda: mean("us_10y_close", 21, 5))
+part("_y21f", lambda: mean("us_10y_close", 21))
+part("_vix_s5", lambda: clip("_vix5m", 10, 40), "_vix5m")
 part("_mam", lambda: c("_r21") * 100 * div(F.lit(25.0), "_vix_s5"), "_r21", "_vix_s5")
 factor("comp_macro_momentum", "composite", smooth("_mam"), "_mam")
 part("_oil_med", lambda: median("oil_close", 252))
 part("_ocv", lambda: div(F.lit(1.0), clip(nonzero("pe_ratio"), 1, 100)) * F.when(c("oil_close") < c("_oil_med"), 1.0).otherwise(0.5), "_oil_med")
 factor("comp_oil_value", "composite", smooth("_ocv"), "_ocv")
 part("_roe_f", lambda: filled("roe"))
-part("_res", lambda: clip("_roe_f", -1, 1) * (1 - clip(mean("us_10y_close", 21), 0, 5) / 5), "_roe_f")
+part("_res", lambda: clip("_roe_f", -1, 1) * (1 - clip("_y21f", 0, 5) / 5), "_roe_f", "_y21f")
 factor("comp_rate_quality", "composite", smooth("_res"), "_res")
 part("_usd_med", lambda: median("usd_close", 252))
 part("_growth_f", lambda: filled("earnings_growth"))
@@ -235,9 +240,9 @@ part("_mvd", lambda: c("_r21") - c("_vix21"), "_r21", "_vix21")
 factor("comp_div_momentum_vix", "composite", smooth("_mvd", 10), "_mvd")
 part("_inv_pe", lambda: div(F.lit(1.0), clip(nonzero("pe_ratio"), 1, 200)))
 part("_pe_rank", lambda: pct_rank("_inv_pe"), "_inv_pe")
-part("_vyc", lambda: (c("_pe_rank") + 1 - clip(mean("us_10y_close", 21, 5), 0.1, 5) / 5) / 2, "_pe_rank")
+part("_vyc", lambda: (c("_pe_rank") + 1 - clip("_y21m", 0.1, 5) / 5) / 2, "_pe_rank", "_y21m")
 factor("comp_value_yield", "composite", smooth("_vyc"), "_vyc")
-part("_qid", lambda: (clip("roe", -0.5, 0.5) - clip("debt_to_equity", 0, 5) * 0.1) * F.when(c("vix_close") > mean("vix_close", 63, 5), 1.5).otherwise(1.0))
+part("_qid", lambda: (clip("roe", -0.5, 0.5) - clip("debt_to_equity", 0, 5) * 0.1) * F.when(c("vix_close") - mean("vix_close", 63, 5) > 1e-9, 1.5).otherwise(1.0))
 factor("comp_quality_stress", "composite", smooth("_qid"), "_qid")
 factor("comp_earnings_macro", "composite", lambda: rolling_corr("pe_ratio", "_y21", 63, 10), "_y21")
 _UP = lambda x: F.when(c(x) > mean(x, 21), 1).otherwise(-1)
@@ -256,10 +261,11 @@ part("_ems", lambda: clip(((c("_y21") + c("_oil21") - c("_usd21")) / 3 + 0.04) /
 factor("comp_econ_momentum", "composite", smooth("_ems"), "_ems")
 part(
     "_phi",
-    lambda: F.coalesce(c("sp500_close") > mean("sp500_close", 200), F.lit(False)).cast("double") * 25 + clip((35 - mean("vix_close", 5)) / 20, 0, 1) * 25 + clip((c("_y21") + 0.02) / 0.04, 0, 1) * 50,
-    "_y21",
+    lambda: F.coalesce(c("sp500_close") > mean("sp500_close", 200), F.lit(False)).cast("double") * 25 + clip((35 - c("_vix5m")) / 20, 0, 1) * 25 + clip((c("_y21") + 0.02) / 0.04, 0, 1) * 50,
+    "_y21", "_vix5m",
 )
-factor("comp_health_index", "composite", lambda: clip(mean("_phi", 5), 0, 100), "_phi")
+part("_phi5", lambda: mean("_phi", 5), "_phi")
+factor("comp_health_index", "composite", lambda: clip("_phi5", 0, 100), "_phi5")
 
 # ---- fundamental: plain or resolved columns, no fill
 
@@ -388,7 +394,7 @@ def stages(names: list[str]) -> list[list[Spec]]:
 
 
 def finish(x: Column, fill: float | None) -> Column:
-    """Infinite and NaN values become NULL, then the fill value."""
+    """Infinite and NaN values become NULL, then the fill value; ``x`` is a plain column, as it is used several times."""
     x = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(x)
     return x if fill is None else F.coalesce(x, F.lit(fill))
 
@@ -406,7 +412,7 @@ def compute(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
     windowed = [n for f in ("momentum", "mean_reversion", "volume", "volatility", "alternative", "composite") for n in by[f]]
     wanted = windowed + (list(MEAN_INPUTS) if by["ewm"] else [])
     for stage in stages(wanted):
-        df = df.select("*", *(finish(s.build(), None).alias(s.name) if s.name in FACTORS else s.build().alias(s.name) for s in stage))
+        df = df.select("*", *(s.build().alias(s.name) for s in stage))
     if by["ewm"]:
         df = df.select("date", "ticker", "close", *MEAN_INPUTS, *(n for n in names if n not in by["ewm"]))
         df = add_ewm(df, [*MEANS, Ewm("_macd9", "_macd", span(9))], derive={"_macd": ("_e12", "_e26")})

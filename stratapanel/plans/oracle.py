@@ -113,7 +113,7 @@ P |= {
     "_dag": f"{clip('_growth_f', -1, 1)} * CASE WHEN usd_close < _usd_med THEN 1.0 ELSE 0.7 END", "_mom_rank": rank("_r21"), "_vixs": over("list(vix_close) FILTER (WHERE vix_close IS NOT NULL)", 252),
     "_vix_rank": "CASE WHEN len(_vixs) >= 252 AND vix_close IS NOT NULL THEN (len(list_filter(_vixs, lambda v: v < vix_close)) + (len(list_filter(_vixs, lambda v: v = vix_close)) + 1) / 2.0) / len(_vixs) END",
     "_rpb": "(_mom_rank + 1 - _vix_rank) / 2", "_mvd": "_r21 - _vix21", "_inv_pe": f"1.0 / {clip('nullif(pe_ratio, 0)', 1, 200)}", "_pe_rank": rank("_inv_pe"), "_vyc": f"(_pe_rank + 1 - {clip(mean('us_10y_close', 21, 5), 0.1, 5)} / 5) / 2",
-    "_qid": f"({clip('roe', -0.5, 0.5)} - {clip('debt_to_equity', 0, 5)} * 0.1) * CASE WHEN vix_close > {mean('vix_close', 63, 5)} THEN 1.5 ELSE 1.0 END",
+    "_qid": f"({clip('roe', -0.5, 0.5)} - {clip('debt_to_equity', 0, 5)} * 0.1) * CASE WHEN vix_close - {mean('vix_close', 63, 5)} > 1e-9 THEN 1.5 ELSE 1.0 END",
     "_mao": "((" + " + ".join(f"CASE WHEN {x} > {mean(x, 21)} THEN 1 ELSE -1 END" for x in ("oil_close", "us_10y_close", "usd_close")) + ") / 3.0 + 1) * 50", "_sp200": mean("sp500_close", 200, 50), "_vix_m5": mean("vix_close", 5, 1),
     "_cfs": clip("((_oil21 + _usd21) / 2 + 0.05) / 0.1", 0, 1) + " * 100", "_ems": clip("((_y21 + _oil21 - _usd21) / 3 + 0.04) / 0.08", 0, 1) + " * 100",
     "_phi": f"CASE WHEN sp500_close > {mean('sp500_close', 200)} THEN 25.0 ELSE 0.0 END + {clip('(35 - ' + mean('vix_close', 5) + ') / 20', 0, 1)} * 25 + {clip('(_y21 + 0.02) / 0.04', 0, 1)} * 50",

@@ -106,11 +106,20 @@ def filled(x: str | Column) -> Column:
     return F.last(col(x), ignorenulls=True).over(so_far())
 
 
+def mean_rank(x: str | Column, by: tuple[str, ...]) -> Column:
+    """Average-tie rank within a group: half of the rank and of the number of values up to this one.
+
+    Both are windows of one partitioning and order, so ties cost no shuffle of their own.
+    """
+    x = col(x)
+    order = Window.partitionBy(*by).orderBy(x.asc_nulls_last())
+    return (F.rank().over(order) + F.count(x).over(order)) / 2.0
+
+
 def pct_rank(x: str | Column, by: tuple[str, ...] = ("date",)) -> Column:
     """Average-tie rank in its group divided by the number of values; NULL stays NULL."""
-    x, group = col(x), Window.partitionBy(*by)
-    ties = F.count(x).over(Window.partitionBy(*by, x))
-    return F.when(x.isNotNull(), (F.rank().over(group.orderBy(x.asc_nulls_last())) + (ties - 1) / 2.0) / F.count(x).over(group))
+    x = col(x)
+    return F.when(x.isNotNull(), mean_rank(x, by) / F.count(x).over(Window.partitionBy(*by)))
 
 
 def adjusted_skew(x: str | Column, n: int) -> Column:

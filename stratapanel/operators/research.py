@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratapanel.functions.expr import by_ticker, div, mean, median, pct_rank, std
+from stratapanel.functions.expr import by_ticker, div, mean, mean_rank, median, pct_rank, std
 from stratapanel.operators.cross_section import quantile_bucket
 
 
@@ -26,9 +26,7 @@ def unpivoted(df: DataFrame, factors: list[str], keep: list[str]) -> DataFrame:
 def rank_ic(df: DataFrame, factors: list[str], target: str, least: int = 5) -> DataFrame:
     """(factor, date, ic, n): the day's rank correlation of each factor with the target, over rows that have both."""
     long = unpivoted(df.select("date", *factors, F.col(target).alias("target")), factors, ["date", "target"]).where("value is not null and target is not null")
-    group = Window.partitionBy("factor", "date")
-    rank = lambda x: F.rank().over(group.orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy("factor", "date", x)) - 1) / 2.0
-    ranked = long.select("factor", "date", rank("value").alias("a"), rank("target").alias("b"))
+    ranked = long.select("factor", "date", mean_rank("value", ("factor", "date")).alias("a"), mean_rank("target", ("factor", "date")).alias("b"))
     daily = ranked.groupBy("factor", "date").agg(safe_corr("a", "b").alias("ic"), F.count(F.lit(1)).alias("n"))
     return daily.withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 

@@ -28,6 +28,7 @@ class Spec:
     build: Callable[[], Column]
     needs: tuple[str, ...] = ()
     fill: float | None = 0.0
+    daily: bool = False
 
 
 FACTORS: dict[str, Spec] = {}
@@ -38,8 +39,9 @@ def factor(name: str, family: str, build: Callable[[], Column], *needs: str, fil
     FACTORS[name] = Spec(name, family, build, needs, fill)
 
 
-def part(name: str, build: Callable[[], Column], *needs: str) -> None:
-    PARTS[name] = Spec(name, "part", build, needs, None)
+def part(name: str, build: Callable[[], Column], *needs: str, daily: bool = False) -> None:
+    """``daily``: a window over the day's rows, not over a ticker's."""
+    PARTS[name] = Spec(name, "part", build, needs, None, daily)
 
 
 def list_factors(family: str | None = None) -> list[str]:
@@ -224,7 +226,7 @@ part("_usd_med", lambda: median("usd_close", 252))
 part("_growth_f", lambda: filled("earnings_growth"))
 part("_dag", lambda: clip("_growth_f", -1, 1) * F.when(c("usd_close") < c("_usd_med"), 1.0).otherwise(0.7), "_growth_f", "_usd_med")
 factor("comp_dollar_growth", "composite", smooth("_dag"), "_dag")
-part("_mom_rank", lambda: pct_rank("_r21"), "_r21")
+part("_mom_rank", lambda: pct_rank("_r21"), "_r21", daily=True)
 part("_vixs", lambda: F.collect_list("vix_close").over(rows(252)))
 part(
     "_vix_rank",
@@ -239,7 +241,7 @@ factor("comp_risk_parity", "composite", smooth("_rpb"), "_rpb")
 part("_mvd", lambda: c("_r21") - c("_vix21"), "_r21", "_vix21")
 factor("comp_div_momentum_vix", "composite", smooth("_mvd", 10), "_mvd")
 part("_inv_pe", lambda: div(F.lit(1.0), clip(nonzero("pe_ratio"), 1, 200)))
-part("_pe_rank", lambda: pct_rank("_inv_pe"), "_inv_pe")
+part("_pe_rank", lambda: pct_rank("_inv_pe"), "_inv_pe", daily=True)
 part("_vyc", lambda: (c("_pe_rank") + 1 - clip("_y21m", 0.1, 5) / 5) / 2, "_pe_rank", "_y21m")
 factor("comp_value_yield", "composite", smooth("_vyc"), "_vyc")
 part("_qid", lambda: (clip("roe", -0.5, 0.5) - clip("debt_to_equity", 0, 5) * 0.1) * F.when(c("vix_close") - mean("vix_close", 63, 5) > 1e-9, 1.5).otherwise(1.0))
@@ -378,19 +380,25 @@ def add_earnings(panel: DataFrame) -> DataFrame:
 
 
 def stages(names: list[str]) -> list[list[Spec]]:
-    """The columns to compute, by stage: each after all it needs."""
-    level: dict[str, int] = {}
-
-    def place(spec: Spec) -> int:
-        if spec.name not in level:
-            level[spec.name] = 1 + max((place(PARTS[n]) for n in spec.needs), default=0)
-        return level[spec.name]
+    """The columns to compute, by stage: each after all it needs.
 
+    All windows by ticker that need no rank of a day come first, then these ranks together, then what needs them, so
+    rows are dealt by ticker, by date and by ticker again, however many factors there are.
+    """
+    place: dict[str, tuple[int, int]] = {}
     specs = {n: FACTORS.get(n) or PARTS[n] for n in names}
+
+    def of(spec: Spec) -> tuple[int, int]:
+        if spec.name not in place:
+            below = [(PARTS[n].daily, of(PARTS[n])) for n in spec.needs]
+            phase = max((p + daily for daily, (p, _) in below), default=0)
+            depth = 1 + max((d for daily, (p, d) in below if p == phase and not daily), default=0)
+            place[spec.name] = (phase, 1 << 20 if spec.daily else depth)
+        return place[spec.name]
+
     for spec in specs.values():
-        place(spec)
-    every = {n: specs.get(n) or PARTS[n] for n in level}
-    return [[every[n] for n in level if level[n] == k] for k in range(1, max(level.values(), default=0) + 1)]
+        of(spec)
+    return [[specs.get(n) or PARTS[n] for n in place if place[n] == k] for k in sorted(set(place.values()))]
 
 
 def finish(x: Column, fill: float | None) -> Column:

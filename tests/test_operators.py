@@ -173,3 +173,13 @@ def test_psi_of_equal_samples_is_zero(spark):
     df = spark.range(1000).select((F.col("id") % 97).cast("double").alias("x"))
     assert research.psi(df, df, "x").first()[0] == pytest.approx(0.0, abs=1e-12)
     assert research.psi(df, df.select((F.col("x") + 40).alias("x")), "x", kind="bins").first()[0] > 0.25
+
+
+def test_stages_put_all_ranks_of_a_day_together():
+    plan = factors.stages(factors.list_factors("composite"))
+    daily = [i for i, stage in enumerate(plan) if any(s.daily for s in stage)]
+    assert len(daily) == 1 and all(s.daily for s in plan[daily[0]])
+    seen = set()
+    for stage in plan:
+        assert all(n in seen for s in stage for n in s.needs)
+        seen |= {s.name for s in stage}

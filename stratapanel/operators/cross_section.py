@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.functions.expr import by_day, div, pct_rank
 
+
 def by_sector():
     return Window.partitionBy("date", "sector")
 
@@ -99,3 +100,21 @@ def blend(df: DataFrame, weights: dict[str, float]) -> DataFrame:
     return ranked.withColumn("raw_alpha", sum((F.col(f"rank_{m}") * w for m, w in weights.items()), F.lit(0.0)) / total)
 
 
+
+
+def winsorize_count(df: DataFrame, x: str, low: float = 0.01, high: float = 0.01, by: str = "date") -> DataFrame:
+    """Of a group's n values the ``floor(low * n)`` smallest take the next one's value, and alike at the top."""
+    group = Window.partitionBy(by)
+    n = F.count(x).over(group)
+    place = F.row_number().over(group.orderBy(F.col(x).asc_nulls_last(), "ticker"))
+    rows = df.withColumns({"__n": n, "__i": place})
+    bottom, top = F.floor(F.lit(low) * F.col("__n")), F.floor(F.lit(high) * F.col("__n"))
+    floor = F.min(F.when(F.col("__i") > bottom, F.col(x))).over(group)
+    ceiling = F.max(F.when(F.col("__i") <= F.col("__n") - top, F.col(x))).over(group)
+    return rows.withColumn(x, F.when(F.col(x).isNotNull(), F.least(F.greatest(x, floor), ceiling))).drop("__n", "__i")
+
+
+def standardize(df: DataFrame, x: str, by: str = "date", eps: float = 1e-8) -> DataFrame:
+    """(x - mean) / (deviation + eps) of a group."""
+    group = Window.partitionBy(by)
+    return df.withColumn(x, div(F.col(x) - F.avg(x).over(group), F.stddev_samp(x).over(group) + eps))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.functions.expr import by_day, div
@@ -78,6 +78,34 @@ def execution_cost(shares: Column, price: Column, volume: Column, commission: fl
     return value * (commission + spread) + impact
 
 
+def capped(df: DataFrame, cap: float, weight: str = "weight", by: str = "date", key: str = "ticker") -> DataFrame:
+    """A group's weights scaled to 1, none above ``cap``: the excess goes to the others in proportion.
+
+    Weights that end at the cap are a prefix of the falling order, so two windows find the level. If the cap leaves
+    no room (rows * cap <= 1), all are equal.
+    """
+    group = Window.partitionBy(by)
+    order = group.orderBy(F.desc(weight), key)
+    rows = df.withColumns({"__before": F.row_number().over(order) - 1, "__rest": F.sum(weight).over(order.rowsBetween(0, Window.unboundedFollowing)), "__n": F.count(F.lit(1)).over(group)})
+    full = F.coalesce(div(F.col(weight) * (1 - F.col("__before") * cap), "__rest") > cap + 1e-9, F.lit(False))
+    rows = rows.withColumn("__full", full).withColumn("__m", F.sum(F.col("__full").cast("int")).over(group)).withColumn("__free", F.sum(F.when(~F.col("__full"), F.col(weight))).over(group))
+    level = F.when(F.col("__full"), cap).otherwise(F.coalesce(div(F.col(weight) * (1 - F.col("__m") * cap), "__free"), F.lit(0.0)))
+    return rows.withColumn(weight, F.when(F.col("__n") * cap <= 1, div(F.lit(1.0), "__n")).otherwise(level)).drop("__before", "__rest", "__n", "__full", "__m", "__free")
+
+
+def bounded_weights(df: DataFrame, least: float = 0.01, cap: float = 0.25, sector_cap: float | None = None) -> DataFrame:
+    """(date, ticker, sector, weight): small weights go (of all small ones the largest stays), then caps by name and by sector."""
+    day = by_day()
+    rows = df.withColumn("__first", F.row_number().over(day.orderBy(F.desc("weight"), "ticker"))).where((F.col("weight") >= least) | (F.col("__first") == 1))
+    rows = rows.withColumn("weight", div("weight", F.sum("weight").over(day)))
+    rows = capped(rows.select("date", "ticker", "sector", "weight"), cap)
+    if sector_cap is None:
+        return rows
+    totals = rows.groupBy("date", "sector").agg(F.sum("weight").alias("__old"))
+    totals = capped(totals.withColumn("__new", F.col("__old")), sector_cap, "__new", key="sector")
+    return rows.join(totals, ["date", "sector"]).select("date", "ticker", "sector", div(F.col("weight") * F.col("__new"), "__old").alias("weight"))
+
+
 # ---- solvers over one day's expected returns and covariance
 
 
@@ -148,6 +176,24 @@ def kelly_weights(mu: np.ndarray, sigma: np.ndarray, rate: float = 0.04, fractio
     return w / w.sum() if w.sum() > 1e-6 else np.full(n, 1.0 / n)
 
 
+def max_sharpe_weights(mu: np.ndarray, sigma: np.ndarray, rate: float = 0.04, cap: float = 1.0, steps: int = 16) -> np.ndarray:
+    """The highest excess return per deviation over the capped simplex; equal weights if no excess is positive.
+
+    That point is on the frontier of risk-averse weights, and the ratio rises with aversion as long as the aversion
+    is below excess / (2 * variance), so bisection of the aversion finds it.
+    """
+    excess, n = mu - rate, len(mu)
+    if not (excess > 0).any():
+        return np.full(n, 1.0 / n)
+    low, high = np.log(1e-2), np.log(1e4)
+    for _ in range(steps):
+        risk = np.exp((low + high) / 2)
+        w = quadratic_weights(excess, sigma, risk, cap, rounds=300)
+        variance = max(float(w @ sigma @ w), 1e-18)
+        low, high = ((low + high) / 2, high) if risk <= float(excess @ w) / (2 * variance) else (low, (low + high) / 2)
+    return w
+
+
 def shrunk_covariance(returns: np.ndarray) -> np.ndarray:
     """Ledoit-Wolf shrinkage towards a scaled identity."""
     x = returns - returns.mean(0)
@@ -160,7 +206,7 @@ def shrunk_covariance(returns: np.ndarray) -> np.ndarray:
     return (1 - shrink) * sample + shrink * mean * np.eye(p)
 
 
-METHODS = ("mean_variance", "risk_parity", "kelly", "black_litterman", "inverse_vol", "top_n")
+METHODS = ("mean_variance", "max_sharpe", "risk_parity", "kelly", "black_litterman", "inverse_vol", "top_n")
 
 
 def allocate(history: DataFrame, method: str, cap: float = 1.0) -> DataFrame:
@@ -179,6 +225,8 @@ def allocate(history: DataFrame, method: str, cap: float = 1.0) -> DataFrame:
         mu = (day["score"].to_numpy(float) - 0.5) * 2 * 0.30
         if method == "risk_parity":
             w = risk_parity_weights(sigma)
+        elif method == "max_sharpe":
+            w = max_sharpe_weights(mu, sigma, cap=cap)
         elif method == "kelly":
             w = kelly_weights(mu, sigma)
         elif method == "black_litterman":
@@ -261,5 +309,3 @@ def signal_days(bars: DataFrame, weights: DataFrame, every: str = "weekly") -> D
     rows = days.crossJoin(F.broadcast(strategies)).join(wanted, ["strategy", "date"], "left").join(F.broadcast(rebalance_days(bars, every).withColumn("is_rebalance", F.lit(True))), "date", "left")
     names = F.transform("bars", lambda b: F.struct(b["ticker"].alias("ticker"), b["open"].alias("open"), b["close"].alias("close"), b["volume"].alias("volume"), F.when(F.col("w").isNotNull(), F.try_element_at("w", b["ticker"])).alias("weight")))
     return rows.select("strategy", "date", F.coalesce("is_rebalance", F.lit(False)).alias("is_rebalance"), names.alias("names"))
-
-

@@ -147,3 +147,58 @@ def performance(curve: DataFrame, value: str = "total_value", by: str = "ticker"
     spread = F.col("bad_sd") * days**0.5
     a = a.withColumn("sortino", F.when((F.col("n_bad") > 1) & (spread > 1e-12), div(F.col("ex") * days, spread)).otherwise(0.0)).withColumn("max_drawdown", F.abs("dd"))
     return a.withColumn("calmar", F.when(F.col("max_drawdown") > 1e-12, div("cagr", "max_drawdown")).otherwise(0.0)).select(by, "total_return", "cagr", "ann_vol", "sharpe", "sortino", "max_drawdown", "calmar", "hit_rate", "n_days")
+
+
+def prefilter(df: DataFrame, factors: list[str], most_missing: float = 0.5, least_std: float = 1e-8) -> DataFrame:
+    """(factor, missing, sd, reason): reason is missing, constant or NULL; one pass over all factors."""
+    one = df.agg(F.count(F.lit(1)).alias("n"), *(F.count(f).alias(f"k_{f}") for f in factors), *(F.stddev_samp(f).alias(f"s_{f}") for f in factors))
+    rows = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f"k_{f}").alias("k"), F.col(f"s_{f}").alias("sd")) for f in factors)))
+    out = one.select("n", rows.alias("x")).select("x.factor", (1 - div("x.k", "n")).alias("missing"), "x.sd")
+    return out.withColumn("reason", F.when(F.col("missing") > most_missing, "missing").when(F.col("sd").isNull() | (F.col("sd") < least_std), "constant"))
+
+
+def lookahead(df: DataFrame, target: str, limit: float = 0.3, least: int = 100) -> DataFrame:
+    """(rho, n, leaks): a target that moves with the same day's open-to-close return looks ahead."""
+    one = df.select((div("close", "open") - 1).alias("x"), F.col(target).alias("y")).where("x is not null and y is not null").agg(safe_corr("x", "y").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return one.withColumn("leaks", F.coalesce((F.col("n") >= least) & (F.abs("rho") > limit), F.lit(False)))
+
+
+def ic_significance(df: DataFrame, factors: list[str], target: str, eps: float = 1e-8) -> DataFrame:
+    """(factor, ic_mean, ic_std, icir, t_stat, hit_ratio, n_dates, sn_icir) over rows that have the target.
+
+    Means weigh days by their rows; deviations do not. The target is ranked over all rows of the day, a factor over
+    those that have it; a coefficient within rounding of 0 is no hit. ``sn_icir`` is the ratio for values standardised within day and sector. Days without spread
+    are left out, and factors with fewer than three days.
+    """
+    long = unpivoted(df.where(F.col(target).isNotNull()).select("date", "sector", *factors, F.col(target).alias("t")), factors, ["date", "sector", "t"])
+    group = Window.partitionBy("factor", "date", "sector")
+    neutral = lambda x: div(F.col(x) - F.avg(x).over(group), F.stddev_samp(x).over(group) + eps)
+    rows = long.select("factor", "date", neutral("value").alias("fz"), neutral("t").alias("tz"), F.when(F.col("value").isNotNull(), mean_rank("value", ("factor", "date"))).alias("fr"), mean_rank("t", ("factor", "date")).alias("tr"))
+
+    def daily(f: str, t: str) -> Column:
+        own = F.when(F.col(f).isNotNull(), F.col(t))
+        return div(F.count(f) * F.covar_pop(f, own), F.sqrt(F.count(f) * F.var_pop(f) * F.count(t) * F.var_pop(t)))
+
+    days = rows.groupBy("factor", "date").agg(F.count(F.lit(1)).alias("n"), daily("fr", "tr").alias("ic"), daily("fz", "tz").alias("sn"))
+    weighted = lambda x: div(F.sum(F.col(x) * F.col("n")), F.sum(F.when(F.col(x).isNotNull(), F.col("n"))))
+    out = days.groupBy("factor").agg(
+        weighted("ic").alias("ic_mean"), (F.stddev_samp("ic") + eps).alias("ic_std"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("hit_ratio"), F.count("ic").alias("n_dates"),
+        F.when(F.count("sn") >= 3, div(weighted("sn"), F.stddev_samp("sn") + eps)).alias("sn_icir"),
+    ).where("n_dates >= 3")
+    out = out.withColumn("icir", div("ic_mean", "ic_std"))
+    return out.withColumn("t_stat", F.col("icir") * F.sqrt(F.col("n_dates").cast("double")))
+
+
+def bootstrap_ic(df: DataFrame, factors: list[str], target: str, replicates: int = 5, sample: int = 50_000, least: int = 50) -> DataFrame:
+    """(seed, factor, ic): absolute rank correlation with the target in samples without replacement.
+
+    A sample is the ``sample`` rows (date, ticker) with the smallest hash of seed and key, so its size is bounded
+    whatever the table's. Missing factor values take the sample's mean.
+    """
+    picks = [df.select(F.lit(s).alias("seed"), "date", "ticker", *factors, F.col(target).alias("t")).orderBy(F.xxhash64(F.lit(s), "date", "ticker"), "date", "ticker").limit(sample) for s in range(replicates)]
+    long = unpivoted(reduce(DataFrame.union, picks).where("t is not null"), factors, ["seed", "t"])
+    each = Window.partitionBy("seed", "factor")
+    filled = long.withColumn("value", F.coalesce("value", F.avg("value").over(each)))
+    ranked = filled.select("seed", "factor", mean_rank("value", ("seed", "factor")).alias("a"), mean_rank("t", ("seed", "factor")).alias("b"))
+    found = ranked.groupBy("seed", "factor").agg(F.abs(div(F.covar_samp("a", "b"), (F.stddev_pop("a") + 1e-10) * (F.stddev_pop("b") + 1e-10))).alias("ic"), F.count(F.lit(1)).alias("n"))
+    return found.where(F.col("n") >= least).drop("n")

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from stratapanel.operators.shaping import keep_one
+from stratapanel.sources.files import upsert_table
+
 DELAY = "10 minutes"
 
 
@@ -65,3 +68,16 @@ def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") ->
     else:
         query = writer.foreachBatch(lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")).start()
     query.awaitTermination()
+
+
+def upsert_stream(stream: DataFrame, name: str, keys: list[str], checkpoint: str) -> None:
+    """Adds each batch of a stream to a saved table until no input is left; on equal keys the later batch stays.
+
+    Of a batch's rows with equal keys the one with the largest other values stays. A batch that is tried again gives
+    the same table, as an upsert can be repeated.
+    """
+
+    def add(batch: DataFrame, _: int) -> None:
+        upsert_table(batch.sparkSession, name, keep_one(batch, keys, [F.desc(c) for c in batch.columns if c not in keys]), keys)
+
+    stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -208,10 +208,25 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Two rows link if their sets of distinct five-word n-grams have a Jaccard similarity of 0.8 or more; the
     component is the smallest id reachable. Null texts and texts without words have an empty set and no links.
-    Equal sets are one node, so repeated rows and exact copies link. Ids are integers that are not null. Other
-    columns are ignored; an empty table gives an empty result. Words are compared by 64-bit hashes, n-grams by 40 bits within
-    their fragment.
+    Equal sets are one node, so repeated rows and exact copies link. Ids are integers. A row without an id can't be
+    named as a partner: it links with nothing and has no component. Other columns are ignored; an empty table gives an
+    empty result. Words are compared by 64-bit hashes, n-grams by 40 bits within their fragment.
     """
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(text_col).cast("binary")).mapInArrow(_set_sizes, "n_shingles long")
+    nameless = nameless.select(F.lit(None).cast("long").alias(id_col), "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    return _similar(docs.where(F.col(id_col).isNotNull()), id_col, text_col).union(nameless)
+
+
+def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [x.as_py() or b"" for x in batch.column(0)]
+        for a, b in blocks([len(t) for t in texts], BLOCK_CHARS):
+            n = np.bincount(shingle_sets(texts[a:b])[1], minlength=b - a)
+            yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64))], ["n_shingles"])
+
+
+def _similar(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``similar_documents`` of rows that have an id."""
     spark = docs.sparkSession
     short_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -240,7 +255,7 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Only the ids that go are joined. Of rows that share the id that stays, the one with the smallest hash of its
     text stays. Rows with an empty set, or without an id, all stay.
     """
-    found = materialised(similar_documents(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    found = materialised(_similar(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
     go = found.where((F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
     twins = found.where("n_shingles > 0").groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__id"))
     kept = docs.join(go, F.col(id_col) == F.col("__id"), "left_anti")

@@ -95,7 +95,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are their own
     component. Vectors are compared with those of the same length only. Equal vectors link with one another. Rows
     with one id and several vectors count as several vectors; the component is the smallest id reachable. Other
-    columns are ignored; an empty table gives an empty result. ``threshold`` must be positive.
+    columns are ignored; an empty table gives an empty result. ``threshold`` must be positive. A row without an id
+    counts as a partner and is kept only if no row with an id is in its group.
     """
     spark = table.sparkSession
     rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -123,7 +124,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     return (
         rows.select("id", "key").join(by_key, "key", "left")
         .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
     )
 
 

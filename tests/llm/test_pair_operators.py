@@ -71,6 +71,20 @@ def test_ngram_join_of_nothing(spark):
     assert {tuple(r) for r in ngram_join.similar_documents(only).collect()} == {(1, 0, 1), (2, 0, 2)}
 
 
+def test_ngram_join_of_rows_without_ids(spark):
+    text, big = "one two three four five six seven eight nine ten", (1 << 53) + 1
+    docs = spark.createDataFrame([(1, text), (None, text), (big, text + " eleven"), (None, None), (None, "a b")], "doc_id long, text string")
+    got = [tuple(r) for r in ngram_join.similar_documents(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, 6, 1), (big, 7, 1), (None, 6, None), (None, 0, None), (None, 1, None)], key=str)
+    assert sorted((r["doc_id"] or 0 for r in ngram_join.kept_documents(docs).collect())) == [0, 0, 0, 1]
+
+
+def test_vectors_without_ids(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (None, [1.0, 0.0]), (3, [0.0, 1.0]), (None, None), (None, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in vectors.near_duplicates(rows).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 1, True), (None, 1, 1, False), (3, 0, 3, True), (None, 0, None, True), (None, 0, None, True)], key=str)
+
+
 def test_long_text(spark):
     text = " ".join(f"word{i % 5000}" for i in range(120_000))
     docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short one")], "doc_id long, text string")

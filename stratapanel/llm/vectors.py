@@ -1,8 +1,9 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one kept vector a group.
 
 Equal vectors are one row with a number of copies. Centroids are fitted on a bounded sample; every vector goes to
-its nearest cell and to earlier cells whose boundary is close, so a pair across a boundary meets in the earlier
-cell. A cell's vectors are dealt to blocks of bounded size, and a task multiplies two blocks: a cell that holds a
+its nearest cell and to earlier cells whose boundary is so close that a linked vector may lie behind it, so every pair
+at the threshold meets in the earlier cell. The number of cells is the one with the least work on the sample: vectors
+that cells can't part are compared in few cells. A cell's vectors are dealt to blocks of bounded size, and a task multiplies two blocks: a cell that holds a
 third of all rows gives more tasks, not larger ones. A task returns link counts and a spanning forest of its links,
 never all pairs.
 """
@@ -22,10 +23,10 @@ from stratapanel.llm.components import components
 THRESHOLD = 0.95
 #: Vectors that centroids are fitted on at most; vectors of a cell on average; cells at most (bounds the broadcast).
 FIT_ROWS, CELL_ROWS, MOST_CELLS = 20_000, 4096, 2048
-#: Vectors of a block on average.
-BLOCK_ROWS = 1024
-#: A cell boundary is close if a pair at the threshold, parted in a random direction, spans it within so many deviations.
-DEVIATIONS = 3.0
+#: Vectors of a block on average, and its components where that gives fewer vectors (but 1,024 at least).
+BLOCK_ROWS, BLOCK_VALUES = 4096, 1 << 20
+#: Vectors of the sample that the work of a number of cells is estimated on; rows of a product at once.
+WORK_ROWS, PRODUCT_ROWS = 4000, 512
 
 
 def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -42,23 +43,50 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = 12, seed: int =
 
 
 def cells_of(unit: np.ndarray, centres: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, nearest cell) of each vector's nearest cell and of the earlier ones whose boundary is close."""
+    """(row, cell, nearest cell) of each vector's nearest cell and of the earlier ones whose boundary is close.
+
+    A vector whose elevation over the plane between two centres is above the angle of the threshold has no linked
+    vector behind that plane, and only then it stays away from the other cell.
+    """
     near = unit @ centres.T
     home = near.argmax(1)
-    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-24))[home]
-    margin = DEVIATIONS * math.sqrt(max(2 - 2 * threshold, 0)) / math.sqrt(unit.shape[1])
-    close = (near[np.arange(len(unit)), home][:, None] - near) <= margin * apart
+    apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0))[home]
+    margin = math.sqrt(max(1 - threshold * threshold, 0))
+    close = (near[np.arange(len(unit)), home][:, None] - near) <= margin * apart + 1e-7
     close &= np.arange(len(centres))[None, :] <= home[:, None]
     row, cell = np.nonzero(close)
     return row, cell, home[row]
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
-    """For each row of a symmetric link matrix the smallest row it is connected with inside the matrix."""
-    label = np.arange(len(linked))
+def fitted_cells(sample: np.ndarray, n: int, threshold: float = THRESHOLD, block: int = BLOCK_ROWS) -> np.ndarray:
+    """Centroids for ``n`` vectors; of several numbers of cells the one with the fewest estimated rows in tasks."""
+    k, best = max(1, min(MOST_CELLS, math.ceil(n / CELL_ROWS))), None
+    while True:
+        centres = spherical_kmeans(sample, k)
+        homes, guests = np.zeros(len(centres)), np.zeros(len(centres))
+        some = sample[:WORK_ROWS]
+        for start in range(0, len(some), PRODUCT_ROWS):
+            _, cell, home = cells_of(some[start : start + PRODUCT_ROWS], centres, threshold)
+            homes += np.bincount(cell[cell == home], minlength=len(centres))
+            guests += np.bincount(cell[cell != home], minlength=len(centres))
+        homes, guests = homes * n / len(some), guests * n / len(some)
+        work = (homes + guests).sum() + 4 * (homes * (homes / 2 + guests)).sum() / block
+        if best is None or work < best[0]:
+            best = work, centres
+        if k == 1:
+            return best[1]
+        k = max(1, k // 4)
+
+
+def forest(linked: np.ndarray, own: np.ndarray, other: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` rows the smallest row it is connected with, given the links of the rows ``own`` with ``other``."""
+    label = np.arange(n, dtype=np.int32)
     while True:
-        least = np.where(linked, label[None, :], len(linked)).min(1)
-        new = np.minimum(label, least)
+        new = label.copy()
+        for start in range(0, len(own), PRODUCT_ROWS):
+            some, rows = linked[start : start + PRODUCT_ROWS], own[start : start + PRODUCT_ROWS]
+            new[rows] = np.minimum(new[rows], np.where(some, label[other][None, :], np.int32(n)).min(1, initial=n))
+            new[other] = np.minimum(new[other], np.where(some, label[rows][:, None], np.int32(n)).min(0, initial=n))
         new = new[new]
         if (new == label).all():
             return label
@@ -73,18 +101,27 @@ def _units(vectors: pd.Series) -> np.ndarray:
 def _compared(threshold: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
-        unit, own = _units(group["vector"]), (group["side"] & 1).to_numpy() > 0
-        other = (group["side"] & 2).to_numpy() > 0
-        linked = np.zeros((len(unit), len(unit)), bool)
-        linked[np.ix_(own, other)] = unit[own] @ unit[other].T >= threshold
-        linked |= linked.T
-        np.fill_diagonal(linked, False)
-        found = linked.any(1)
+        unit, copies = _units(group["vector"]), group["copies"].to_numpy(np.float64)
+        own, other = (np.nonzero((group["side"] & k).to_numpy() > 0)[0] for k in (1, 2))
+        same = len(own) == len(unit) == len(other)
+        linked, n = np.zeros((len(own), len(other)), bool), np.zeros(len(unit))
+        for start in range(0, len(own), PRODUCT_ROWS):
+            rows = own[start : start + PRODUCT_ROWS]
+            some = unit[rows] @ unit[other].T >= threshold
+            if same:
+                some[np.arange(len(rows)), rows] = False
+            linked[start : start + PRODUCT_ROWS] = some
+            n[rows] += some @ copies[other]
+            if not same:
+                n[other] += copies[rows] @ some
+        found = n > 0
         if not found.any():
             return pd.DataFrame({"id": [], "n": [], "root": []}).astype("int64")
-        linked, group = linked[np.ix_(found, found)], group[found]
-        ids = group["id"].to_numpy()
-        return pd.DataFrame({"id": ids, "n": linked.astype(np.int64) @ group["copies"].to_numpy(), "root": ids[forest(linked)]})
+        place = np.cumsum(found) - 1
+        linked = linked[np.ix_(found[own], found[other])]
+        root = forest(linked, place[own[found[own]]], place[other[found[other]]], int(found.sum()))
+        ids = group["id"].to_numpy()[found]
+        return pd.DataFrame({"id": ids, "n": n[found].astype(np.int64), "root": ids[root]})
 
     return run
 
@@ -109,8 +146,9 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     for dim, n in sorted((r[0], r[1]) for r in vectors.groupBy(F.size("vector")).count().collect()):
         part = vectors.where(F.size("vector") == dim)
         sample = part.select(F.xxhash64("id").alias("h"), "vector").orderBy("h").limit(FIT_ROWS).toPandas()
-        centres = spherical_kmeans(_units(sample["vector"]), max(1, min(MOST_CELLS, math.ceil(n / CELL_ROWS))))
-        found = _links(part, centres, threshold)
+        block = min(BLOCK_ROWS, max(1024, BLOCK_VALUES // dim))
+        centres = fitted_cells(_units(sample["vector"]), n, threshold, block)
+        found = _links(part, centres, threshold, block)
         answers = found if answers is None else answers.union(found)
     if answers is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
@@ -128,7 +166,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     )
 
 
-def _links(part: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
+def _links(part: DataFrame, centres: np.ndarray, threshold: float, block_rows: int) -> DataFrame:
     """(id, n, root): link counts and spanning links of each compared pair of blocks."""
     shared = part.sparkSession.sparkContext.broadcast(centres)
 
@@ -143,7 +181,7 @@ def _links(part: DataFrame, centres: np.ndarray, threshold: float) -> DataFrame:
 
     placed = part.select("id", "copies", "vector").mapInPandas(assign, "id long, copies long, vector array<double>, cell long, guest boolean")
     placed = materialised(placed.withColumn("vector", F.col("vector").cast("array<double>")))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.sum((~F.col("guest")).cast("long")) / BLOCK_ROWS).alias("homes"), F.ceil(F.sum(F.col("guest").cast("long")) / BLOCK_ROWS).alias("guests")).where("homes > 0")
+    sizes = placed.groupBy("cell").agg(F.ceil(F.sum((~F.col("guest")).cast("long")) / block_rows).alias("homes"), F.ceil(F.sum(F.col("guest").cast("long")) / block_rows).alias("guests")).where("homes > 0")
     rows = placed.join(F.broadcast(sizes), "cell")
     block = F.when(F.col("guest"), F.pmod(F.xxhash64("id"), F.greatest("guests", F.lit(1))) + F.col("homes")).otherwise(F.pmod(F.xxhash64("id"), "homes"))
     rows = rows.withColumn("block", block)

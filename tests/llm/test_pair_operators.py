@@ -122,6 +122,34 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert vectors.near_duplicates(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(("dim", "rank", "cells"), [(64, 4, 8), (64, 4, 64), (384, 8, 64)])
+def test_linked_vectors_of_low_rank_meet(dim, rank, cells):
+    rnd = np.random.default_rng(5)
+    unit = rnd.normal(size=(4000, rank)) @ rnd.normal(size=(rank, dim))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    row, cell, home = vectors.cells_of(unit, vectors.spherical_kmeans(unit, cells))
+    at, own = np.zeros((4000, cells), bool), np.zeros((4000, cells), bool)
+    at[row, cell], own[row, cell] = True, cell == home
+    meet = (own.astype(np.float32) @ at.T.astype(np.float32)) > 0
+    linked = np.triu(unit @ unit.T >= 0.95, 1)
+    assert linked.sum() > 10 and not (linked & ~(meet | meet.T)).any()
+
+
+def test_correlated_vectors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 40)
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(vectors, "fitted_cells", lambda sample, n, *_: vectors.spherical_kmeans(sample, 24), raising=False)
+    rnd = np.random.default_rng(6)
+    unit = rnd.normal(size=(900, 4)) @ rnd.normal(size=(4, 64))
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    names = _groups(range(900), list(zip(*np.nonzero(linked), strict=True)))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(table).collect()}
+    assert got == {i: (linked[i].sum(), names[i], names[i] == i) for i in range(900)}
+
+
 def test_exact_boundary_of_the_jaccard_limit(spark):
     words = [f"a{i}" for i in range(13)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:12])), (3, " ".join(words[:11])), (4, " ".join(words[:10]))], "doc_id long, text string")

@@ -13,7 +13,7 @@ import hashlib
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,6 +27,8 @@ from stratapanel.llm.common import short_batches
 FIT_DOCS, TERMS = 40_000, 400
 #: A toxic document asks for so many terms; a term must serve so many that ask, and be so many times as frequent as elsewhere.
 ASKED, LEAST_DOCS, LEAST_RATIO = 3, 4, 5.0
+#: Toxic documents whose sets of words are so alike (Jaccard) count as one; they are found by so many bands of so many minhashes.
+COPY_LIKENESS, BANDS, BAND_HASHES = 0.8, 10, 6
 #: Letters of a stem.
 STEMS = range(3, 9)
 # Look-alike letters of other scripts, and digits and signs that stand for letters.
@@ -157,9 +159,45 @@ def terms_of(has: set[str]) -> set[str]:
     return has | {f"{w[:k]}*" for w in has for k in STEMS if len(w) >= k}
 
 
-def copy_key(has: set[str]) -> int:
-    """The smallest word hash: alike for most near copies, which so count once."""
-    return min((int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest()) for w in has), default=0)
+_FACTORS = np.random.default_rng(6).integers(0, 1 << 63, (BANDS * BAND_HASHES, 2), dtype=np.uint64) | np.uint64(1)
+
+
+def bands(has: set[str]) -> list[int]:
+    """A hash of each band of minhashes: near copies share one or more, other documents seldom."""
+    if not has:
+        return [0] * BANDS
+    hashes = np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest()) for w in has], np.uint64)
+    least = np.array([((hashes ^ (hashes >> np.uint64(31)) ^ b) * a >> np.uint64(8)).min() for a, b in _FACTORS], np.uint64).reshape(BANDS, BAND_HASHES)
+    return [int.from_bytes(hashlib.blake2b(row.tobytes(), digest_size=8).digest(), signed=True) for row in least]
+
+
+def without_copies(rows: Iterable[tuple[list[int], str]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """All words, and the word numbers of each document (bands, words joined by spaces) that is no near copy of one before."""
+    number: dict[str, int] = {}
+    kept: list[np.ndarray] = []
+    at: defaultdict[tuple[int, int], list[int]] = defaultdict(list)
+    for keys, text in rows:
+        own = np.sort(np.array([number.setdefault(w, len(number)) for w in text.split()], np.int32))
+        near = {i for key in enumerate(keys) for i in at[key]}
+        if any(_likeness(own, kept[i]) >= COPY_LIKENESS for i in near):
+            continue
+        for key in enumerate(keys):
+            at[key].append(len(kept))
+        kept.append(own)
+    return np.array(list(number), object), kept
+
+
+def _likeness(a: np.ndarray, b: np.ndarray) -> float:
+    if min(len(a), len(b)) < COPY_LIKENESS * max(len(a), len(b)):
+        return 0.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(len(a) + len(b) - both, 1) if len(a) + len(b) else 1.0
+
+
+def worthy(everywhere: Counter, n: int, others: Counter, n_others: int) -> dict[str, float]:
+    """The logarithm of how many times as frequent as elsewhere each term is that may be chosen."""
+    ratio = lambda w: (everywhere[w] / n) / ((others[w] + 0.5) / (n_others + 1))
+    return {w: float(np.log(ratio(w))) for w, k in everywhere.items() if k >= LEAST_DOCS and len(w) >= 3 and ratio(w) >= LEAST_RATIO}
 
 
 def choose_terms(toxic: list[set[str]], others: Counter, n_others: int) -> dict[str, float]:
@@ -167,12 +205,10 @@ def choose_terms(toxic: list[set[str]], others: Counter, n_others: int) -> dict[
     everywhere: Counter = Counter()
     for has in toxic:
         everywhere.update(has)
-    ratio = lambda w: (everywhere[w] / len(toxic)) / ((others[w] + 0.5) / (n_others + 1))
-    good = {w for w, k in everywhere.items() if k >= LEAST_DOCS and len(w) >= 3 and ratio(w) >= LEAST_RATIO}
-    worth = {w: float(np.log(ratio(w))) for w in good}
+    worth = worthy(everywhere, len(toxic), others, n_others)
     serves = defaultdict(set)
     for i, has in enumerate(toxic):
-        for word in has & good:
+        for word in has & worth.keys():
             serves[word].add(i)
     asks = [ASKED] * len(toxic)
     weights: dict[str, float] = {}
@@ -198,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_docs: int = FIT_D
     """The lexicon and curve learned from labelled documents (doc_id, toxic) where ``train`` (over doc_id) holds.
 
     At most ``fit_docs`` labels are used, chosen by a hash of the id; that bound holds for all that is broadcast or
-    brought to the driver. Without labels of both kinds the lexicon is empty.
+    brought to the driver. Toxic near copies (a checked Jaccard likeness) count once. Without labels of both kinds the lexicon is empty.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -209,15 +245,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_docs: int = FIT_D
     def toxic_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [set(words(fold(x.as_py().decode("utf-8", "replace")))) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([copy_key(r) >> 1 for r in rows], pa.int64()), pa.array([" ".join(sorted(r)) for r in rows], pa.string())], ["key", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array([bands(r) for r in rows], pa.list_(pa.int64())), pa.array([" ".join(sorted(r)) for r in rows], pa.string())], ["bands", "words"])
 
-    one = chosen.where("toxic > 0").mapInArrow(toxic_words, "key bigint, words string").groupBy("key").agg(F.min("words").alias("words"))
-    toxic = [terms_of(set(t.split())) for t in one.select("words").toPandas()["words"]]
-    if not toxic:
+    rows = chosen.where("toxic > 0").mapInArrow(toxic_words, "bands array<bigint>, words string").toPandas().sort_values("words", kind="stable")
+    if rows.empty:
         return Lexicon({}, exceptions)
+    names, once = without_copies(zip(rows["bands"], rows["words"], strict=True))
+    del rows
     seen = Counter()
-    for has in toxic:
-        seen.update(has)
+    for own in once:
+        seen.update(terms_of(set(names[own])))
     asked = spark.sparkContext.broadcast(frozenset(w for w, k in seen.items() if k >= LEAST_DOCS))
 
     def other_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,6 +268,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_docs: int = FIT_D
 
     table = chosen.where("toxic = 0").mapInArrow(other_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
     others = Counter(dict(zip(table["word"], table["n"].astype(int), strict=True)))
+    good = {w: w for w in worthy(seen, len(once), others, others[""])}
+    toxic = [{good[w] for w in terms_of(set(names[own])) if w in good} for own in once]
     lexicon = Lexicon(choose_terms(toxic, others, others[""]), exceptions)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -133,6 +133,20 @@ class TestToxicity:
 
         assert set(toxicity.choose_terms(toxic, Counter({"a": 50, "b": 40, "c": 45, "d": 50}), 100)) == {"foo", "bar"}
 
+    def test_only_near_copies_count_once(self, spark):
+        import hashlib
+        import itertools
+
+        # Unrelated documents share the word of the smallest hash.
+        least = min(map("".join, itertools.product("bcdfghjklmnpqrstvwxz", repeat=4)), key=lambda w: hashlib.blake2b(w.encode(), digest_size=8).digest())
+        plain = lambda i, k: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(k))
+        docs = [(i, f"{least} {plain(i, 12)} {'zorgle' if i < 5 else 'vexum'}") for i in range(60)] + [(100 + i, f"{least} {plain(200 + i, 12)}") for i in range(200)]
+        docs += [(400 + i, f"{plain(450, 20)} brindle {chr(97 + i)}x") for i in range(8)]
+        labels = [(i, int(i < 60 or i >= 400)) for i, _ in docs]
+        lexicon = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+        scores = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame([(0, "you zorgle"), (1, "vexum"), (2, "plain"), (3, "brindle")], "doc_id long, text string"), lexicon).collect()}
+        assert scores[0] > 0.5 and scores[1] > 0.5 and scores[2] < 0.3 and scores[3] < 0.3
+
     def test_held_out_accuracy(self, spark):
         labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
         got = queries.op6_toxicity(spark, "/root/testdata/sf0.1").join(labels, "doc_id").where("held_out and toxic is not null")

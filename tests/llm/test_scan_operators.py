@@ -60,6 +60,17 @@ class TestPii:
         found = pii.find(docs, pii.fit(docs)).collect()
         assert all({tuple(s) for s in r["base"]} <= {tuple(s) for s in r["spans"]} for r in found)
 
+    @pytest.mark.parametrize("plain", [True, False])
+    def test_trees_add_hidden_data_and_no_other_numbers(self, spark, plain):
+        rows = [(i, f"call +1 ({300 + i}) 555-{4000 + 7 * i} now or mail u{i}@mail.com, card 4111 1111 1111 1111") for i in range(60 if plain else 0)]
+        hidden = ["write jo.doe (at) host (dot) com today", "so kim[at]post[dot]org here", "phone (555) 123-4567 now", "or 555-867-5309 then"]
+        rows += [(1000 + i, t) for i, t in enumerate(hidden)]
+        rows += [(2000 + i, t) for i, t in enumerate(["see version 4.0.12 here", "version 1.2.300.4.5 here", "id 9859476043669043 ok", "the 9000000000000017 there", "on 2024-01-15 we", "it was (at) 5.30 then", "years 1990-2000 and"])]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r["doc_id"]: r["text"] for r in pii.redact(docs, pii.fit(docs)).collect()}
+        assert [got[1000 + i] for i in range(4)] == ["write [EMAIL] today", "so [EMAIL] here", "phone [PHONE] now", "or [PHONE] then"]
+        assert {i: got[i] for i, _ in rows if i >= 2000} == {i: t for i, t in rows if i >= 2000}
+
     def test_redaction(self, docs, spark):
         clean = pii.redact(docs, pii.Detector(None, (2.0,) * 4))
         assert clean.columns == docs.columns and clean.dtypes == docs.dtypes

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from stratapanel.llm.common import materialised
 
 
+def digest(edges: DataFrame) -> tuple:
+    """Number of edges and the exclusive or of their hashes, which no number of edges can overflow."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node that a link names; component is the smallest node reachable.
 
@@ -26,7 +31,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
         edges = materialised(small)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
+        now = digest(edges)
         if now == before:
             break
         before = now

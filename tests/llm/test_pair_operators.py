@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from stratapanel.llm import ngram_join, vectors
-from stratapanel.llm.components import components
+from stratapanel.llm.components import components, digest
 
 
 def _groups(items, linked) -> dict:
@@ -98,6 +98,12 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_digest_of_very_many_edges(spark):
+    edges = spark.range(1 << 25).selectExpr("id + 1 as a", "id as b")
+    n, mark = digest(edges)
+    assert n == 1 << 25 and digest(edges.where("a <> 7"))[1] != mark
+
+
 def test_vectors_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vectors, "CELL_ROWS", 40)
     monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)

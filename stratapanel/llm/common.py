@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to a Python worker. Texts may be long, so batches are kept short.
-ARROW_ROWS = 2000
+#: Rows and bytes of an Arrow batch sent to a Python worker at most (a single longer text is a batch of its own).
+ARROW_ROWS, ARROW_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; ``/tmp/checkpoints`` only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """The folder all executors share, as the session names it; a single machine without one uses its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{tempfile.gettempdir()}/checkpoints"
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -25,8 +32,13 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so lost executors cost no recomputation."""
+def materialised(df: DataFrame, files: int = 0) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, so lost executors cost no recomputation.
+
+    A file is written for each partition, empty ones too: results known to be narrow can be kept in ``files`` of them.
+    """
+    if files:
+        df = df.coalesce(files)
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
@@ -35,9 +47,10 @@ def materialised(df: DataFrame) -> DataFrame:
 
 def short_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small enough for a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(re.sub("[^0-9-]", "", spark.conf.get(key))) <= most:
+            spark.conf.set(key, str(most))
 
 
 def crc_remainder(doc_id: Column, by: int) -> Column:

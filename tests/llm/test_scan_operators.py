@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import random
 import re
+import tracemalloc
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +193,64 @@ class TestWarc:
         data = warc.record(1, None, b"hello", None).replace(b"hello", b"hellO")
         (gap,) = warc.scan(data)
         assert gap.reason == "payload digest differs"
+
+    def test_salvage_within_a_member(self):
+        records = [warc.record(i, f"http://a/{i}", bytes([65 + i]) * 3000, None) for i in range(6)]
+        wrong = records[1].replace(b"BBBB", b"BBXB", 1)
+        longer = records[3].replace(b"Content-Length: 3", b"Content-Length: 9", 1)
+        whole = warc.member(b"".join((records[0], wrong, records[2], longer, records[4])))
+        events = list(warc.scan(whole + warc.member(records[5]), keep=False))
+        assert [e.headers["warc-record-id"] for e in events if isinstance(e, warc.Record)] == [f"<urn:page:{i}>" for i in (0, 2, 4, 5)]
+        gaps = [e for e in events if isinstance(e, warc.Gap)]
+        sizes = [len(x) for x in (records[0], wrong, records[2], longer)]
+        assert [g.inner for g in gaps] == [(sizes[0], sum(sizes[:2])), (sum(sizes[:3]), sum(sizes))] and {g.start for g in gaps} == {0}
+
+    def test_records_before_the_damage_of_a_member_count(self):
+        rnd = random.Random(3)
+        records = [warc.record(i, None, rnd.randbytes(20_000), None) for i in range(8)]
+        whole = bytearray(warc.member(b"".join(records)))
+        whole[len(whole) * 3 // 4] ^= 0xFF
+        later = warc.member(warc.record(9, None, b"later", None))
+        pages = [e.headers["warc-record-id"] for e in warc.scan(bytes(whole) + later) if isinstance(e, warc.Record)]
+        assert pages[:5] == [f"<urn:page:{i}>" for i in range(5)] and pages[-1] == "<urn:page:9>" and "<urn:page:6>" not in pages[:6]
+        checksum = bytearray(warc.member(records[0] + warc.record(1, None, b"", 7)))
+        checksum[-6] ^= 0xFF
+        events = list(warc.scan(bytes(checksum) + later))
+        assert [type(e) for e in events] == [warc.Record, warc.Gap, warc.Record]
+
+    @pytest.mark.parametrize("packed", [False, True])
+    def test_long_archive_in_bounded_memory(self, tmp_path, packed):
+        payload = random.Random(4).randbytes(1 << 20)
+        one = warc.record(1, None, payload, None)
+        with open(tmp_path / "long", "wb") as out:
+            packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+            for _ in range(300):
+                out.write(packer.compress(one) if packed else one)
+            if packed:
+                out.write(packer.flush())
+        tracemalloc.start()
+        with open(tmp_path / "long", "rb") as file:
+            n = sum(isinstance(e, warc.Record) and e.payload_bytes == 1 << 20 for e in warc.scan(file, keep=False))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == 300 and peak < 12 << 20
+
+    def test_null_and_repeated_page_ids(self, spark, tmp_path):
+        pages = spark.createDataFrame([(None, "a", "same"), (None, "b", "same"), (5, "c", "same"), (5, "c", "same"), (4, None, "same")], "page_id long, url string, html string")
+        warc.write(warc.with_revisits(pages), str(tmp_path / "w"))
+        got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.read(spark, str(tmp_path / "w")).collect()]
+        assert sorted(got, key=str) == sorted([(None, "response", None), (None, "response", None), (5, "response", None), (5, "response", None), (4, "revisit", 5)], key=str)
+
+    def test_a_damaged_archive_fails_the_query(self, spark, tables, monkeypatch):
+        def damaged(rows, path):
+            out = write(rows, path)
+            name = sorted(p for p in os.listdir(path) if p.startswith("part-"))[0]
+            with open(f"{path}/{name}", "r+b") as file:
+                file.seek(40)
+                file.write(b"XXXX")
+            return out
+
+        write = warc.write
+        monkeypatch.setattr(warc, "write", damaged)
+        with pytest.raises(Exception, match="damaged archive"):
+            queries.op7_warc(spark, tables).collect()

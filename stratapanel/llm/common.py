@@ -45,6 +45,13 @@ def materialised(df: DataFrame, files: int = 0) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again; unlike a checkpoint it can be read by column."""
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small enough for a worker's memory."""
     for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):

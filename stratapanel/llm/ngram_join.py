@@ -1,43 +1,41 @@
 """Jaccard self-join of word n-gram sets by vertical partitioning.
 
-Every n-gram has a place in one global order of 64-bit hashes. The order is cut into fragments: blocks of documents
-send each fragment their n-grams there, packed, and a fragment counts in how many documents each occurs. N-grams
-of one document only can't count towards an overlap, so a document whose other n-grams, summed over the fragments,
-are too few for any link is finished. The rest, mostly real copies, keep their shared n-grams in the order of
-(frequency class, hash) and are joined on a prefix of that order that any linked pair must share. Equal sets are
-one node; a posting list first links its nodes to its most central one, and only nodes still in different
-components are paired. A pair's overlap is counted fragment by fragment and summed.
+Equal sets are one node. Two frequency passes leave only nodes that can link: a node dies when too few of its n-grams
+occur in other nodes. The first pass looks at a fixed third of all 64-bit n-gram hashes (at all n-grams of small
+sets), the second at all n-grams of the nodes that are left, mostly real copies. These have their shared n-grams in
+one global order of (frequency class, hash) and are joined on a prefix of that order that any linked pair must share;
+a posting list first links its nodes to its most central one, and only nodes still in different components are
+paired. The order is cut into fragments at pivots of its quantiles; a pair's overlap is counted in each fragment
+separately and summed. N-grams travel as plain rows (node, hash): their volume is in proportion to the text
+whatever its size, counts are combined before they are shuffled, and joins on a hot n-gram can be split.
 """
 
 from __future__ import annotations
 
-import math
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import blocks, materialised, short_batches
+from stratapanel.llm.common import blocks, materialised, short_batches, written
 from stratapanel.llm.components import components
 
 #: Words of an n-gram; a link needs 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 80
-#: Characters of a block of documents; characters whose n-grams one fragment holds on average; fragments at least.
-BLOCK_CHARS, FRAGMENT_CHARS, LEAST_FRAGMENTS = 500_000, 8_000_000, 64
+#: Characters of texts that are hashed together.
+BLOCK_CHARS = 500_000
+#: The first pass takes n-grams below this signed hash (a third of all); smaller sets are taken whole.
+SAMPLE_BELOW, SMALL = (1 << 64) // 3 - (1 << 63), 64
 #: Fragments of the order when overlaps of pairs are counted.
 PAIR_FRAGMENTS = 4
-#: Bits of a hash that are kept inside a fragment.
-_REST = np.uint64(40)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BASE = 0x9E3779B97F4A7C15
-_UP = _DOWN = np.ones(1, np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,14 +45,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    global _UP, _DOWN
-    while len(_UP) < n:
-        k = len(_UP)
-        _UP = np.r_[_UP, _UP * np.uint64(pow(_BASE, k, 1 << 64))]
-        _DOWN = np.r_[_DOWN, _DOWN * np.uint64(pow(_BASE, -k, 1 << 64))]
-    return _UP, _DOWN
+def word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic hash of each word, of words that stand side by side in ``letters``."""
+    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
+    hashes = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist())
+    return np.frombuffer(hashes, np.uint64)[words.indices.to_numpy()] if len(sizes) else np.zeros(0, np.uint64)
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +60,10 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     has its whole sequence as one n-gram, a text without words none.
     """
     data = np.frombuffer(b"\n" + b"\n".join(texts).translate(_LOWER) + b"\n", np.uint8)
-    up, down = _powers(len(data))
     space = _SPACE[data]
     starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
     ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])
-    words = mixed((sums[ends - 1] - sums[starts - 1]) * down[starts])
+    words = word_hashes(data[~space], ends - starts)
     limits = 1 + np.cumsum([0, *(len(t) + 1 for t in texts)])
     doc = np.searchsorted(limits, starts, side="right") - 1
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -104,90 +98,53 @@ def _reduced(how: np.ufunc, values: np.ndarray, starts: np.ndarray, n: np.ndarra
     return out
 
 
-_PACKED = "frag long, batch long, ids binary, n binary, one binary, two binary, low binary, high binary"
-
-
-def _packed(fragments: int):
-    """A block's header, and its n-grams by fragment: counts by document, then the bits below the fragment."""
-    names = [x.split()[0] for x in _PACKED.split(", ")]
-    kinds = [pa.int64(), pa.int64()] + [pa.binary()] * 6
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch_id = TaskContext.get().partitionId() << 24
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = [x.as_py() or b"" for x in batch.column(1)]
-            for a, b in blocks([len(t) for t in texts], BLOCK_CHARS):
-                grams, doc = shingle_sets(texts[a:b])
-                n = np.bincount(doc, minlength=b - a).astype(np.uint32)
-                at = np.cumsum(n, dtype=np.int64) - n
-                one, two = _reduced(np.add, mixed(grams), at, n), _reduced(np.bitwise_xor, mixed(grams + np.uint64(_BASE)), at, n)
-                rows = [(batch_id % fragments, batch_id, ids[a:b].tobytes(), n.tobytes(), one.tobytes(), two.tobytes(), None, None)]
-                frag = ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-                order = np.argsort(frag * np.uint64(b - a) + doc.astype(np.uint64), kind="stable")
-                rest, frag, doc = (grams & np.uint64((1 << 40) - 1))[order], frag[order].astype(np.int64), doc[order]
-                cut = np.searchsorted(frag, np.arange(fragments + 1))
-                for f in np.flatnonzero(np.diff(cut)):
-                    part, own = rest[cut[f] : cut[f + 1]], doc[cut[f] : cut[f + 1]]
-                    count = np.bincount(own, minlength=b - a).astype(np.uint32)
-                    rows.append((int(f), batch_id, None, count.tobytes(), None, None, part.astype(np.uint32).tobytes(), (part >> np.uint64(32)).astype(np.uint8).tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                batch_id += 1
-
-    return run
-
-
-def _shared_grams(group: pd.DataFrame) -> pd.DataFrame:
-    """A fragment's n-grams of two documents or more, packed as before, with frequency classes in ``one``."""
-    heads, parts = group[group["low"].isna()], group[~group["low"].isna()].sort_values("batch", kind="stable")
-    if not len(parts):
-        return heads
-    value = np.frombuffer(b"".join(parts["low"]), np.uint32).astype(np.uint64) | (np.frombuffer(b"".join(parts["high"]), np.uint8).astype(np.uint64) << np.uint64(32))
-    order = np.argsort(value)
-    ordered = value[order]
-    start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    count = np.diff(np.r_[start, len(ordered)])
-    frequency = np.empty(len(value), np.int64)
-    frequency[order] = np.repeat(count, count)
-    level = np.minimum(8 * np.log2(frequency), 255).astype(np.uint8)
-    low, high = value.astype(np.uint32), (value >> np.uint64(32)).astype(np.uint8)
-    out, at = [], 0
-    for frag, batch, n, packed in zip(parts["frag"], parts["batch"], parts["n"], parts["low"], strict=True):
-        size = len(packed) // 4
-        keep = frequency[at : at + size] > 1
-        if keep.any():
-            count = np.frombuffer(n, np.uint32)
-            owner = np.repeat(np.arange(len(count)), count)[keep]
-            part = slice(at, at + size)
-            out.append((frag, batch, None, np.bincount(owner, minlength=len(count)).astype(np.uint32).tobytes(), level[part][keep].tobytes(), None, low[part][keep].tobytes(), high[part][keep].tobytes()))
-        at += size
-    return pd.concat([heads, pd.DataFrame(out, columns=group.columns)]) if out else heads
-
-
-_DOCS = "doc_id long, n int, one long, two long, shared int, grams array<long>"
-
-
-def _reassembled(group: pd.DataFrame) -> pd.DataFrame:
-    """A block's documents; those with enough shared n-grams have these in (frequency class, hash) order."""
-    head = group[group["low"].isna()].iloc[0]
-    n = np.frombuffer(head["n"], np.uint32).astype(np.int64)
-    parts = group[~group["low"].isna()]
-    owner, level, value = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)], [np.zeros(0, np.uint64)]
-    for frag, count, one, low, high in zip(parts["frag"], parts["n"], parts["one"], parts["low"], parts["high"], strict=True):
-        count = np.frombuffer(count, np.uint32)
-        owner.append(np.repeat(np.arange(len(count)), count))
-        level.append(np.frombuffer(one, np.uint8))
-        value.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint8).astype(np.uint64) << np.uint64(32)) | (np.uint64(frag) << _REST))
-    owner, level, value = map(np.concatenate, (owner, level, value))
-    shared = np.bincount(owner, minlength=len(n))
-    live = (n > 0) & (100 * shared >= PERCENT * n)
-    keep = live[owner]
-    owner, level, value = owner[keep], level[keep], value[keep]
-    order = np.lexsort((value, level, owner))
-    value = value[order].view(np.int64)
-    cut = np.searchsorted(owner[order], np.arange(len(n) + 1))
-    grams = [value[cut[i] : cut[i + 1]] if live[i] else None for i in range(len(n))]
-    return pd.DataFrame({"doc_id": np.frombuffer(head["ids"], np.int64), "n": n.astype(np.int32), "one": np.frombuffer(head["one"], np.int64), "two": np.frombuffer(head["two"], np.int64), "shared": shared.astype(np.int32), "grams": grams})
+def _lists(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def _blocks_of(batch: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(start, end, n-grams, their row, n-grams by row) of blocks of a batch's texts."""
+    texts = [x.as_py() or b"" for x in batch.column(place)]
+    for a, b in blocks([len(t) for t in texts], BLOCK_CHARS):
+        grams, doc = shingle_sets(texts[a:b])
+        yield a, b, grams, doc, np.bincount(doc, minlength=b - a)
+
+
+_SETS = "doc_id long, h long, n int, one long, two long, need int, some array<long>"
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, h, text): size and digest of each set, the n-grams it shows in the first pass, and how many of those it asks for must be shared."""
+    for batch in batches:
+        for a, b, grams, doc, n in _blocks_of(batch, 2):
+            at = np.cumsum(n) - n
+            one, two = _reduced(np.add, mixed(grams), at, n), _reduced(np.bitwise_xor, mixed(grams + np.uint64(_BASE)), at, n)
+            sampled = grams.view(np.int64) < SAMPLE_BELOW
+            shown = sampled | (n * PERCENT < SMALL * 100)[doc]
+            asked = np.bincount(doc[sampled | (n < SMALL)[doc]], minlength=b - a)
+            need = asked - n * (100 - PERCENT) // 100
+            some = _lists(grams[shown], np.bincount(doc[shown], minlength=b - a))
+            columns = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(need.astype(np.int32)), some]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "one", "two", "need", "some"])
+
+
+def _all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, h, text): all n-grams of each set."""
+    for batch in batches:
+        for a, b, grams, _, n in _blocks_of(batch, 2):
+            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int32)), _lists(grams, n)], ["doc_id", "h", "n", "grams"])
+
+
+def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for *_, n in _blocks_of(batch, 0):
+            yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64))], ["n_shingles"])
+
+
+def _shared(occurrences: DataFrame) -> DataFrame:
+    """The rows whose ``gram`` occurs in another row, with its frequency ``df``."""
+    often = occurrences.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    return occurrences.join(often, "gram")
 
 
 def _may_link(n: Column, m: Column) -> Column:
@@ -208,63 +165,67 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Two rows link if their sets of distinct five-word n-grams have a Jaccard similarity of 0.8 or more; the
     component is the smallest id reachable. Null texts and texts without words have an empty set and no links.
-    Equal sets are one node, so repeated rows and exact copies link. Ids are integers. A row without an id can't be
-    named as a partner: it links with nothing and has no component. Other columns are ignored; an empty table gives an
-    empty result. Words are compared by 64-bit hashes, n-grams by 40 bits within their fragment.
+    Equal sets are one node, so repeated rows and exact copies link; rows of one id with different texts are
+    different nodes. Ids are integers. A row without an id can't be named as a partner: it links with nothing and has
+    no component. Other columns are ignored; an empty table gives an empty result. Words and n-grams are compared
+    by 64-bit hashes, sets by 128 bits.
     """
     nameless = docs.where(F.col(id_col).isNull()).select(F.col(text_col).cast("binary")).mapInArrow(_set_sizes, "n_shingles long")
     nameless = nameless.select(F.lit(None).cast("long").alias(id_col), "n_shingles", F.lit(None).cast("long").alias("component_id"))
-    return _similar(docs.where(F.col(id_col).isNotNull()), id_col, text_col).union(nameless)
-
-
-def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [x.as_py() or b"" for x in batch.column(0)]
-        for a, b in blocks([len(t) for t in texts], BLOCK_CHARS):
-            n = np.bincount(shingle_sets(texts[a:b])[1], minlength=b - a)
-            yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64))], ["n_shingles"])
+    named = _similar(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component.doc_id").alias("component_id"))
+    return named.union(nameless)
 
 
 def _similar(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``similar_documents`` of rows that have an id."""
-    spark = docs.sparkSession
-    short_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    fragments = max(LEAST_FRAGMENTS, math.ceil(total / FRAGMENT_CHARS))
-    packed = rows.mapInArrow(_packed(fragments), _PACKED)
-    shared = packed.groupBy("frag").applyInPandas(_shared_grams, _PACKED)
-    found = materialised(shared.groupBy("batch").applyInPandas(_reassembled, _DOCS))
-    alone = found.where("grams is null").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    live = found.where("grams is not null")
-    nodes = live.groupBy("one", "two", "n").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("shared").alias("shared"), F.first("grams").alias("grams"))
-    nodes = materialised(nodes.withColumn("node", F.xxhash64("one", "two", "n")))
-    links = _links(nodes)
-    named = components(links)
-    classes = nodes.select("one", "two", "node", "first_id").join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = materialised(classes)
-    first = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_set = classes.join(first, "component").select("one", "two", "component_id")
-    joined = live.select("doc_id", "n", "one", "two").join(by_set, ["one", "two"])
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id").union(alone).withColumnRenamed("doc_id", id_col)
+    """(doc_id, h, n, component) of rows that have an id; a row is named by its id and the hash of its text, and a component by its least row."""
+    short_batches(docs.sparkSession)
+    text = F.col(text_col).cast("binary")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    sets = written(rows.mapInArrow(_sets, _SETS), "sets")
+    row = F.struct("doc_id", "h")
+    found = sets.where("n > 0").groupBy("one", "two", "n")
+    nodes = found.agg(F.min(row).alias("node"), F.first("need").alias("need"), F.first("some").alias("some"))
+    shown = nodes.select("node.*", "n", "need", F.explode("some").alias("gram"))
+    asked = _shared(shown).where((F.col("n") < SMALL) | (F.col("gram") < SAMPLE_BELOW))
+    live = asked.groupBy("doc_id", "h", "need").agg(F.count(F.lit(1)).alias("k")).where("k >= need").select("doc_id", "h")
+    live = live.union(nodes.where("need <= 0").select("node.*")).distinct()
+    once = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+    whole = materialised(once.join(live, ["doc_id", "h"]).mapInArrow(_all_grams, "doc_id long, h long, n int, grams array<long>"))
+    order = F.struct((F.floor(8 * F.log2("df")) + F.col("gram") / 2.0**64 + 0.5).alias("key"), "gram")
+    ordered = _shared(whole.select("doc_id", "h", "n", F.explode("grams").alias("gram"))).groupBy("doc_id", "h", "n").agg(F.sort_array(F.collect_list(order)).alias("grams"))
+    ordered = ordered.withColumn("shared", F.size("grams")).where(F.col("shared") * 100 >= F.col("n") * PERCENT)
+    named = components(_links(materialised(ordered.select(row.alias("node"), "n", "shared", "grams"))))
+    classes = found.agg(F.min(row).alias("node"), F.count(F.lit(1)).alias("rows")).join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    changed = classes.where("rows > 1 or component <> node").select("one", "two", "n", "component")
+    joined = sets.select("doc_id", "h", "n", "one", "two").join(changed, ["one", "two", "n"], "left")
+    return joined.select("doc_id", "h", "n", F.coalesce("component", row).alias("component"))
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one of each group of linked rows, that with the smallest id; columns unchanged.
 
-    Only the ids that go are joined. Of rows that share the id that stays, the one with the smallest hash of its
-    text stays. Rows with an empty set, or without an id, all stay.
+    Only rows that go are joined, by id and text, so rows of one id with unrelated texts are judged each on its own.
+    Of linked rows that share the smallest id, the one with the smallest hash of its text stays, and of repeated
+    rows one. Rows with an empty set, or without an id, all stay.
     """
-    found = materialised(_similar(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
-    go = found.where((F.col(id_col) != F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    twins = found.where("n_shingles > 0").groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__id"))
-    kept = docs.join(go, F.col(id_col) == F.col("__id"), "left_anti")
+    found = written(_similar(docs, id_col, text_col), "similar")
+    mine, own = F.struct("doc_id", "h"), F.xxhash64(F.col(text_col).cast("binary"))
+    go = found.where(mine != F.col("component")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
+    twins = found.where((F.col("n") > 0) & (mine == F.col("component"))).groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
+    same = lambda: (F.col(id_col) == F.col("__id")) & (own == F.col("__h"))
+    kept = docs.join(go, same(), "left_anti")
     if not twins.limit(1).count():
         return kept
-    alike = kept.join(twins, F.col(id_col) == F.col("__id"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    alike = alike.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-    return kept.join(twins, F.col(id_col) == F.col("__id"), "left_anti").union(alike)
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    once = kept.join(twins, same(), "left_semi").toDF(*names).withColumn("__h", F.xxhash64(F.col(names[docs.columns.index(text_col)]).cast("binary")))
+    once = once.groupBy(names[docs.columns.index(id_col)], "__h").agg(*(F.first(c).alias(f"{c}_") for c in names))
+    return kept.join(twins, same(), "left_anti").union(once.select(*(f"{c}_" for c in names)).toDF(*docs.columns))
+
+
+def _pivots(nodes: DataFrame) -> list[float]:
+    """Keys that cut the occurrences of the order into ``PAIR_FRAGMENTS`` parts of about one size."""
+    parts = [i / PAIR_FRAGMENTS for i in range(1, PAIR_FRAGMENTS)]
+    return sorted(nodes.select(F.explode("grams.key").alias("key")).agg(F.percentile_approx("key", parts)).first()[0] or [])
 
 
 def _links(nodes: DataFrame) -> DataFrame:
@@ -272,15 +233,19 @@ def _links(nodes: DataFrame) -> DataFrame:
 
     A posting knows the place of its n-gram in its node's order. If that is the first n-gram a pair shares, the
     overlap is at most what follows in either node, so the posting serves partners up to a size (``reach``) only.
-    Postings that reach no node of their list are dropped before any pair is made. Lists are written before they
-    are joined, so that a very frequent n-gram is a skewed join key that is split, not one task.
+    Postings that reach no node of their list are dropped before any pair is made. Rare n-grams come first, so a
+    passage of very many nodes is in a prefix only where nearly all of a node is such passages. Lists are written
+    before they are joined, so that a very frequent n-gram is a skewed join key that is split, not one task.
     """
-    fragment = lambda i: F.filter("grams", lambda x: F.pmod(x, F.lit(PAIR_FRAGMENTS)) == i)
-    pieces = F.array(*(F.struct(F.lit(i).alias("f"), fragment(i).alias("part")) for i in range(PAIR_FRAGMENTS)))
-    segments = nodes.select("node", F.explode(pieces).alias("x")).select("node", "x.f", "x.part")
+    pivots = _pivots(nodes)
+    bounds = [None, *pivots, *[float("inf")] * (PAIR_FRAGMENTS - 1 - len(pivots)), None]
+    inside = lambda low, high: lambda x: (F.lit(True) if low is None else x["key"] >= low) & (F.lit(True) if high is None else x["key"] < high)
+    part = lambda i: F.transform(F.filter("grams", inside(bounds[i], bounds[i + 1])), lambda x: x["gram"])
+    pieces = F.array(*(F.struct(F.lit(i).alias("f"), part(i).alias("part")) for i in range(PAIR_FRAGMENTS)))
+    segments = nodes.select("node", F.explode(pieces).alias("x")).select("node", "x.f", "x.part").where(F.size("part") > 0)
     needed = F.floor((F.col("n") * PERCENT + 99) / 100)
     prefix = (F.col("shared") - needed + 1).cast("int")
-    postings = nodes.where(prefix > 0).select("node", "n", "shared", F.posexplode(F.slice("grams", F.lit(1), prefix)).alias("i", "gram"))
+    postings = nodes.where(prefix > 0).select("node", "n", "shared", F.posexplode(F.slice("grams.gram", F.lit(1), prefix)).alias("i", "gram"))
     left = F.col("shared") - F.col("i")
     postings = postings.withColumn("reach", F.floor(left * (100 + PERCENT) / PERCENT) - F.col("n")).where(F.col("reach") * 100 >= F.col("n") * PERCENT)
     for _ in range(2):

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratapanel.llm import ngram_join, vectors
@@ -161,3 +162,49 @@ def test_exact_boundary_of_the_jaccard_limit(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:12])), (3, " ".join(words[:11])), (4, " ".join(words[:10]))], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_documents(docs).collect()}
     assert got == {1: (9, 1), 2: (8, 1), 3: (7, 1), 4: (6, 1)}
+
+
+def test_words_that_a_polynomial_modulo_a_power_of_two_confuses_stay_apart(spark):
+    rows = []
+    for k, size in enumerate((1024, 2048, 4096)):
+        word = "".join("ab"[i.bit_count() & 1] for i in range(size))
+        rows += [(2 * k, word), (2 * k + 1, word.translate(str.maketrans("ab", "ba")))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.similar_documents(docs).collect()} == {i: i for i in range(6)}
+    assert ngram_join.kept_documents(docs).count() == 6
+
+
+def test_rows_of_one_id_with_unrelated_texts_all_stay(spark):
+    one, two = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    rows = [(5, one), (5, two), (5, two), (5, ""), (3, one + " more"), (9, two + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.kept_documents(docs).collect())) == [(3, one + " more"), (5, ""), (5, two)]
+
+
+def test_first_pass_keeps_every_linked_node(monkeypatch):
+    rnd = random.Random(8)
+    for n in (5, 40, 63, 64, 70, 79, 80, 98, 99, 300):
+        words = [f"w{rnd.randrange(10**6)}" for _ in range(n + 4)]
+        other = words[: len(words) - (n // 9)] + [f"x{i}" for i in range(n // 9)]
+        texts = [" ".join(w).encode() for w in (words, other)]
+        (batch,) = ngram_join._sets(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array(texts, pa.binary())], ["doc_id", "h", "text"])]))
+        a, b = (set(x) for x in batch.column("some").to_pylist())
+        full = [set(ngram_join.shingle_sets([t])[0].view(np.int64).tolist()) for t in texts]
+        assert 100 * len(full[0] & full[1]) >= 80 * len(full[0] | full[1])
+        for shown, other_shown, size, need in zip((a, b), (b, a), batch.column("n").to_pylist(), batch.column("need").to_pylist(), strict=True):
+            asked = {g for g in shown if size < ngram_join.SMALL or g < ngram_join.SAMPLE_BELOW}
+            assert len(asked & other_shown) >= need
+
+
+def test_a_template_of_many_unlinked_documents_makes_no_pairs(spark, monkeypatch):
+    rnd = random.Random(9)
+    template = [f"t{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        own = [f"o{i}x{j}" for j in range(50)]
+        rows += [(2 * i, " ".join(template + own)), (2 * i + 1, " ".join(template + own[:-1] + [f"z{rnd.random()}"]))]
+    tried = []
+    real = ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_linked", lambda pairs, segments: tried.append(pairs.count()) or real(pairs, segments))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(300)} and sum(tried) <= 300

@@ -1,11 +1,12 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one kept vector a group.
 
 Equal vectors are one row with a number of copies. Centroids are fitted on a bounded sample; every vector goes to
-its nearest cell and to earlier cells whose boundary is so close that a linked vector may lie behind it, so every pair
-at the threshold meets in the earlier cell. The number of cells is the one with the least work on the sample: vectors
-that cells can't part are compared in few cells. A cell's vectors are dealt to blocks of bounded size, and a task multiplies two blocks: a cell that holds a
-third of all rows gives more tasks, not larger ones. A task returns link counts and a spanning forest of its links,
-never all pairs.
+its nearest cell and, as a guest, to earlier cells whose boundary is so close that a linked vector may lie behind it,
+so every pair at the threshold meets in the earlier cell. Cells that stay large are split again in the same way, with
+centroids fitted on a bounded sample of each, so cells don't grow with the table. The number of cells is the one with
+the least work on the sample: vectors that cells can't part are compared in few cells. A cell's vectors are dealt to
+blocks of bounded size, and a task multiplies two blocks: a cell that holds a third of all rows gives more tasks, not
+larger ones. A task returns link counts and a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.llm.common import materialised
 from stratapanel.llm.components import components
 
 THRESHOLD = 0.95
-#: Vectors that centroids are fitted on at most; vectors of a cell on average; cells at most (bounds the broadcast).
+#: Vectors that centroids are fitted on at most; vectors of a cell on average; cells of the first level at most (bounds the broadcast).
 FIT_ROWS, CELL_ROWS, MOST_CELLS = 20_000, 4096, 2048
+#: Levels of cells; a cell of so many times ``CELL_ROWS`` vectors is split again, into so many parts at most, fitted on so many vectors.
+LEVELS, SPLIT_AT, PARTS, PART_FIT_ROWS = 4, 4, 256, 4000
 #: Vectors of a block on average, and its components where that gives fewer vectors (but 1,024 at least).
 BLOCK_ROWS, BLOCK_VALUES = 4096, 1 << 20
 #: Vectors of the sample that the work of a number of cells is estimated on; rows of a product at once.
@@ -58,9 +61,9 @@ def cells_of(unit: np.ndarray, centres: np.ndarray, threshold: float = THRESHOLD
     return row, cell, home[row]
 
 
-def fitted_cells(sample: np.ndarray, n: int, threshold: float = THRESHOLD, block: int = BLOCK_ROWS) -> np.ndarray:
+def fitted_cells(sample: np.ndarray, n: int, threshold: float = THRESHOLD, block: int = BLOCK_ROWS, most: int = MOST_CELLS) -> np.ndarray:
     """Centroids for ``n`` vectors; of several numbers of cells the one with the fewest estimated rows in tasks."""
-    k, best = max(1, min(MOST_CELLS, math.ceil(n / CELL_ROWS))), None
+    k, best = max(1, min(most, len(sample), math.ceil(n / CELL_ROWS))), None
     while True:
         centres = spherical_kmeans(sample, k)
         homes, guests = np.zeros(len(centres)), np.zeros(len(centres))
@@ -99,6 +102,8 @@ def _units(vectors: pd.Series) -> np.ndarray:
 
 
 def _compared(threshold: float):
+    """Of two blocks of a cell, or one with itself: link counts and spanning links. A pair counts unless both are guests of one level."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
         unit, copies = _units(group["vector"]), group["copies"].to_numpy(np.float64)
@@ -166,27 +171,82 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     )
 
 
-def _links(part: DataFrame, centres: np.ndarray, threshold: float, block_rows: int) -> DataFrame:
-    """(id, n, root): link counts and spanning links of each compared pair of blocks."""
+_PLACED = "id long, copies long, vector array<double>, cell string, guest int"
+
+
+def _assigned(rows: pd.DataFrame, centres: np.ndarray, threshold: float, level: int) -> pd.DataFrame:
+    """Rows by the cells of this level that they go to; bit ``level`` of ``guest`` is set outside the nearest one."""
+    out = []
+    for start in range(0, len(rows), PRODUCT_ROWS):
+        some = rows.iloc[start : start + PRODUCT_ROWS]
+        row, cell, home = cells_of(_units(some["vector"]), centres, threshold)
+        placed = some.iloc[row].copy()
+        placed["cell"] = placed["cell"] + "." + pd.Series(cell.astype(str), index=placed.index)
+        placed["guest"] = placed["guest"] | ((cell != home).astype(np.int32) << level)
+        out.append(placed)
+    return pd.concat(out) if out else rows
+
+
+def _split(threshold: float, block: int):
+    """The centroids of a large cell from its sample."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        cuts = fitted_cells(_units(rows["vector"]), int(rows["count"].iloc[0]), threshold, block, PARTS)
+        return pd.DataFrame({"cell": rows["cell"].iloc[0], "centres": [cuts.tolist()]})
+
+    return run
+
+
+def _again(threshold: float, level: int):
+    """A chunk of a large cell by its parts."""
+
+    def run(rows: pd.DataFrame, cuts: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns="chunk")
+        return _assigned(rows, np.array([list(x) for x in cuts["centres"].iloc[0]]), threshold, level) if len(rows) else rows
+
+    return run
+
+
+def _placed(part: DataFrame, centres: np.ndarray, threshold: float, block: int) -> DataFrame:
+    """(id, copies, vector, cell, guest): every vector in each cell it belongs to, large cells split level by level."""
     shared = part.sparkSession.sparkContext.broadcast(centres)
 
-    def assign(batches):
+    def first(batches):
         for batch in batches:
-            for start in range(0, len(batch), 2048):
-                rows = batch.iloc[start : start + 2048]
-                row, cell, home = cells_of(_units(rows["vector"]), shared.value, threshold)
-                out = rows.iloc[row].copy()
-                out["cell"], out["guest"] = cell, cell != home
-                yield out
-
-    placed = part.select("id", "copies", "vector").mapInPandas(assign, "id long, copies long, vector array<double>, cell long, guest boolean")
-    placed = materialised(placed.withColumn("vector", F.col("vector").cast("array<double>")))
-    sizes = placed.groupBy("cell").agg(F.ceil(F.sum((~F.col("guest")).cast("long")) / block_rows).alias("homes"), F.ceil(F.sum(F.col("guest").cast("long")) / block_rows).alias("guests")).where("homes > 0")
-    rows = placed.join(F.broadcast(sizes), "cell")
-    block = F.when(F.col("guest"), F.pmod(F.xxhash64("id"), F.greatest("guests", F.lit(1))) + F.col("homes")).otherwise(F.pmod(F.xxhash64("id"), "homes"))
-    rows = rows.withColumn("block", block)
-    home_tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("homes") + F.col("guests") - 1), lambda j: F.struct(F.least("block", F.when(j < F.col("homes"), j).otherwise(F.col("block"))).alias("i"), F.when(j < F.col("homes"), F.greatest("block", j)).otherwise(j).alias("j")))
-    guest_tasks = F.transform(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j")))
-    tasks = rows.select("id", "copies", "vector", "cell", "block", F.explode(F.when(F.col("guest"), guest_tasks).otherwise(home_tasks)).alias("task"))
-    side = (F.col("block") == F.col("task.i")).cast("int") + 2 * (F.col("block") == F.col("task.j")).cast("int")
-    return tasks.select("id", "copies", "vector", "cell", F.col("task.i").alias("i"), F.col("task.j").alias("j"), side.alias("side")).groupBy("cell", "i", "j").applyInPandas(_compared(threshold), "id long, n long, root long")
+            yield _assigned(batch.assign(cell="", guest=np.int32(0)), shared.value, threshold, 0)
+
+    placed = materialised(part.select("id", "copies", "vector").mapInPandas(first, _PLACED))
+    for level in range(1, LEVELS):
+        large = placed.groupBy("cell").count().where(F.col("count") >= SPLIT_AT * CELL_ROWS)
+        if len(centres) == 1 or not large.limit(1).count():
+            break
+        place = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))
+        sample = placed.join(large, "cell").select("cell", "count", "vector", place.alias("place")).where(F.col("place") <= PART_FIT_ROWS)
+        cuts = materialised(sample.drop("place").groupBy("cell").applyInPandas(_split(threshold, block), "cell string, centres array<array<double>>").where(F.size("centres") > 1))
+        if not cuts.limit(1).count():
+            break
+        chunks = cuts.join(large, "cell").select("cell", "centres", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("count") / CELL_ROWS))).alias("chunk"))
+        dealt = placed.join(large, "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.floor(F.col("count") / CELL_ROWS) + 1)).drop("count").join(cuts.select("cell"), "cell", "left_semi")
+        finer = dealt.groupBy("cell", "chunk").cogroup(chunks.groupBy("cell", "chunk")).applyInPandas(_again(threshold, level), _PLACED)
+        placed = materialised(placed.join(cuts.select("cell"), "cell", "left_anti").select("id", "copies", "vector", "cell", "guest").union(finer))
+    return placed
+
+
+def _links(part: DataFrame, centres: np.ndarray, threshold: float, block_rows: int) -> DataFrame:
+    """(id, n, root): link counts and spanning links of each compared pair of blocks.
+
+    A block holds rows of a cell that are guests of the same levels. Two blocks meet unless their rows are guests of
+    one level together: such pairs meet in the cell where one of them is at home.
+    """
+    placed = _placed(part, centres, threshold, block_rows)
+    sizes = placed.groupBy("cell", "guest").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
+    layout = sizes.groupBy("cell").agg(F.sort_array(F.collect_list(F.struct("guest", "blocks"))).alias("layout"))
+    layout = layout.withColumn("masks", F.flatten(F.transform("layout", lambda x: F.array_repeat(x["guest"], x["blocks"].cast("int")))))
+    rows = placed.join(layout, "cell")
+    mine = F.filter("layout", lambda x: x["guest"] == F.col("guest"))[0]["blocks"]
+    start = F.array_position("masks", F.col("guest")) - 1
+    rows = rows.withColumn("block", start + F.pmod(F.xxhash64("id"), mine))
+    partners = F.filter(F.transform("masks", lambda m, j: F.struct(m.alias("m"), j.cast("long").alias("j"))), lambda x: x["m"].bitwiseAND(F.col("guest")) == 0)
+    tasks = rows.select("id", "copies", "vector", "cell", "block", F.explode(partners).alias("p")).withColumn("i", F.least("block", "p.j")).withColumn("j", F.greatest("block", "p.j"))
+    side = (F.col("block") == F.col("i")).cast("int") + 2 * (F.col("block") == F.col("j")).cast("int")
+    return tasks.select("id", "copies", "vector", "cell", "i", "j", side.alias("side")).groupBy("cell", "i", "j").applyInPandas(_compared(threshold), "id long, n long, root long")

@@ -208,3 +208,20 @@ def test_a_template_of_many_unlinked_documents_makes_no_pairs(spark, monkeypatch
     monkeypatch.setattr(ngram_join, "_linked", lambda pairs, segments: tried.append(pairs.count()) or real(pairs, segments))
     got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(300)} and sum(tried) <= 300
+
+
+def test_cells_split_again_lose_and_double_no_link(spark, monkeypatch):
+    for name, value in {"CELL_ROWS": 30, "BLOCK_ROWS": 16, "MOST_CELLS": 4, "SPLIT_AT": 2, "PARTS": 5}.items():
+        monkeypatch.setattr(vectors, name, value)
+    monkeypatch.setattr(vectors, "fitted_cells", lambda sample, n, threshold, block, most=4: vectors.spherical_kmeans(sample, most))
+    rnd = np.random.default_rng(11)
+    unit = rnd.normal(size=(700, 4)) @ rnd.normal(size=(4, 32))
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(unit)], "vec_id long, embedding array<double>")
+    placed = vectors._placed(table.selectExpr("vec_id as id", "1L as copies", "embedding as vector"), vectors.spherical_kmeans(unit / np.linalg.norm(unit, axis=1, keepdims=True), 4), 0.95, 16)
+    assert max(len(r["cell"].split(".")) for r in placed.select("cell").distinct().collect()) > 2
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.95
+    np.fill_diagonal(linked, False)
+    names = _groups(range(700), list(zip(*np.nonzero(linked), strict=True)))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_duplicates(table).collect()}
+    assert got == {i: (linked[i].sum(), names[i], names[i] == i) for i in range(700)}

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.llm.common import blocks, materialised, short_batches, written
@@ -25,10 +25,14 @@ from stratapanel.llm.components import components
 
 #: Words of an n-gram; a link needs 100 * intersection >= PERCENT * union.
 WORDS, PERCENT = 5, 80
-#: Characters of texts that are hashed together.
-BLOCK_CHARS = 500_000
+#: Characters of texts that are hashed together; bytes from which a word is hashed on its own.
+BLOCK_CHARS, LONG_WORD = 500_000, 256
 #: The first pass takes n-grams below this signed hash (a third of all); smaller sets are taken whole.
 SAMPLE_BELOW, SMALL = (1 << 64) // 3 - (1 << 63), 64
+#: N-grams of so many of about so many documents are hot, and this many of them at most: they are known to be shared and needn't travel.
+HOT_COUNT, HOT_DOCS, MOST_HOT = 16, 20_000, 200_000
+#: Rows whose names are sent to all tasks as a bit map at most (32 bits each); more are joined.
+MARKED_ROWS = 1 << 24
 #: Fragments of the order when overlaps of pairs are counted.
 PAIR_FRAGMENTS = 4
 
@@ -45,12 +49,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64 bits of a cryptographic hash of each word, of words that stand side by side in ``letters``."""
-    offsets = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters))]).dictionary_encode()
-    hashes = b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in words.dictionary.to_pylist())
-    return np.frombuffer(hashes, np.uint64)[words.indices.to_numpy()] if len(sizes) else np.zeros(0, np.uint64)
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words in ``data``: eight bytes at a time through a permutation, long words by BLAKE2."""
+    data, h = np.r_[data, np.zeros(8, np.uint8)], mixed(sizes.astype(np.uint64) + np.uint64(_BASE))
+    at, k = np.flatnonzero(sizes <= LONG_WORD), 0
+    while len(at):
+        left = sizes[at] - k
+        eight = data[(starts[at] + k)[:, None] + np.arange(8)].view("<u8")[:, 0] & _MASKS[np.minimum(left, 8)]
+        h[at] = mixed(h[at] ^ eight)
+        at, k = at[left > 8], k + 8
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : starts[i] + sizes[i]].tobytes(), digest_size=8).digest())
+    return h
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +76,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     space = _SPACE[data]
     starts = np.flatnonzero(~space[1:] & space[:-1]) + 1
     ends = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    words = word_hashes(data[~space], ends - starts)
+    words = word_hashes(data, starts, ends - starts)
     limits = 1 + np.cumsum([0, *(len(t) + 1 for t in texts)])
     doc = np.searchsorted(limits, starts, side="right") - 1
     first = np.searchsorted(doc, np.arange(len(texts) + 1))
@@ -113,19 +126,47 @@ def _blocks_of(batch: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, np
 _SETS = "doc_id long, h long, n int, one long, two long, need int, some array<long>"
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, h, text): size and digest of each set, the n-grams it shows in the first pass, and how many of those it asks for must be shared."""
-    for batch in batches:
-        for a, b, grams, doc, n in _blocks_of(batch, 2):
-            at = np.cumsum(n) - n
-            one, two = _reduced(np.add, mixed(grams), at, n), _reduced(np.bitwise_xor, mixed(grams + np.uint64(_BASE)), at, n)
-            sampled = grams.view(np.int64) < SAMPLE_BELOW
-            shown = sampled | (n * PERCENT < SMALL * 100)[doc]
-            asked = np.bincount(doc[sampled | (n < SMALL)[doc]], minlength=b - a)
-            need = asked - n * (100 - PERCENT) // 100
-            some = _lists(grams[shown], np.bincount(doc[shown], minlength=b - a))
-            columns = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(need.astype(np.int32)), some]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "one", "two", "need", "some"])
+def _sets(hot: np.ndarray, lists: bool = True):
+    """Of (doc_id, h, text): size and digest of each set, n-grams for the first pass, and how many of those it asks for must be shared.
+
+    ``hot`` n-grams (sorted) are shared in any case: they are left out and less is needed. Without ``lists`` no n-grams.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, grams, doc, n in _blocks_of(batch, 2):
+                at = np.cumsum(n) - n
+                one, two = _reduced(np.add, mixed(grams), at, n), _reduced(np.bitwise_xor, mixed(grams + np.uint64(_BASE)), at, n)
+                sampled = grams.view(np.int64) < SAMPLE_BELOW
+                asked = sampled | (n < SMALL)[doc]
+                shown = sampled | (n * PERCENT < SMALL * 100)[doc]
+                if len(hot):
+                    known = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
+                    rest, shown = asked & ~known, shown & ~known
+                    known = np.bincount(doc[asked & known], minlength=b - a)
+                else:
+                    rest, known = asked, 0
+                need = np.bincount(doc[rest], minlength=b - a) - n * (100 - PERCENT) // 100
+                some = _lists(grams[shown], np.bincount(doc[shown], minlength=b - a)) if lists else pa.nulls(b - a, pa.list_(pa.int64()))
+                columns = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(need.astype(np.int32)), some]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "one", "two", "need", "some"])
+
+    return run
+
+
+def _hot(rows: DataFrame) -> np.ndarray:
+    """The hot n-grams, sorted, from a sample of documents that is chosen by a hash of the id."""
+    every = max(1, rows.select("doc_id").count() // HOT_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, grams, _, _ in _blocks_of(batch, 0):
+                gram, k = np.unique(grams, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(k)], ["gram", "k"])
+
+    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(every)) == 0).select("text").mapInArrow(run, "gram long, k long")
+    often = some.groupBy("gram").agg(F.sum("k").alias("k")).where(F.col("k") >= HOT_COUNT).orderBy(F.desc("k"), "gram").limit(MOST_HOT).select("gram").toPandas()["gram"]
+    return np.sort(often.to_numpy(np.int64).view(np.uint64))
 
 
 def _all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +182,38 @@ def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64))], ["n_shingles"])
 
 
+def _of_live(rows: DataFrame, live: DataFrame) -> DataFrame:
+    """(doc_id, h, n, grams) of the rows (doc_id, h, text) named in ``live`` (doc_id, h), each once.
+
+    Up to ``MARKED_ROWS`` names go to all tasks as a bit map of their hashes, so only texts that are needed, and about
+    one in thirty-two others, leave their task; those others are harmless, as no n-gram count rests on a row being
+    named. More names are joined.
+    """
+    live = materialised(live, 8)
+    n = live.count()
+    kinds = "doc_id long, h long, n int, grams array<long>"
+    if n > MARKED_ROWS:
+        once = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
+        return once.join(live, ["doc_id", "h"]).mapInArrow(_all_grams, kinds)
+    size = 1 << max(15, (32 * n).bit_length())
+    place = F.pmod(F.xxhash64("doc_id", "h"), F.lit(size))
+    maps = live.groupBy(F.bitmap_bucket_number(place + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()
+    marks = bytearray(size // 8)
+    for k, bits in maps:
+        marks[(k - 1) * 4096 : k * 4096] = bits
+    shared = rows.sparkSession.sparkContext.broadcast(bytes(marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            at = batch.column(3).to_numpy()
+            some = batch.filter(pa.array((marks[at >> 3] >> (at & 7)) & 1 > 0))
+            yield from _all_grams(iter((some,)))
+
+    marked = rows.select("doc_id", "h", "text", place.alias("at"))
+    return marked.mapInArrow(run, kinds).groupBy("doc_id", "h").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+
+
 def _shared(occurrences: DataFrame) -> DataFrame:
     """The rows whose ``gram`` occurs in another row, with its frequency ``df``."""
     often = occurrences.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -181,21 +254,24 @@ def _similar(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     short_batches(docs.sparkSession)
     text = F.col(text_col).cast("binary")
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    sets = written(rows.mapInArrow(_sets, _SETS), "sets")
-    row = F.struct("doc_id", "h")
+    hot = _hot(rows)
+    sets = written(rows.mapInArrow(_sets(hot, lists=False), _SETS).drop("some"), "sets")
+    row, gram = F.struct("doc_id", "h"), Window.partitionBy("gram")
     found = sets.where("n > 0").groupBy("one", "two", "n")
-    nodes = found.agg(F.min(row).alias("node"), F.first("need").alias("need"), F.first("some").alias("some"))
-    shown = nodes.select("node.*", "n", "need", F.explode("some").alias("gram"))
-    asked = _shared(shown).where((F.col("n") < SMALL) | (F.col("gram") < SAMPLE_BELOW))
-    live = asked.groupBy("doc_id", "h", "need").agg(F.count(F.lit(1)).alias("k")).where("k >= need").select("doc_id", "h")
-    live = live.union(nodes.where("need <= 0").select("node.*")).distinct()
-    once = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-    whole = materialised(once.join(live, ["doc_id", "h"]).mapInArrow(_all_grams, "doc_id long, h long, n int, grams array<long>"))
+    first = found.agg(F.min(row).alias("node"), F.count(F.lit(1)).alias("rows"))
+    shown = rows.mapInArrow(_sets(hot), _SETS).select("doc_id", "one", "n", "need", F.explode("some").alias("gram"))
+    asked = (F.col("n") < SMALL) | (F.col("gram") < SAMPLE_BELOW)
+    other = F.min("one").over(gram) != F.max("one").over(gram)
+    shared = shown.select("doc_id", "one", "need", "gram", asked.alias("asked")).select("doc_id", "one", "need", "asked", other.alias("other")).where("asked and other")
+    live = shared.groupBy("doc_id", "one", "need").agg(F.count(F.lit(1)).alias("k")).where("k >= need").select("doc_id", "one")
+    live = live.union(sets.where("need <= 0 and n > 0").select("doc_id", "one"))
+    live = first.select("node.*", "one").join(live, ["doc_id", "one"], "left_semi").select("doc_id", "h").distinct()
+    whole = materialised(_of_live(rows, live))
     order = F.struct((F.floor(8 * F.log2("df")) + F.col("gram") / 2.0**64 + 0.5).alias("key"), "gram")
     ordered = _shared(whole.select("doc_id", "h", "n", F.explode("grams").alias("gram"))).groupBy("doc_id", "h", "n").agg(F.sort_array(F.collect_list(order)).alias("grams"))
     ordered = ordered.withColumn("shared", F.size("grams")).where(F.col("shared") * 100 >= F.col("n") * PERCENT)
     named = components(_links(materialised(ordered.select(row.alias("node"), "n", "shared", "grams"))))
-    classes = found.agg(F.min(row).alias("node"), F.count(F.lit(1)).alias("rows")).join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = first.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     changed = classes.where("rows > 1 or component <> node").select("one", "two", "n", "component")
     joined = sets.select("doc_id", "h", "n", "one", "two").join(changed, ["one", "two", "n"], "left")
     return joined.select("doc_id", "h", "n", F.coalesce("component", row).alias("component"))

@@ -32,13 +32,14 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def materialised(df: DataFrame, files: int = 0) -> DataFrame:
+def materialised(df: DataFrame, narrow: bool = False) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so lost executors cost no recomputation.
 
-    A file is written for each partition, empty ones too: results known to be narrow can be kept in ``files`` of them.
+    A file is written for each partition, empty ones too. A result of a few numbers a row (``narrow``), which has been
+    shuffled in as many partitions as whole texts, is kept in an eighth as many files.
     """
-    if files:
-        df = df.coalesce(files)
+    if narrow:
+        df = df.coalesce(max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))

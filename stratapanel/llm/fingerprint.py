@@ -3,28 +3,34 @@
 With H[i] = sum of c[j] * B**j for j < i (mod a prime), the hash of any span is (H[e] - H[s]) * B**-s: one
 subtraction and one product answer whether two spans are equal, and binary search over them finds the longest
 common extension of two places. A fingerprint holds the length, the whole text's hash under two primes, the hashes
-of its prefixes of ``STEPS`` code points, and the smallest hashes of all spans of ``SPAN`` code points. Of two
-fingerprints, binary search over the prefixes finds how far the texts agree from their start, and the overlap of
-the smallest hashes estimates how much they share anywhere.
+of its prefixes of ``STEPS`` code points, and anchors: places whose spans of ``SPAN`` code points have the smallest
+hashes, each with the prefix hash there. As anchors are chosen by content, two texts have the same ones wherever
+they agree, and the prefix hashes at two anchors give the hash of all that lies between. So two fingerprints can be
+compared like the texts: from anchors with equal spans, binary search finds the longest common extension, and the
+likeness is the share of the longer text that such extensions and the agreed prefix cover.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import blocks, materialised, short_batches
+from stratapanel.llm.common import blocks, short_batches
 
 #: Primes below 2**31 and bases; products of residues fit in 64 bits.
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 #: Code points of a span; span hashes kept; code points handled together.
 SPAN, KEPT, BLOCK_CHARS = 12, 64, 1_000_000
+#: Bytes of text of a range of ids; sampled rows of a range that its bounds are taken from.
+PART_BYTES, PER_PART = 8_000_000, 20
 #: Lengths of the prefixes that a fingerprint holds: each about 1.4 times the one before.
 STEPS = np.unique((2.0 ** np.arange(0, 40, 0.5)).astype(np.int64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -85,39 +91,45 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return (((x ^ (x >> np.uint64(29))) * _MIX) >> np.uint64(32)).astype(np.uint32)
 
 
-def sketches(prefixes: Prefixes) -> list[np.ndarray]:
-    """For each text the ``KEPT`` smallest distinct span hashes; of shorter texts than a span, all prefix hashes."""
+def anchors(prefixes: Prefixes) -> list[np.ndarray]:
+    """For each text the places (within it) of the ``KEPT`` spans of smallest hash, in order; of equal spans the first.
+
+    A text shorter than a span has none.
+    """
     spans = _mixed(prefixes.windows(SPAN))
     n = np.maximum(prefixes.lengths - SPAN + 1, 0)
     limit = np.minimum(4.0 * KEPT / np.maximum(n, 1), 1.0) * 2.0**32
     per_place = np.repeat(np.minimum(limit, 2.0**32 - 1).astype(np.uint32), prefixes.lengths)[: len(spans)]
     low = np.flatnonzero(spans <= per_place)
     out = []
-    for start, length, k in zip(prefixes.starts, prefixes.lengths, n, strict=True):
-        if not k:
-            at = np.arange(1, length + 1)
-            out.append(np.unique(_mixed(prefixes.span(np.full(length, start), start + at) + np.uint64(1 << 33)))[:KEPT])
-            continue
+    for start, k in zip(prefixes.starts, n, strict=True):
         a, b = np.searchsorted(low, (start, start + k))
-        found = np.unique(spans[low[a:b]])
-        out.append((found if len(found) >= KEPT else np.unique(spans[start : start + k]))[:KEPT])
+        for places in (low[a:b], np.arange(start, start + k)):
+            found, first = np.unique(spans[places], return_index=True)
+            if len(found) >= KEPT:
+                break
+        out.append(np.sort(places[first[:KEPT]]) - start)
     return out
 
 
 @dataclass
 class Fingerprint:
+    """``places`` are the anchors, ``spans`` their span hashes, ``sums`` the prefix hashes at them."""
+
     n: int
     whole: str
     prefixes: np.ndarray
+    places: np.ndarray
     spans: np.ndarray
+    sums: np.ndarray
 
     def __str__(self) -> str:
-        return "-".join((f"{self.n:x}", self.whole, *(x.astype(">u4").tobytes().hex() for x in (self.prefixes, self.spans))))
+        return "-".join((f"{self.n:x}", self.whole, *(x.astype(">u4").tobytes().hex() for x in (self.prefixes, self.places, self.spans, self.sums))))
 
     @classmethod
     def parse(cls, said: str) -> Fingerprint:
-        n, whole, prefixes, spans = said.split("-")
-        return cls(int(n, 16), whole, *(np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint32) for x in (prefixes, spans)))
+        n, whole, *arrays = said.split("-")
+        return cls(int(n, 16), whole, *(np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint32) for x in arrays))
 
 
 def fingerprints(texts: list[str]) -> tuple[list[Fingerprint], Prefixes]:
@@ -130,8 +142,16 @@ def fingerprints(texts: list[str]) -> tuple[list[Fingerprint], Prefixes]:
     place = np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - steps, steps)
     start = np.repeat(first.starts, steps)
     held = first.span(start, start + STEPS[place]).astype(np.uint32)
-    made = zip(first.lengths.tolist(), whole.tolist(), again.tolist(), stops - steps, stops, sketches(first), strict=True)
-    return [Fingerprint(n, f"{h:08x}{g:08x}", held[a:b], spans) for n, h, g, a, b, spans in made], first
+    chosen = anchors(first)
+    counts = np.fromiter(map(len, chosen), np.int64, len(texts))
+    at, cut = np.concatenate([np.zeros(0, np.int64), *chosen]), np.cumsum(counts)
+    start = np.repeat(first.starts, counts)
+    spans, sums = _mixed(first.span(start + at, start + at + SPAN)), first.span(start, start + at).astype(np.uint32)
+    out = []
+    for i, (n, h, g) in enumerate(zip(first.lengths.tolist(), whole.tolist(), again.tolist(), strict=True)):
+        own = slice(cut[i] - counts[i], cut[i])
+        out.append(Fingerprint(n, f"{h:08x}{g:08x}", held[stops[i] - steps[i] : stops[i]], at[own].astype(np.uint32), spans[own], sums[own]))
+    return out, first
 
 
 def agreed_prefix(a: Fingerprint, b: Fingerprint) -> int:
@@ -145,48 +165,95 @@ def agreed_prefix(a: Fingerprint, b: Fingerprint) -> int:
     return int(STEPS[low - 1]) if low else 0
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated Jaccard similarity of two span sets: of the smallest hashes of both, the share that both have."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    both = np.sort(np.concatenate([a, b]))
-    fresh = np.r_[True, both[1:] != both[:-1]]
-    least = np.flatnonzero(fresh)[: KEPT + 1]
-    end = least[KEPT] if len(least) > KEPT else len(both)
-    return float((~fresh[:end]).sum() / min(len(least), KEPT))
+def _between(x: Fingerprint, i: int, j: int) -> tuple[int, int]:
+    """Length and hash of what lies between two anchors of a text, from the prefix hashes at them."""
+    start, end = int(x.places[i]), int(x.places[j])
+    _POWERS[0].reach(start + 1)
+    return end - start, (int(x.sums[j]) - int(x.sums[i])) * int(_POWERS[0].down[start]) % PRIMES[0]
+
+
+def common_parts(a: Fingerprint, b: Fingerprint) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, length) of parts that are equal in both texts, found from their anchors.
+
+    Only anchors that both texts would choose are looked at. From each pair with equal spans that no part covers yet,
+    binary search over the anchors that follow finds the longest common extension.
+    """
+    limit = min(x.spans.max(initial=0) if len(x.spans) >= KEPT else np.uint32(2**32 - 1) for x in (a, b))
+    mine, other = np.flatnonzero(a.spans <= limit), np.flatnonzero(b.spans <= limit)
+    where = {int(b.spans[j]): k for k, j in enumerate(other)}
+    parts, k = [], 0
+    while k < len(mine):
+        m = where.get(int(a.spans[mine[k]]), -1)
+        if m < 0:
+            k += 1
+            continue
+        low, high = 0, min(len(mine) - k, len(other) - m) - 1
+        while low < high:
+            step = (low + high + 1) // 2
+            ends = mine[k + step], other[m + step]
+            same = a.spans[ends[0]] == b.spans[ends[1]] and _between(a, mine[k], ends[0]) == _between(b, other[m], ends[1])
+            low, high = (step, high) if same else (low, step - 1)
+        parts.append((int(a.places[mine[k]]), int(b.places[other[m]]), int(a.places[mine[k + low]] - a.places[mine[k]]) + SPAN))
+        k += low + 1
+    return parts
+
+
+def _covered(spans: list[tuple[int, int]]) -> int:
+    total = end = 0
+    for start, stop in sorted(spans):
+        total += max(0, stop - max(start, end))
+        end = max(end, stop)
+    return total
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
-    """0 to 1: the larger of the spans' overlap and the agreed prefix's share of the longer text; 1 if both are empty."""
-    longer = max(a.n, b.n)
-    return max(overlap(a.spans, b.spans), agreed_prefix(a, b) / longer) if longer else 1.0
+    """0 to 1: the share of the longer text that the agreed prefix and the common parts cover; 1 if both are empty."""
+    longer, same = max(a.n, b.n), agreed_prefix(a, b)
+    if not longer or same == longer:
+        return 1.0
+    parts = common_parts(a, b)
+    return min(_covered([(0, same), *((i, i + n) for i, _, n in parts)]), _covered([(0, same), *((j, j + n) for _, j, n in parts)])) / longer
+
 
+def _bounds(rows: DataFrame, parts: int) -> np.ndarray:
+    """Up to ``parts - 1`` places (id, text hash) that cut the rows, in order of both, into parts of about one size.
 
-def _chained(docs: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+    They come from a sample of about ``PER_PART`` rows a part, chosen by a hash; a null id is the smallest.
+    """
+    every = max(1, rows.count() // (PER_PART * parts))
+    chosen = rows.where(F.pmod(F.xxhash64("id", "h", F.lit(5)), F.lit(every)) == 0).select(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "h")
+    sample = np.unique(chosen.toPandas().to_records(index=False).astype([("id", "<i8"), ("h", "<i8")]))
+    return sample[np.linspace(0, len(sample), parts + 1)[1:-1].astype(int)] if len(sample) and parts > 1 else sample[:0]
+
+
+def _chained(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
     """(bucket, id, text, own): rows dealt by descending ids, each bucket followed by the next one's first row.
 
-    Ranges of ids come from approximate quantiles of the id column. Only a row a bucket goes to two buckets, so
-    each row's successor stands beside it and texts move once.
+    Buckets are ranges of (id, text hash), so rows that share an id are split too. Only a row a bucket goes to two
+    buckets, so each row's successor stands beside it and texts move once.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
-    cuts = docs.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    where = F.lit(0)
-    if cuts:
-        bounds = F.array(*map(F.lit, cuts))
-        where = F.size(F.filter(bounds, lambda x: x >= F.coalesce(F.col("id"), F.lit(-(1 << 63)))))
-    rows = rows.withColumn("bucket", where)
-    ids = rows.select("bucket", "id")
-    first = {r[0]: r[1] for r in ids.groupBy("bucket").agg(F.max("id")).collect()}
+    text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = max(1, math.ceil(total / part_bytes))
+    bounds = docs.sparkSession.sparkContext.broadcast(_bounds(rows.select("id", "h"), parts))
+
+    @F.pandas_udf("long")
+    def bucket(ids: pd.Series, h: pd.Series) -> pd.Series:
+        at = np.zeros(len(ids), [("id", "<i8"), ("h", "<i8")])
+        at["id"], at["h"] = ids, h
+        return pd.Series(len(bounds.value) - np.searchsorted(bounds.value, at, side="right"))
+
+    rows = rows.withColumn("bucket", bucket(F.coalesce("id", F.lit(-(1 << 63))), "h") if parts > 1 else F.lit(0).cast("long"))
+    key = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "h")
+    first = {r[0]: r[1] for r in rows.groupBy("bucket").agg(F.max(key).alias("k")).collect()}
     ordered = sorted(first)
-    carried = [(b, first[ordered[(i + 1) % len(ordered)]], ordered[(i + 1) % len(ordered)]) for i, b in enumerate(ordered)]
-    spark = docs.sparkSession
-    heads = spark.createDataFrame(carried, "to int, id long, bucket int")
-    extra = rows.join(F.broadcast(heads), (rows["id"].eqNullSafe(heads["id"])) & (rows["bucket"] == heads["bucket"])).select(heads["to"].alias("bucket"), rows["id"], rows["text"])
-    pick = Window.partitionBy("bucket").orderBy(F.xxhash64("text"), "text")
-    extra = extra.withColumn("n", F.row_number().over(pick)).where("n = 1").drop("n")
-    every = rows.select("bucket", "id", "text", F.lit(True).alias("own")).union(extra.select("bucket", "id", "text", F.lit(False).alias("own")))
-    return every.repartitionByRange(max(parts, 1), "bucket").sortWithinPartitions(F.col("bucket"), F.col("own").desc(), F.col("id").desc_nulls_last(), F.xxhash64("text"), F.col("text"))
+    carried = [(b, *first[n], n) for b, n in zip(ordered, ordered[1:] + ordered[:1], strict=True)]
+    heads = docs.sparkSession.createDataFrame(carried, "to long, id long, h long, bucket long")
+    same = (F.coalesce(rows["id"], F.lit(-(1 << 63))) == heads["id"]) & (rows["h"] == heads["h"]) & (rows["bucket"] == heads["bucket"])
+    extra = rows.join(F.broadcast(heads), same).groupBy(heads["to"].alias("bucket")).agg(F.min("text").alias("text"))
+    every = rows.select("bucket", "id", "h", "text", F.lit(True).alias("own")).union(extra.select("bucket", F.lit(None).cast("long"), F.lit(None).cast("long"), "text", F.lit(False)))
+    return every.repartitionByRange(max(parts, 1), "bucket").sortWithinPartitions(F.col("bucket"), F.col("own").desc(), F.col("id").desc_nulls_last(), F.col("h").desc(), F.col("text"))
 
 
 def edited(text: str, following: str) -> str:
@@ -195,11 +262,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_rows: int = 4000) -> DataFrame:
+def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Fingerprints of every whole text and its edited text, and their likeness.
 
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, common_prefix). The next
-    document is that with the next smaller id, after the last the first; of rows with one id that with the smaller
+    document is that with the next smaller id, after the last the first; of rows with one id that with the larger
     hash of its text comes first, and a null id is last. A null text is an empty one; two empty texts have
     likeness 1. Ids are integers. Other columns are ignored; an empty table gives an empty result.
     ``common_prefix`` is the longest common extension of the text and its edit from their starts. Working memory
@@ -207,8 +274,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     short_batches(spark)
-    parts = max(1, min(2000, -(-docs.count() // part_rows)))
-    rows = _chained(docs, id_col, text_col, parts).select("bucket", "id", "own", "text")
+    rows = _chained(docs, id_col, text_col, part_bytes).select("bucket", "id", "own", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int | None, bool, str]] = []

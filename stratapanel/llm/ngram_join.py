@@ -189,7 +189,7 @@ def _of_live(rows: DataFrame, live: DataFrame) -> DataFrame:
     one in thirty-two others, leave their task; those others are harmless, as no n-gram count rests on a row being
     named. More names are joined.
     """
-    live = materialised(live, 8)
+    live = materialised(live, narrow=True)
     n = live.count()
     kinds = "doc_id long, h long, n int, grams array<long>"
     if n > MARKED_ROWS:
@@ -326,20 +326,20 @@ def _links(nodes: DataFrame) -> DataFrame:
     postings = postings.withColumn("reach", F.floor(left * (100 + PERCENT) / PERCENT) - F.col("n")).where(F.col("reach") * 100 >= F.col("n") * PERCENT)
     for _ in range(2):
         lists = postings.groupBy("gram").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        postings = materialised(postings.join(materialised(lists.select("gram", "least")), "gram").where("reach >= least").drop("least"))
+        postings = materialised(postings.join(materialised(lists.select("gram", "least"), narrow=True), "gram").where("reach >= least").drop("least"), narrow=True)
     centre = F.struct((-F.col("shared") / F.col("n")).alias("r"), "n", "node", "reach")
     lists = postings.groupBy("gram").agg(F.min(centre).alias("c"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    pairs = postings.join(materialised(lists.select("gram", "c")), "gram").where("node <> c.node and reach >= c.n and c.reach >= n").where(_may_link(F.col("n"), F.col("c.n")))
-    pairs = materialised(pairs.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c.node").alias("b"), F.col("c.n").alias("n_b")).distinct())
-    links = materialised(_linked(pairs, segments))
-    names = materialised(components(links))
+    pairs = postings.join(materialised(lists.select("gram", "c"), narrow=True), "gram").where("node <> c.node and reach >= c.n and c.reach >= n").where(_may_link(F.col("n"), F.col("c.n")))
+    pairs = materialised(pairs.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("c.node").alias("b"), F.col("c.n").alias("n_b")).distinct(), narrow=True)
+    links = materialised(_linked(pairs, segments), narrow=True)
+    names = materialised(components(links), narrow=True)
     own = postings.join(names, postings["node"] == names["node"], "left").select(postings["node"], "n", "reach", "gram", F.coalesce("component", postings["node"]).alias("name"))
-    own = materialised(own)
-    mixed_lists = materialised(own.groupBy("gram").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x <> y").select("gram"))
-    open_rows = materialised(own.join(mixed_lists, "gram"))
+    own = materialised(own, narrow=True)
+    mixed_lists = materialised(own.groupBy("gram").agg(F.min("name").alias("x"), F.max("name").alias("y")).where("x <> y").select("gram"), narrow=True)
+    open_rows = materialised(own.join(mixed_lists, "gram"), narrow=True)
     a, b = open_rows.alias("a"), open_rows.alias("b")
     across = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.name") != F.col("b.name")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.reach") >= F.col("b.n")) & (F.col("b.reach") >= F.col("a.n")) & _may_link(F.col("a.n"), F.col("b.n")))
     across = across.select(F.col("a.node").alias("a"), F.col("a.n").alias("n_a"), F.col("b.node").alias("b"), F.col("b.n").alias("n_b")).distinct()
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = materialised(across.join(tried, ["a", "b"], "left_anti"))
+    across = materialised(across.join(tried, ["a", "b"], "left_anti"), narrow=True)
     return links.union(_linked(across, segments))

@@ -146,7 +146,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     usable = F.coalesce(F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("key", F.when(usable, F.struct(F.xxhash64("vector"), F.xxhash64(F.lit(9), "vector"), F.size("vector").alias("dim"))))
     rows = rows.withColumn("key", F.when(F.col("key").isNotNull(), F.to_json("key")))
-    vectors = materialised(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")).withColumn("id", F.xxhash64("key", F.lit(1))))
+    vectors = materialised(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")))
+    vectors = vectors.withColumn("id", F.monotonically_increasing_id())  # of a written table: fixed
     answers = None
     for dim, n in sorted((r[0], r[1]) for r in vectors.groupBy(F.size("vector")).count().collect()):
         part = vectors.where(F.size("vector") == dim)
@@ -157,11 +158,11 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
         answers = found if answers is None else answers.union(found)
     if answers is None:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    answers = materialised(answers)
+    answers = materialised(answers, narrow=True)
     named = components(answers.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = answers.groupBy("id").agg(F.sum("n").alias("n"))
     by_key = vectors.drop("vector").join(counts, "id", "left").join(named.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    by_key = materialised(by_key)
+    by_key = materialised(by_key, narrow=True)
     first = by_key.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_key = by_key.join(first, "component").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     return (
@@ -249,4 +250,4 @@ def _links(part: DataFrame, centres: np.ndarray, threshold: float, block_rows: i
     partners = F.filter(F.transform("masks", lambda m, j: F.struct(m.alias("m"), j.cast("long").alias("j"))), lambda x: x["m"].bitwiseAND(F.col("guest")) == 0)
     tasks = rows.select("id", "copies", "vector", "cell", "block", F.explode(partners).alias("p")).withColumn("i", F.least("block", "p.j")).withColumn("j", F.greatest("block", "p.j"))
     side = (F.col("block") == F.col("i")).cast("int") + 2 * (F.col("block") == F.col("j")).cast("int")
-    return tasks.select("id", "copies", "vector", "cell", "i", "j", side.alias("side")).groupBy("cell", "i", "j").applyInPandas(_compared(threshold), "id long, n long, root long")
+    return tasks.select("id", "copies", "vector", "cell", "i", "j", side.alias("side")).repartition("cell", "i", "j").groupBy("cell", "i", "j").applyInPandas(_compared(threshold), "id long, n long, root long")

@@ -99,7 +99,7 @@ class TestFingerprint:
         extra = [(10 + i, t) for i, t in enumerate(("abc" * 100, "abc" * 100, "def" * 90 + "é", "q"))]
         docs = spark.createDataFrame([r for r in EDGES if r[0] is not None and r[0] != 6] + extra, "doc_id long, text string")
         rows = sorted(((i, t or "") for i, t in [r for r in EDGES if r[0] is not None and r[0] != 6] + extra), reverse=True)
-        got = {r["doc_id"]: r for r in fingerprint.compare_with_edits(docs, part_rows=3).collect()}
+        got = {r["doc_id"]: r for r in fingerprint.compare_with_edits(docs, part_bytes=200).collect()}
         assert len(got) == len(rows)
         for k, (i, t) in enumerate(rows):
             new = fingerprint.edited(t, rows[(k + 1) % len(rows)][1])
@@ -109,10 +109,32 @@ class TestFingerprint:
             assert got[i]["common_prefix"] == common
         assert got[10]["fingerprint"] == got[11]["fingerprint"] and got[10]["fingerprint"] != got[12]["fingerprint"]
 
-    def test_overlap_is_exact_for_short_texts(self):
-        a, b = (fingerprint.fingerprints([t])[0][0] for t in ("abcdefghijklmnopqrst", "abcdefghijklmnopqrsX"))
-        assert fingerprint.overlap(a.spans, b.spans) == 8 / 10
-        assert str(fingerprint.Fingerprint.parse(str(a))) == str(a) and fingerprint.likeness(a, a) == 1
+    def test_likeness_follows_the_common_parts(self):
+        import random
+
+        rnd = random.Random(5)
+        words = lambda n: " ".join("".join(rnd.choices("abcdefghijklmnop", k=rnd.randrange(2, 9))) for _ in range(n))
+        for n in (10, 60, 400, 3000):
+            one, other = words(n), words(n)
+            middle = one[: len(one) // 4] + words(n // 20) + one[len(one) // 4 :]
+            moved = words(n // 3) + one[len(one) // 3 :]
+            a, b, c, d, e = (fingerprint.fingerprints([t])[0][0] for t in (one, other, middle, moved, one[: len(one) * 2 // 3] + other[len(other) * 2 // 3 :]))
+            assert fingerprint.likeness(a, a) == 1 and fingerprint.likeness(a, b) < 0.1
+            slack = 0.12 + 40 / len(one)
+            assert abs(fingerprint.likeness(a, c) - len(one) / len(middle)) < slack and abs(fingerprint.likeness(a, d) - 2 / 3) < slack + 0.05 and abs(fingerprint.likeness(a, e) - 2 / 3) < slack
+            for i, j, k in fingerprint.common_parts(a, d):
+                assert one[i : i + k] == moved[j : j + k]
+            assert str(fingerprint.Fingerprint.parse(str(c))) == str(c) and fingerprint.likeness(fingerprint.Fingerprint.parse(str(a)), c) == fingerprint.likeness(a, c) == fingerprint.likeness(c, a)
+
+    def test_rows_of_one_id_are_split_and_chained_in_order(self, spark):
+        rows = [(7, f"text number {i} of one id") for i in range(60)] + [(None, f"no id {i}") for i in range(40)] + [(7, "twice"), (7, "twice")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        chained = fingerprint._chained(docs, "doc_id", "text", 200)
+        assert chained.where("own").groupBy("bucket").count().agg(F.max("count")).first()[0] < 40
+        hashed = {r[0]: r[1] for r in docs.select("text", F.xxhash64(F.col("text").cast("binary"))).collect()}
+        ordered = sorted(rows, key=lambda r: (r[0] is None, -hashed[r[1]]))
+        want = sorted(hashlib.sha256(fingerprint.edited(t, ordered[(k + 1) % len(ordered)][1]).encode()).hexdigest() for k, (_, t) in enumerate(ordered))
+        assert sorted(r["edited_sha256"] for r in fingerprint.compare_with_edits(docs, part_bytes=200).collect()) == want
 
     def test_repeats_nulls_and_empty(self, edges, empty):
         assert fingerprint.compare_with_edits(edges).count() == len(EDGES)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratapanel.llm.common import materialised
-from stratapanel.llm.trees import forest_share, located, precision_threshold, spans
+from stratapanel.llm.trees import calibrated_threshold, forest_share, located, spans
 
 # Names that announce a secret, and words before a harmless key-like string.
 NAME = r"(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?|bearer)"
@@ -30,8 +30,8 @@ CANDIDATE = LEAD + r"[^\s\"'<>,;]{6,}+|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{12,}+
 NEEDED = r"[0-9]|[A-Za-z+/_-]{20}|" + NAME
 #: Buckets of the dictionary's word hashes, and those of them that count as words.
 BUCKETS, WORDS = 1 << 17, 4096
-#: Contexts that findings are planted in at most; labelled findings at most; precision that rows kept aside must reach.
-CONTEXTS, FIT_ROWS, PRECISION = 4000, 20_000, 0.98
+#: Contexts that findings are planted in at most; labelled findings at most; calibrated probability that a finding must reach.
+CONTEXTS, FIT_ROWS, PROBABILITY = 4000, 20_000, 0.98
 TREES, DEPTH, LEAST_SHARE = 24, 7, 0.5
 FEATURES = ("length", "digits", "upper", "lower", "others", "class_changes", "hex_only", "covered", "longest_letters", "slashes", "name_before", "plain_before", "assigned", "quoted", "path_around", "alternations", "groups", "distinct", "symbols")
 
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_i
     aside = F.pmod("h", F.lit(4)) == 0 if labelled is None else F.lit(False)
     model = forest.fit(sample.where(~aside).select("label", array_to_vector("features").alias("vector")))
     seen = sample.where(aside).select(forest_share(model, F.col("features")).alias("p"), F.col("label").cast("int")).collect()
-    return Scanner(model, words, max(LEAST_SHARE, precision_threshold([tuple(r) for r in seen], PRECISION, LEAST_SHARE)))
+    return Scanner(model, words, max(LEAST_SHARE, calibrated_threshold([tuple(r) for r in seen], PROBABILITY, LEAST_SHARE)))
 
 
 def find(docs: DataFrame, scanner: Scanner, text_col: str = "text", name: str = "secrets") -> DataFrame:

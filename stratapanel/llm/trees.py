@@ -42,14 +42,21 @@ def forest_share(model, features: Column) -> Column:
     return votes / F.lit(float(len(model.trees)))
 
 
-def precision_threshold(rows: list[tuple[float, int]], precision: float, otherwise: float) -> float:
-    """The lowest score from which on the labelled rows (score, label) reach the precision; else ``otherwise``."""
-    best, right, seen = otherwise, 0, 0
-    for score, label in sorted(rows, reverse=True):
-        right, seen = right + label, seen + 1
-        if right >= precision * seen:
-            best = score
-    return best
+def isotonic(rows: list[tuple[float, int]]) -> list[tuple[float, float]]:
+    """(lowest score, probability) of the steps of the rising fit to labelled rows (score, label), by pooling neighbours that fall."""
+    pools: list[list[float]] = []
+    for score, label in sorted(rows):
+        pools.append([score, label, 1])
+        while len(pools) > 1 and (pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2] or pools[-2][0] == pools[-1][0]):
+            _, right, n = pools.pop()
+            pools[-1][1] += right
+            pools[-1][2] += n
+    return [(score, right / n) for score, right, n in pools]
+
+
+def calibrated_threshold(rows: list[tuple[float, int]], probability: float, otherwise: float) -> float:
+    """The lowest score whose calibrated probability, by the rows (score, label), is at least ``probability``; else ``otherwise``."""
+    return next((score for score, p in isotonic(rows) if p >= probability), otherwise)
 
 
 def located(text: Column, pattern: str) -> tuple[Column, Column]:

@@ -126,10 +126,19 @@ def _blocks_of(batch: pa.RecordBatch, place: int) -> Iterator[tuple[int, int, np
 _SETS = "doc_id long, h long, n int, one long, two long, need int, some array<long>"
 
 
-def _sets(hot: np.ndarray, lists: bool = True):
+def _known(hot: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which n-grams are hot, and the frequency classes of these."""
+    if not len(hot[0]):
+        return np.zeros(len(grams), bool), hot[1]
+    at = np.minimum(np.searchsorted(hot[0], grams), len(hot[0]) - 1)
+    known = hot[0][at] == grams
+    return known, hot[1][at[known]]
+
+
+def _sets(hot: tuple[np.ndarray, np.ndarray], lists: bool = True):
     """Of (doc_id, h, text): size and digest of each set, n-grams for the first pass, and how many of those it asks for must be shared.
 
-    ``hot`` n-grams (sorted) are shared in any case: they are left out and less is needed. Without ``lists`` no n-grams.
+    ``hot`` n-grams are shared in any case: they are left out and less is needed. Without ``lists`` no n-grams.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,13 +149,9 @@ def _sets(hot: np.ndarray, lists: bool = True):
                 sampled = grams.view(np.int64) < SAMPLE_BELOW
                 asked = sampled | (n < SMALL)[doc]
                 shown = sampled | (n * PERCENT < SMALL * 100)[doc]
-                if len(hot):
-                    known = hot[np.minimum(np.searchsorted(hot, grams), len(hot) - 1)] == grams
-                    rest, shown = asked & ~known, shown & ~known
-                    known = np.bincount(doc[asked & known], minlength=b - a)
-                else:
-                    rest, known = asked, 0
-                need = np.bincount(doc[rest], minlength=b - a) - n * (100 - PERCENT) // 100
+                known = _known(hot, grams)[0]
+                shown &= ~known
+                need = np.bincount(doc[asked & ~known], minlength=b - a) - n * (100 - PERCENT) // 100
                 some = _lists(grams[shown], np.bincount(doc[shown], minlength=b - a)) if lists else pa.nulls(b - a, pa.list_(pa.int64()))
                 columns = [batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(need.astype(np.int32)), some]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "n", "one", "two", "need", "some"])
@@ -154,8 +159,8 @@ def _sets(hot: np.ndarray, lists: bool = True):
     return run
 
 
-def _hot(rows: DataFrame) -> np.ndarray:
-    """The hot n-grams, sorted, from a sample of documents that is chosen by a hash of the id."""
+def _hot(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hot n-grams, sorted, and their frequency classes, from a sample of documents that is chosen by a hash of the id."""
     every = max(1, rows.select("doc_id").count() // HOT_DOCS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,15 +170,28 @@ def _hot(rows: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(k)], ["gram", "k"])
 
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(every)) == 0).select("text").mapInArrow(run, "gram long, k long")
-    often = some.groupBy("gram").agg(F.sum("k").alias("k")).where(F.col("k") >= HOT_COUNT).orderBy(F.desc("k"), "gram").limit(MOST_HOT).select("gram").toPandas()["gram"]
-    return np.sort(often.to_numpy(np.int64).view(np.uint64))
+    often = some.groupBy("gram").agg(F.sum("k").alias("k")).where(F.col("k") >= HOT_COUNT).orderBy(F.desc("k"), "gram").limit(MOST_HOT).toPandas()
+    gram = often["gram"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(gram)
+    return gram[order], np.minimum(8 * np.log2(often["k"].to_numpy(float)[order] * every), 32767).astype(np.int16)
 
 
-def _all_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, h, text): all n-grams of each set."""
-    for batch in batches:
-        for a, b, grams, _, n in _blocks_of(batch, 2):
-            yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int32)), _lists(grams, n)], ["doc_id", "h", "n", "grams"])
+_WHOLE = "doc_id long, h long, n int, grams array<long>, hot array<long>, levels array<smallint>"
+
+
+def _all_grams(hot: tuple[np.ndarray, np.ndarray]):
+    """Of (doc_id, h, text): all n-grams of each set, the hot ones apart and with their frequency classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, grams, doc, n in _blocks_of(batch, 2):
+                known, levels = _known(hot, grams)
+                k = np.bincount(doc[known], minlength=b - a)
+                part = _lists(grams[known], k)
+                classes = pa.ListArray.from_arrays(part.offsets, pa.array(levels, pa.int16()))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], batch.column(1)[a:b], pa.array(n.astype(np.int32)), _lists(grams[~known], n - k), part, classes], ["doc_id", "h", "n", "grams", "hot", "levels"])
+
+    return run
 
 
 def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,19 +200,18 @@ def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64))], ["n_shingles"])
 
 
-def _of_live(rows: DataFrame, live: DataFrame) -> DataFrame:
-    """(doc_id, h, n, grams) of the rows (doc_id, h, text) named in ``live`` (doc_id, h), each once.
+def _of_live(rows: DataFrame, live: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, h, n, grams, hot, levels) of the rows (doc_id, h, text) named in ``live`` (doc_id, h), each once.
 
     Up to ``MARKED_ROWS`` names go to all tasks as a bit map of their hashes, so only texts that are needed, and about
     one in thirty-two others, leave their task; those others are harmless, as no n-gram count rests on a row being
     named. More names are joined.
     """
     live = materialised(live, narrow=True)
-    n = live.count()
-    kinds = "doc_id long, h long, n int, grams array<long>"
+    n, grams_of = live.count(), _all_grams(hot)
     if n > MARKED_ROWS:
         once = rows.groupBy("doc_id", "h").agg(F.first("text").alias("text"))
-        return once.join(live, ["doc_id", "h"]).mapInArrow(_all_grams, kinds)
+        return once.join(live, ["doc_id", "h"]).mapInArrow(grams_of, _WHOLE)
     size = 1 << max(15, (32 * n).bit_length())
     place = F.pmod(F.xxhash64("doc_id", "h"), F.lit(size))
     maps = live.groupBy(F.bitmap_bucket_number(place + 1).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place + 1)).alias("bits")).collect()
@@ -208,16 +225,10 @@ def _of_live(rows: DataFrame, live: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch.column(3).to_numpy()
             some = batch.filter(pa.array((marks[at >> 3] >> (at & 7)) & 1 > 0))
-            yield from _all_grams(iter((some,)))
+            yield from grams_of(iter((some,)))
 
     marked = rows.select("doc_id", "h", "text", place.alias("at"))
-    return marked.mapInArrow(run, kinds).groupBy("doc_id", "h").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-
-
-def _shared(occurrences: DataFrame) -> DataFrame:
-    """The rows whose ``gram`` occurs in another row, with its frequency ``df``."""
-    often = occurrences.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return occurrences.join(often, "gram")
+    return marked.mapInArrow(run, _WHOLE).groupBy("doc_id", "h").agg(*(F.first(c).alias(c) for c in ("n", "grams", "hot", "levels")))
 
 
 def _may_link(n: Column, m: Column) -> Column:
@@ -259,16 +270,18 @@ def _similar(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     row, gram = F.struct("doc_id", "h"), Window.partitionBy("gram")
     found = sets.where("n > 0").groupBy("one", "two", "n")
     first = found.agg(F.min(row).alias("node"), F.count(F.lit(1)).alias("rows"))
-    shown = rows.mapInArrow(_sets(hot), _SETS).select("doc_id", "one", "n", "need", F.explode("some").alias("gram"))
     asked = (F.col("n") < SMALL) | (F.col("gram") < SAMPLE_BELOW)
+    shown = rows.mapInArrow(_sets(hot), _SETS).select("doc_id", "one", "n", "need", F.explode("some").alias("gram")).select("doc_id", "one", "need", "gram", asked.alias("asked"))
     other = F.min("one").over(gram) != F.max("one").over(gram)
-    shared = shown.select("doc_id", "one", "need", "gram", asked.alias("asked")).select("doc_id", "one", "need", "asked", other.alias("other")).where("asked and other")
+    shared = shown.select("doc_id", "one", "need", "asked", other.alias("other")).where("asked and other")
     live = shared.groupBy("doc_id", "one", "need").agg(F.count(F.lit(1)).alias("k")).where("k >= need").select("doc_id", "one")
     live = live.union(sets.where("need <= 0 and n > 0").select("doc_id", "one"))
     live = first.select("node.*", "one").join(live, ["doc_id", "one"], "left_semi").select("doc_id", "h").distinct()
-    whole = materialised(_of_live(rows, live))
-    order = F.struct((F.floor(8 * F.log2("df")) + F.col("gram") / 2.0**64 + 0.5).alias("key"), "gram")
-    ordered = _shared(whole.select("doc_id", "h", "n", F.explode("grams").alias("gram"))).groupBy("doc_id", "h", "n").agg(F.sort_array(F.collect_list(order)).alias("grams"))
+    whole = materialised(_of_live(rows, live, hot))
+    counted = whole.select("doc_id", "h", "n", F.explode("grams").alias("gram")).withColumn("df", F.count(F.lit(1)).over(gram)).where("df > 1")
+    cold = counted.select("doc_id", "h", "n", F.struct(F.floor(8 * F.log2("df")).cast("smallint").alias("level"), "gram").alias("x"))
+    known = whole.select("doc_id", "h", "n", F.explode(F.arrays_zip(F.col("levels").alias("level"), F.col("hot").alias("gram"))).alias("x"))
+    ordered = cold.union(known).groupBy("doc_id", "h", "n").agg(F.sort_array(F.collect_list("x")).alias("grams"))
     ordered = ordered.withColumn("shared", F.size("grams")).where(F.col("shared") * 100 >= F.col("n") * PERCENT)
     named = components(_links(materialised(ordered.select(row.alias("node"), "n", "shared", "grams"))))
     classes = first.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -298,10 +311,15 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return kept.join(twins, same(), "left_anti").union(once.select(*(f"{c}_" for c in names)).toDF(*docs.columns))
 
 
+def _key(x: Column) -> Column:
+    """A number that rises along the order of (frequency class, n-gram)."""
+    return x["level"] + x["gram"] / 2.0**64 + 0.5
+
+
 def _pivots(nodes: DataFrame) -> list[float]:
     """Keys that cut the occurrences of the order into ``PAIR_FRAGMENTS`` parts of about one size."""
     parts = [i / PAIR_FRAGMENTS for i in range(1, PAIR_FRAGMENTS)]
-    return sorted(nodes.select(F.explode("grams.key").alias("key")).agg(F.percentile_approx("key", parts)).first()[0] or [])
+    return sorted(nodes.select(F.explode(F.transform("grams", _key)).alias("key")).agg(F.percentile_approx("key", parts)).first()[0] or [])
 
 
 def _links(nodes: DataFrame) -> DataFrame:
@@ -315,7 +333,7 @@ def _links(nodes: DataFrame) -> DataFrame:
     """
     pivots = _pivots(nodes)
     bounds = [None, *pivots, *[float("inf")] * (PAIR_FRAGMENTS - 1 - len(pivots)), None]
-    inside = lambda low, high: lambda x: (F.lit(True) if low is None else x["key"] >= low) & (F.lit(True) if high is None else x["key"] < high)
+    inside = lambda low, high: lambda x: (F.lit(True) if low is None else _key(x) >= low) & (F.lit(True) if high is None else _key(x) < high)
     part = lambda i: F.transform(F.filter("grams", inside(bounds[i], bounds[i + 1])), lambda x: x["gram"])
     pieces = F.array(*(F.struct(F.lit(i).alias("f"), part(i).alias("part")) for i in range(PAIR_FRAGMENTS)))
     segments = nodes.select("node", F.explode(pieces).alias("x")).select("node", "x.f", "x.part").where(F.size("part") > 0)

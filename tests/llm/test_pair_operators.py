@@ -50,8 +50,10 @@ def _corpus(seed: int) -> list[tuple[int, str | None]]:
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_ngram_join_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot", "marked"), [(1, 16, 1 << 24), (2, 3, 0)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, seed, hot, marked):
+    monkeypatch.setattr(ngram_join, "HOT_COUNT", hot)
+    monkeypatch.setattr(ngram_join, "MARKED_ROWS", marked)
     rows = _corpus(seed)
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, n double")
     sets = {i: _shingles(t) for i, t in rows}
@@ -187,7 +189,7 @@ def test_first_pass_keeps_every_linked_node(monkeypatch):
         words = [f"w{rnd.randrange(10**6)}" for _ in range(n + 4)]
         other = words[: len(words) - (n // 9)] + [f"x{i}" for i in range(n // 9)]
         texts = [" ".join(w).encode() for w in (words, other)]
-        (batch,) = ngram_join._sets(np.zeros(0, np.uint64))(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array(texts, pa.binary())], ["doc_id", "h", "text"])]))
+        (batch,) = ngram_join._sets((np.zeros(0, np.uint64), np.zeros(0, np.int16)))(iter([pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 2]), pa.array(texts, pa.binary())], ["doc_id", "h", "text"])]))
         a, b = (set(x) for x in batch.column("some").to_pylist())
         full = [set(ngram_join.shingle_sets([t])[0].view(np.int64).tolist()) for t in texts]
         assert 100 * len(full[0] & full[1]) >= 80 * len(full[0] | full[1])

@@ -13,14 +13,14 @@ likeness is the share of the longer text that such extensions and the agreed pre
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratapanel.llm.common import blocks, short_batches
@@ -226,6 +226,19 @@ def _bounds(rows: DataFrame, parts: int) -> np.ndarray:
     return sample[np.linspace(0, len(sample), parts + 1)[1:-1].astype(int)] if len(sample) and parts > 1 else sample[:0]
 
 
+def _range(bounds: np.ndarray, key: Column) -> Column:
+    """How many of the sorted bounds are above a key, by binary search over a constant array."""
+    if not len(bounds):
+        return F.lit(0).cast("long")
+    bits = len(bounds).bit_length()
+    most = {"id": (1 << 63) - 1, "h": (1 << 63) - 1}
+    padded = [{"id": int(i), "h": int(h)} for i, h in bounds] + [most] * ((1 << bits) - 1 - len(bounds))
+    known = F.from_json(F.lit(json.dumps(padded)), "array<struct<id:bigint,h:bigint>>")
+    step = lambda at, size: F.when(F.get(known, at + size - 1) <= key, at + size).otherwise(at)
+    below = F.aggregate(F.array(*(F.lit(1 << b) for b in range(bits - 1, -1, -1))), F.lit(0), step)
+    return F.lit(len(bounds)).cast("long") - F.least(below, F.lit(len(bounds)))
+
+
 def _chained(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> DataFrame:
     """(bucket, id, text, own): rows dealt by descending ids, each bucket followed by the next one's first row.
 
@@ -236,16 +249,8 @@ def _chained(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> Da
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, math.ceil(total / part_bytes))
-    bounds = docs.sparkSession.sparkContext.broadcast(_bounds(rows.select("id", "h"), parts))
-
-    @F.pandas_udf("long")
-    def bucket(ids: pd.Series, h: pd.Series) -> pd.Series:
-        at = np.zeros(len(ids), [("id", "<i8"), ("h", "<i8")])
-        at["id"], at["h"] = ids, h
-        return pd.Series(len(bounds.value) - np.searchsorted(bounds.value, at, side="right"))
-
-    rows = rows.withColumn("bucket", bucket(F.coalesce("id", F.lit(-(1 << 63))), "h") if parts > 1 else F.lit(0).cast("long"))
     key = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "h")
+    rows = rows.withColumn("bucket", _range(_bounds(rows.select("id", "h"), parts), key))
     first = {r[0]: r[1] for r in rows.groupBy("bucket").agg(F.max(key).alias("k")).collect()}
     ordered = sorted(first)
     carried = [(b, *first[n], n) for b, n in zip(ordered, ordered[1:] + ordered[:1], strict=True)]

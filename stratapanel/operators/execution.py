@@ -10,8 +10,14 @@ from stratapanel.functions.expr import div
 
 
 def uniform(*keys: str, seed: int = 0) -> Column:
-    """A number in (0, 1) from a hash of the keys, so reruns draw the same."""
-    return (F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    """A number in (0, 1) from 40 bits of the MD5 of the keys' text and the seed, so reruns draw the same, in any engine."""
+    return (draw(*keys, seed=seed) + 0.5) / float(1 << 40)
+
+
+def draw(*keys: str, seed: int = 0) -> Column:
+    """A whole number below 2**40 from the keys' text and the seed."""
+    text = F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 10), 16, 10).cast("bigint")
 
 
 def normal(*keys: str, seed: int = 0) -> Column:

@@ -72,6 +72,11 @@ def capacity(max_bps: float, volume: Column, volatility: Column, eta: float = 0.
     return F.when(volume <= 0, 0).otherwise(F.floor(volume * F.least(F.coalesce(share, F.lit(1.0)), F.lit(1.0)))).cast("bigint")
 
 
+def square_root_capacity(max_bps: float, volume: Column, k: float = 0.1) -> Column:
+    """Shares whose square-root impact reaches a limit; none without volume."""
+    return F.when(volume > 0, F.floor(volume * (max_bps / 1e4 / k) ** 2)).otherwise(0).cast("bigint")
+
+
 def execution_cost(shares: Column, price: Column, volume: Column, commission: float = 0.001, spread: float = 0.0005, slippage: float = 0.0002, most: float = 0.02) -> Column:
     value = F.abs(shares) * price
     impact = F.when(volume > 1e-6, value * F.least(div(F.abs(shares), volume), F.lit(most)) * slippage).otherwise(0.0)

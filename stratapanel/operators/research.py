@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratapanel.functions.expr import by_ticker, div, mean, mean_rank, median, pct_rank, std
+from stratapanel.operators.execution import draw
 from stratapanel.operators.cross_section import quantile_bucket
 
 
@@ -192,10 +193,10 @@ def ic_significance(df: DataFrame, factors: list[str], target: str, eps: float =
 def bootstrap_ic(df: DataFrame, factors: list[str], target: str, replicates: int = 5, sample: int = 50_000, least: int = 50) -> DataFrame:
     """(seed, factor, ic): absolute rank correlation with the target in samples without replacement.
 
-    A sample is the ``sample`` rows (date, ticker) with the smallest hash of seed and key, so its size is bounded
+    A sample is the ``sample`` rows (date, ticker) with the smallest draw of seed and key, so its size is bounded
     whatever the table's. Missing factor values take the sample's mean.
     """
-    picks = [df.select(F.lit(s).alias("seed"), "date", "ticker", *factors, F.col(target).alias("t")).orderBy(F.xxhash64(F.lit(s), "date", "ticker"), "date", "ticker").limit(sample) for s in range(replicates)]
+    picks = [df.select(F.lit(s).alias("seed"), "date", "ticker", *factors, F.col(target).alias("t")).orderBy(draw("date", "ticker", seed=s), "date", "ticker").limit(sample) for s in range(replicates)]
     long = unpivoted(reduce(DataFrame.union, picks).where("t is not null"), factors, ["seed", "t"])
     each = Window.partitionBy("seed", "factor")
     filled = long.withColumn("value", F.coalesce("value", F.avg("value").over(each)))

@@ -13,6 +13,7 @@ from stratapanel.operators import portfolio as pf
 from stratapanel.operators import research, shaping
 from stratapanel.operators.asof import asof_join
 from stratapanel.operators.ewm import Ewm, add_ewm
+from stratapanel.operators.execution import draw
 from stratapanel.plans import factors, oracle
 from stratapanel.sources.tables import bars, macro, panel, read, sectors, statements
 
@@ -40,7 +41,7 @@ SIGNALS = ("zscore_21d", "return_21d", "volatility_21d")
 _CTES, _LAST = oracle.staged({n: oracle.FACTORS[n] for n in SIGNALS}, "panel")
 _LEAD = "least(greatest(lead(open, {}) OVER w / nullif(lead(open, 1) OVER w, 0) - 1, -0.5), 0.5)"
 SIGNALS_SQL = f"""WITH {oracle.PANEL}, {", ".join(_CTES)},
-sig AS (SELECT date, ticker, sector, open, close, volume, market_cap, roe, {", ".join(SIGNALS)},
+sig AS MATERIALIZED (SELECT date, ticker, sector, open, close, volume, market_cap, roe, {", ".join(SIGNALS)},
   CASE WHEN lead(open, 6) OVER w IS NOT NULL THEN {_LEAD.format(6)} END AS raw_ret_5d, CASE WHEN lead(open, 1) OVER w IS NOT NULL THEN least(greatest(lead(open, 1) OVER w / nullif(open, 0) - 1, -0.5), 0.5) END AS pnl_return
   FROM {_LAST} WINDOW w AS (PARTITION BY ticker ORDER BY date))"""
 
@@ -188,7 +189,7 @@ def asof_events(spark, d):
     return asof_join(e.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", ["last_click"], exact=False).select("event_id", "last_click")
 
 
-@query(SIGNALS_SQL + ", k AS (SELECT date, ticker, return_21d, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM sig WHERE return_21d IS NOT NULL) SELECT a.date, a.ticker, (a.return_21d > 0) = (b.return_21d > 0) AS stable FROM k a JOIN k b ON a.ticker = b.ticker AND a.i = b.i + 1")
+@query(SIGNALS_SQL + ", k AS (SELECT date, ticker, return_21d, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i FROM sig WHERE return_21d IS NOT NULL) SELECT date, ticker, (return_21d > 0) = (lag(return_21d) OVER (PARTITION BY ticker ORDER BY date) > 0) AS stable FROM k QUALIFY lag(return_21d) OVER (PARTITION BY ticker ORDER BY date) IS NOT NULL")
 def self_join_signal_stability(spark, d):
     k = signals(spark, d).where("return_21d is not null").select("date", "ticker", "return_21d", F.row_number().over(by_ticker()).alias("i"))
     a, b = k.alias("a"), k.withColumn("i", F.col("i") + 1).alias("b")
@@ -377,17 +378,19 @@ def drift_two_window(spark, d):
     return research.drift(daily).select("date", F.round("z", 5).alias("z"), "mean_drift", "error_drift")
 
 
-@query(f"WITH {oracle.PANEL}, x AS (SELECT ticker, close / lag(close) OVER w - 1 AS a, sp500_close / nullif(lag(sp500_close) OVER w, 0) - 1 AS b FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date)), y AS (SELECT * FROM x WHERE a IS NOT NULL AND b IS NOT NULL) SELECT ticker, round(covar_pop(a, b) / nullif(var_pop(b), 0), 5) + 0.0 AS beta, round(avg(a) - covar_pop(a, b) / nullif(var_pop(b), 0) * avg(b), 5) + 0.0 AS alpha, round(corr(a, b), 6) + 0.0 AS rho, count(*) AS n FROM y GROUP BY 1")
+@query(f"WITH {oracle.PANEL}, x AS (SELECT ticker, close / lag(close) OVER w - 1 AS a, sp500_close / nullif(lag(sp500_close) OVER w, 0) - 1 AS b FROM panel WINDOW w AS (PARTITION BY ticker ORDER BY date)), y AS (SELECT * FROM x WHERE a IS NOT NULL AND b IS NOT NULL) SELECT ticker, round(covar_pop(a, b) / nullif(var_pop(b), 0), 5) + 0.0 AS beta, round(avg(a) - covar_pop(a, b) / nullif(var_pop(b), 0) * avg(b), 5) + 0.0 AS alpha, round(corr(a, b), 6) + 0.0 AS rho, round(CASE WHEN count(*) > 2 THEN sqrt(greatest(var_pop(a) - covar_pop(a, b) ** 2 / nullif(var_pop(b), 0), 0) / nullif(var_pop(b), 0) / (count(*) - 2)) END, 5) AS std_err, count(*) AS n FROM y GROUP BY 1")
 def ols_alpha_beta(spark, d):
     y = panel(spark, d).select("ticker", (div("close", lag("close")) - 1).alias("a"), (div("sp500_close", lag("sp500_close")) - 1).alias("b")).where("a is not null and b is not null")
     beta = div(F.covar_pop("a", "b"), F.var_pop("b"))
-    return y.groupBy("ticker").agg(r(beta, 5).alias("beta"), r(F.avg("a") - beta * F.avg("b"), 5).alias("alpha"), r(research.safe_corr("a", "b")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    rest = F.greatest(F.var_pop("a") - beta * F.covar_pop("a", "b"), F.lit(0.0))
+    error = F.when(F.count(F.lit(1)) > 2, F.sqrt(div(div(rest, F.var_pop("b")), F.count(F.lit(1)) - 2)))
+    return y.groupBy("ticker").agg(r(beta, 5).alias("beta"), r(F.avg("a") - beta * F.avg("b"), 5).alias("alpha"), r(research.safe_corr("a", "b")).alias("rho"), F.round(error, 5).alias("std_err"), F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {oracle.BARS}, x AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS a FROM bars) SELECT ticker, CAST(year(date) AS BIGINT) AS year, round(exp(sum(ln(1 + a))) - 1, 5) + 0.0 AS compounded, count(*) AS n FROM x WHERE a > -1 GROUP BY 1, 2")
+@query(f"WITH {oracle.BARS}, x AS (SELECT ticker, date, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS a FROM bars) SELECT ticker, CAST(year(date) AS BIGINT) AS year, round(product(1 + a) - 1, 5) + 0.0 AS compounded, count(*) AS n FROM x WHERE a IS NOT NULL GROUP BY 1, 2")
 def yearly_compound(spark, d):
-    x = bars(spark, d).select("ticker", "date", (div("close", lag("close")) - 1).alias("a")).where("a > -1")
-    return x.groupBy("ticker", F.year("date").cast("bigint").alias("year")).agg(r(F.exp(F.sum(F.ln(1 + F.col("a")))) - 1, 5).alias("compounded"), F.count(F.lit(1)).alias("n"))
+    x = bars(spark, d).select("ticker", "date", (div("close", lag("close")) - 1).alias("a")).where("a is not null")
+    return x.groupBy("ticker", F.year("date").cast("bigint").alias("year")).agg(r(F.product(1 + F.col("a")) - 1, 5).alias("compounded"), F.count(F.lit(1)).alias("n"))
 
 
 _MONTHS = ", ".join(f"round(sum(x) FILTER (WHERE month(date) = {m}), 4) + 0.0 AS m{m}" for m in range(1, 13))
@@ -454,9 +457,9 @@ def market_impact(spark, d):
     return t.select("date", "ticker", F.round(pf.market_impact(s, v, F.lit(0.03), s < 0), 6).alias("impact"), F.round(pf.square_root_impact(s, v), 6).alias("simple"), F.round(pf.execution_cost(s, F.col("close"), v), 4).alias("cost"))
 
 
-@query(f"WITH {oracle.BARS}, t AS (SELECT date, ticker, volume, 0.0015 / (0.015 * 0.02 / 0.02) AS q FROM bars) SELECT date, ticker, CAST(floor(volume * least(power(q, 1 / 0.6), 1.0)) AS BIGINT) AS shares FROM t")
+@query(f"WITH {oracle.BARS}, t AS (SELECT date, ticker, volume, 0.0015 / (0.015 * 0.02 / 0.02) AS q FROM bars) SELECT date, ticker, CAST(floor(volume * least(power(q, 1 / 0.6), 1.0)) AS BIGINT) AS shares, CAST(floor(volume * 0.0225) AS BIGINT) AS root_shares FROM t")
 def impact_capacity(spark, d):
-    return bars(spark, d).select("date", "ticker", pf.capacity(15.0, F.col("volume"), F.lit(0.02)).alias("shares"))
+    return bars(spark, d).select("date", "ticker", pf.capacity(15.0, F.col("volume"), F.lit(0.02)).alias("shares"), pf.square_root_capacity(150.0, F.col("volume")).alias("root_shares"))
 
 
 @query(_EQ + ", p AS (SELECT sector, weight * pnl_return AS pnl FROM eq WHERE pnl_return IS NOT NULL) SELECT sector, count(*) AS n, round(avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_ratio, round(sum(pnl) FILTER (WHERE pnl > 0), 6) AS won, round(sum(pnl) FILTER (WHERE pnl < 0), 6) AS lost FROM p GROUP BY 1")
@@ -476,12 +479,21 @@ def generate_orders(spark, d):
     return o.select("date", "ticker", shares.alias("shares"), F.col("close").alias("price"), F.round(shares * F.col("close"), 2).alias("value"), F.when(F.col("weight") > 0, "BUY").otherwise("SELL").alias("side"))
 
 
-def _candidates(spark, d, n: int = 8, days: int = 60) -> DataFrame:
-    """The day's top candidates on the first day of each month, with their past returns."""
-    s = signals(spark, d).withColumn("ret", div("close", lag("close")) - 1)
-    s = s.withColumn("returns", F.collect_list("ret").over(by_ticker().rowsBetween(-days, -1))).withColumn("score", pct_rank("return_21d"))
-    s = s.where(F.size("returns") == days).join(F.broadcast(pf.rebalance_days(bars(spark, d), "monthly")), "date", "left_semi")
-    return xs.top_n(s, "score", n).select("date", "ticker", "score", "market_cap", "returns")
+HISTORY, NAMES = 252, 25
+
+
+def _candidates(spark, d, n: int = NAMES, days: int = HISTORY) -> DataFrame:
+    """The day's top candidates on the first day of each month, with their past returns; names with a gap in these are left out.
+
+    The day's names are chosen first; only their own history is then joined, by place in the name's days.
+    """
+    s = signals(spark, d).withColumn("ret", div("close", lag("close")) - 1).withColumn("i", F.row_number().over(by_ticker()))
+    ranked = s.withColumn("score", pct_rank("return_21d")).withColumn("known", F.count("ret").over(by_ticker().rowsBetween(-days, -1)))
+    first = ranked.where(F.col("known") == days).join(F.broadcast(pf.rebalance_days(bars(spark, d), "monthly")), "date", "left_semi")
+    top = xs.top_n(first, "score", n).select("date", "ticker", "score", "market_cap", "i")
+    past = top.withColumn("j", F.explode(F.sequence(F.col("i") - days, F.col("i") - 1))).join(s.select("ticker", F.col("i").alias("j"), "ret"), ["ticker", "j"])
+    returns = past.groupBy("date", "ticker").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "ret"))), lambda x: x["ret"]).alias("returns"))
+    return top.drop("i").join(returns, ["date", "ticker"])
 
 
 def _allocation(method: str):
@@ -492,6 +504,10 @@ def _allocation(method: str):
 
 
 QUERIES |= {f"allocate_{m}": _allocation(m) for m in pf.METHODS}
+ORACLES["allocate_top_n"] = SIGNALS_SQL + f""", a AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret, {oracle.rank("return_21d")} AS score FROM sig),
+b AS (SELECT *, count(ret) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {HISTORY} PRECEDING AND 1 PRECEDING) AS known FROM a), f AS (SELECT min(date) AS date FROM sig GROUP BY date_trunc('month', date)),
+t AS (SELECT b.date, b.ticker, row_number() OVER (PARTITION BY b.date ORDER BY score DESC, ticker) AS place FROM b JOIN f ON b.date = f.date WHERE known = {HISTORY} AND score IS NOT NULL)
+SELECT date, ticker, round(1.0 / count(*) OVER (PARTITION BY date), 6) AS weight FROM t WHERE place <= {NAMES}"""
 
 
 @query()
@@ -503,15 +519,17 @@ def backtest_run(spark, d):
     return pf.backtest(pf.signal_days(s.select("date", "ticker", "open", "close", "volume"), weights))
 
 
-@query()
+@query(f"""WITH {oracle.BARS}, m AS MATERIALIZED (SELECT date, avg(a) AS x FROM (SELECT date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS a FROM bars) GROUP BY 1), y AS MATERIALIZED (SELECT x, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM m WHERE x IS NOT NULL),
+k AS (SELECT s, CAST('0x' || substr(md5(concat_ws('|', CAST(s AS VARCHAR), CAST(y.i AS VARCHAR), '0')), 1, 10) AS BIGINT) % n AS i FROM y, range(200) AS r(s)), e AS (SELECT s, avg(x) / nullif(stddev_samp(x), 0) * sqrt(252.0) AS sharpe FROM k JOIN y ON k.i = y.i GROUP BY 1)
+SELECT round(quantile_cont(sharpe, 0.025), 4) + 0.0 AS low, round(quantile_cont(sharpe, 0.5), 4) + 0.0 AS middle, round(quantile_cont(sharpe, 0.975), 4) + 0.0 AS high FROM e""")
 def bootstrap_sharpe(spark, d):
     """Percentile interval of a yearly Sharpe ratio over 200 resamples of the daily market return, drawn by hash."""
     day = bars(spark, d).select("date", (div("close", lag("close")) - 1).alias("a")).groupBy("date").agg(F.avg("a").alias("x")).where("x is not null")
     day = day.withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
     n = day.count()
-    draws = spark.range(200).withColumnRenamed("id", "s").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("s", F.pmod(F.xxhash64("s", "k"), F.lit(n)).cast("int").alias("i"))
+    draws = spark.range(200).withColumnRenamed("id", "s").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("s", (draw("s", "k") % n).cast("int").alias("i"))
     each = draws.join(F.broadcast(day.select("i", "x")), "i").groupBy("s").agg((div(F.avg("x"), F.stddev_samp("x")) * 252**0.5).alias("sharpe"))
-    return each.agg(F.percentile("sharpe", 0.025).alias("low"), F.percentile("sharpe", 0.5).alias("middle"), F.percentile("sharpe", 0.975).alias("high"))
+    return each.agg(*(r(F.percentile("sharpe", q), 4).alias(name) for name, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))))
 
 
 # ---- sets and breadth

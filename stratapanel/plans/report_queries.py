@@ -187,24 +187,39 @@ def adjusted_prices(spark, d):
     return adjusted_history(b, new)
 
 
-@query()
+_DRAW = "(CAST('0x' || substr(md5(concat_ws('|', CAST(date AS VARCHAR), CAST(ticker AS VARCHAR), '{}')), 1, 10) AS BIGINT) + 0.5) / 1099511627776.0"
+
+
+@query(f"""WITH {oracle.BARS}, o AS (SELECT date, ticker, close, CAST(trunc(volume / 10) AS BIGINT) AS shares, CASE WHEN ticker % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
+CASE WHEN volume <= 0 THEN 'ZERO_VOLUME' WHEN {_DRAW.format(11)} > 0.95 THEN 'PROBABILITY' WHEN CAST(trunc(volume / 10) AS BIGINT) <= 0 OR close <= 0 THEN 'INVALID_INPUTS' END AS failure_reason,
+0.0005 + 0.0002 * exp(sqrt(-2 * ln({_DRAW.format(21)})) * cos(2 * pi() * {_DRAW.format(22)}) * 0.02) + 0.0001 AS rate FROM bars)
+SELECT date, ticker, side, shares, close, round(greatest(CASE WHEN side = 'buy' THEN close + rate * close ELSE close - rate * close END, 0.01), 3) AS fill_price, round(shares * close * 0.001, 3) AS commission_usd, failure_reason IS NULL AS success, failure_reason FROM o WHERE shares > 0""")
 def simulated_fills(spark, d):
-    """Every bar as an order for a hundredth of its volume; fills and slippage are drawn by hash."""
+    """Every bar as an order for a tenth of its volume; fills and slippage are drawn by hash."""
     b = bars(spark, d)
     orders = b.select("date", "ticker", (F.col("volume") / 10).alias("shares"), F.when(F.col("ticker") % 2 == 0, "buy").otherwise("sell").alias("side"), F.lit(0.0001).alias("impact_rate"))
-    return execution.fills(orders, b.select("date", "ticker", "close", "volume", F.lit(0.02).alias("volatility")), fill=0.95)
-
-
-@query()
+    done = execution.fills(orders, b.select("date", "ticker", "close", "volume", F.lit(0.02).alias("volatility")), fill=0.95)
+    return done.where("shares > 0").select("date", "ticker", "side", "shares", "close", F.round("fill_price", 3).alias("fill_price"), F.round("commission_usd", 3).alias("commission_usd"), "success", "failure_reason")
+
+
+@query(f"""WITH RECURSIVE {oracle.BARS}, e AS MATERIALIZED (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS seq FROM bars),
+x AS MATERIALIZED (SELECT ticker, seq, CASE WHEN seq % 3 = 1 THEN 'buy' WHEN seq % 3 = 2 THEN 'dividend' ELSE 'sell' END AS type, CASE WHEN seq % 3 = 2 THEN 0.5 ELSE close END AS price FROM e),
+s AS (SELECT DISTINCT ticker, CAST(0 AS BIGINT) AS seq, '' AS type, CAST(0 AS DOUBLE) AS price, CAST(1000000 AS DOUBLE) AS cash, CAST(0 AS DOUBLE) AS shares, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS pnl, false AS accepted FROM x
+UNION ALL SELECT ticker, seq, type, price, CASE WHEN NOT fine THEN cash WHEN type = 'buy' THEN cash - raw * 1.001 WHEN type = 'sell' THEN cash + net ELSE cash + shares * price END, CASE WHEN NOT fine OR type = 'dividend' THEN shares WHEN type = 'buy' THEN shares + 5 ELSE shares - 5 END,
+CASE WHEN fine AND type = 'buy' THEN (shares * cost + raw) / (shares + 5) WHEN fine AND type = 'sell' AND shares - 5 < 1e-9 THEN 0.0 ELSE cost END, CASE WHEN NOT fine OR type = 'buy' THEN 0.0 WHEN type = 'sell' THEN net - 5 * cost ELSE shares * price END, fine
+FROM (SELECT x.ticker, x.seq, x.type, x.price, s.cash, s.shares, s.cost, 5 * x.price * 1.0005 AS raw, 5 * x.price * 0.9995 * 0.999 AS net,
+  CASE x.type WHEN 'buy' THEN x.price > 0 AND 5 * x.price * 1.0005 * 1.001 <= s.cash + 1e-9 WHEN 'sell' THEN s.shares + 1e-9 >= 5 AND x.price > 0 ELSE s.shares * x.price > 0 END AS fine FROM s JOIN x ON x.ticker = s.ticker AND x.seq = s.seq + 1))
+SELECT CAST(ticker AS VARCHAR) AS portfolio, seq, type, round(price, 4) AS price, round(cash, 2) AS cash, round(pnl, 2) + 0.0 AS pnl, accepted FROM s WHERE seq > 0""")
 def cash_ledger(spark, d):
-    """Each name's alternating buys and sells through a ledger of its own."""
+    """Each name's buys, dividends and sells through a ledger of its own."""
     from pyspark.sql import Window
 
     i = F.row_number().over(Window.partitionBy("ticker").orderBy("date"))
     rows = bars(spark, d).withColumn("seq", i.cast("long"))
     kind = F.when(F.col("seq") % 3 == 1, "buy").when(F.col("seq") % 3 == 2, "dividend").otherwise("sell")
     price = F.when(F.col("seq") % 3 == 2, 0.5).otherwise(F.col("close"))
-    return execution.ledger(rows.select(F.col("ticker").cast("string").alias("portfolio"), "seq", kind.alias("type"), F.col("ticker").cast("string").alias("ticker"), F.lit(5.0).alias("shares"), price.alias("price")))
+    entries = rows.select(F.col("ticker").cast("string").alias("portfolio"), "seq", kind.alias("type"), F.col("ticker").cast("string").alias("ticker"), F.lit(5.0).alias("shares"), price.alias("price"))
+    return execution.ledger(entries).select("portfolio", "seq", "type", F.round("price", 4).alias("price"), F.round("cash", 2).alias("cash"), r("pnl", 2).alias("pnl"), "accepted")
 
 
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1, 2")

@@ -77,9 +77,19 @@ def test_short_and_empty_history(market):
 
 
 @pytest.mark.parametrize("adjust", [True, False])
-def test_ewm_equals_pandas(adjust):
+def test_ewm_equals_the_weighted_sum(adjust):
     x = np.array([np.nan, 1.0, 2.0, np.nan, np.nan, 5.0, 4.0])
-    assert np.allclose(ewm_values(x, 0.3, adjust, 2), pd.Series(x).ewm(alpha=0.3, adjust=adjust, min_periods=2).mean(), equal_nan=True)
+    want = [np.nan] * len(x)
+    for i in range(len(x)):
+        known = [j for j in range(i + 1) if not np.isnan(x[j])]
+        if len(known) >= 2:
+            mean = x[known[0]]
+            for before, j in zip(known, known[1:], strict=False):
+                old = 0.7 ** (j - before) * (1.0 if not adjust else sum(0.7 ** (before - k) for k in known if k <= before))
+                new = 1.0 if adjust else 0.3
+                mean = (old * mean + new * x[j]) / (old + new)
+            want[i] = mean
+    assert np.allclose(ewm_values(x, 0.3, adjust, 2), want, equal_nan=True)
 
 
 def test_ewm_columns_keep_rows(market):
@@ -183,3 +193,17 @@ def test_stages_put_all_ranks_of_a_day_together():
     for stage in plan:
         assert all(n in seen for s in stage for n in s.needs)
         seen |= {s.name for s in stage}
+
+
+def test_flags_columns_and_hash(spark):
+    from stratapanel.operators import checks
+
+    day = lambda d: date(2024, 1, d)
+    w = spark.createDataFrame([(day(1), "a", "s", 0.5), (day(1), "b", "t", -0.5), (day(2), "a", "s", 0.2), (day(2), "c", "s", 0.8)], "date date, ticker string, sector string, weight double")
+    got = {r["date"].day: r for r in checks.weight_flags(w).collect()}
+    assert got[1]["dollar_neutral"] and not got[1]["long_only"] and got[1]["turnover"] is None and got[1]["turnover_within"]
+    assert got[2]["fully_invested"] and not got[2]["sectors_within"] and abs(got[2]["turnover"] - 1.6) < 1e-9 and not got[2]["turnover_within"]
+    frame = spark.createDataFrame([(day(1), "a", 1.0, 2, "x", 0.1)], "date date, ticker string, close double, rsi int, note string, raw_ret_5d double").withColumn("_part", F.lit(1))
+    assert checks.factor_columns(frame) == ["rsi", "raw_ret_5d"] and checks.forward_return_columns(frame) == ["raw_ret_5d"]
+    one, two = (checks.table_hash(x).first() for x in (w, w.repartition(3).orderBy("weight")))
+    assert one == two and checks.table_hash(w.where("weight > 0")).first() != one

@@ -10,10 +10,10 @@ import duckdb
 import pandas as pd
 import pytest
 
-from stratapanel.plans import factor_queries, monitor_queries, panel_queries, report_queries
+from stratapanel.plans import check_queries, factor_queries, monitor_queries, panel_queries, report_queries
 
-QUERIES = factor_queries.QUERIES | panel_queries.QUERIES | monitor_queries.QUERIES | report_queries.QUERIES
-ORACLES = factor_queries.ORACLES | panel_queries.ORACLES | monitor_queries.ORACLES | report_queries.ORACLES
+QUERIES = factor_queries.QUERIES | panel_queries.QUERIES | monitor_queries.QUERIES | report_queries.QUERIES | check_queries.QUERIES
+ORACLES = factor_queries.ORACLES | panel_queries.ORACLES | monitor_queries.ORACLES | report_queries.ORACLES | check_queries.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -214,36 +214,57 @@ def shrunk_covariance(returns: np.ndarray) -> np.ndarray:
 METHODS = ("mean_variance", "max_sharpe", "risk_parity", "kelly", "black_litterman", "inverse_vol", "top_n")
 
 
-def allocate(history: DataFrame, method: str, cap: float = 1.0) -> DataFrame:
+def safe_weights(w: np.ndarray, least: float = 1e-6) -> np.ndarray:
+    """Weights without small, negative or undefined ones, scaled to 1; equal weights if nothing is left."""
+    w = np.where(np.isfinite(w) & (w > least), w, 0.0)
+    total = w.sum()
+    return w / total if total > least else np.full(len(w), 1.0 / len(w))
+
+
+def allocate(history: DataFrame, method: str, cap: float = 1.0, risk: float = 1.0, rate: float = 0.04, fraction: float = 0.5, tau: float = 0.05, confidence: float = 0.5, aversion: float = 2.5, scale: float = 0.30, budget: str | None = None) -> DataFrame:
     """(date, ticker, weight) of rows (date, ticker, score, market_cap, returns): a day's candidates.
 
-    ``returns`` is an array of past daily returns of one length a day. A day's candidates are few (its top n), so a
-    day is a group of bounded size, and days are solved in parallel.
+    ``returns`` is an array of past daily returns of one length a day; rows without a score, or with a gap in their
+    returns, or of another length than most of the day, are left out. ``risk`` is the aversion of mean-variance,
+    ``rate`` and ``fraction`` belong to max_sharpe and kelly, ``tau``, ``confidence`` and ``aversion`` to
+    black_litterman, and ``budget`` names a column of risk budgets for risk_parity. A solver that fails, or gives
+    undefined weights, is answered by equal weights. A day's candidates are few (its top n), so a day is a group of
+    bounded size, and days are solved in parallel.
     """
     if method not in METHODS:
         raise ValueError(f"no such method: {method}")
 
-    def run(day: pd.DataFrame) -> pd.DataFrame:
-        day = day.sort_values("ticker")
+    def solve(day: pd.DataFrame) -> np.ndarray:
         n = len(day)
-        sigma = shrunk_covariance(np.array(day["returns"].tolist()).T) * 252
-        mu = (day["score"].to_numpy(float) - 0.5) * 2 * 0.30
+        if method == "top_n" or n == 1:
+            return np.full(n, 1.0 / n)
+        sigma = shrunk_covariance(np.array(day["returns"].tolist(), float).T) * 252
+        mu = (day["score"].to_numpy(float) - 0.5) * 2 * scale
         if method == "risk_parity":
-            w = risk_parity_weights(sigma)
-        elif method == "max_sharpe":
-            w = max_sharpe_weights(mu, sigma, cap=cap)
-        elif method == "kelly":
-            w = kelly_weights(mu, sigma)
-        elif method == "black_litterman":
-            w = quadratic_weights(black_litterman_returns(sigma, day["market_cap"].fillna(0).to_numpy(float), mu), sigma, 2.5, cap)
-        elif method == "inverse_vol":
-            w = 1 / np.sqrt(np.maximum(np.diag(sigma), 1e-8))
-            w /= w.sum()
-        elif method == "top_n":
-            w = np.full(n, 1.0 / n)
-        else:
-            w = quadratic_weights(mu, sigma, 1.0, cap)
-        return pd.DataFrame({"date": day["date"].iloc[0], "ticker": day["ticker"], "weight": w})[lambda x: x["weight"] > 1e-6]
+            return risk_parity_weights(sigma, None if budget is None else day[budget].to_numpy(float))
+        if method == "max_sharpe":
+            return max_sharpe_weights(mu, sigma, rate, cap)
+        if method == "kelly":
+            return kelly_weights(mu, sigma, rate, fraction)
+        if method == "black_litterman":
+            return quadratic_weights(black_litterman_returns(sigma, day["market_cap"].fillna(0).to_numpy(float), mu, confidence, tau, aversion), sigma, aversion, cap)
+        if method == "inverse_vol":
+            return 1 / np.sqrt(np.maximum(np.diag(sigma), 1e-8))
+        return quadratic_weights(mu, sigma, risk, cap)
+
+    def run(day: pd.DataFrame) -> pd.DataFrame:
+        day = day.sort_values("ticker")
+        whole = day["returns"].map(lambda x: x is not None and all(v is not None and np.isfinite(v) for v in x))
+        day = day[whole & day["score"].notna()]
+        size = day["returns"].map(len)
+        day = day[size == size.mode().iloc[0]] if len(day) else day
+        if not len(day):
+            return pd.DataFrame({"date": [], "ticker": [], "weight": []}, dtype=object)
+        try:
+            w = solve(day)
+        except (np.linalg.LinAlgError, FloatingPointError, ZeroDivisionError):
+            w = np.full(len(day), np.nan)
+        return pd.DataFrame({"date": day["date"].iloc[0], "ticker": day["ticker"], "weight": safe_weights(w)})[lambda x: x["weight"] > 1e-6]
 
     kinds = dict(history.dtypes)
     return history.groupBy("date").applyInPandas(run, f"date date, ticker {kinds['ticker']}, weight double")
@@ -258,15 +279,43 @@ def rebalance_days(days: DataFrame, every: str = "weekly") -> DataFrame:
     return days.select("date").distinct().groupBy(key.alias("k")).agg(F.min("date").alias("date")).select("date")
 
 
-def backtest(signals: DataFrame, capital: float = 1e6, commission: float = 0.001, spread: float = 0.0005, slippage: float = 0.0002, adv_cap: float = 0.02, stop: float = 0.1, max_turnover: float = 0.2) -> DataFrame:
-    """(strategy, date, total_value, invested_value, cash, n_trades) of daily rows.
+_EVENTS = "strategy string, date date, kind string, ticker string, shares double, price double, value double, cost double, pnl double, reason string, total_value double, invested_value double, cash double, n_trades long"
+
+
+def backtest_events(
+    signals: DataFrame, capital: float = 1e6, commission: float = 0.001, spread: float = 0.0005, slippage: float = 0.0002, adv_cap: float = 0.02, stop: float = 0.1, max_turnover: float = 0.2, position_cap: float | None = None
+) -> DataFrame:
+    """All that happens to each strategy's book: rows of kind ``day`` (the book's value), ``trade`` and ``position`` (what is held at the end).
 
     Rows: (strategy, date, is_rebalance, names): names is an array of (ticker, open, close, volume, weight), weight NULL
-    where the strategy wants none. A strategy's state is one ledger, so strategies run in parallel and a day is one row.
+    where the strategy wants none. Wanted weights above ``position_cap`` are cut to it and scaled back to their former
+    sum. A trade has its reason (REBALANCE or STOP), its cost, and for what it closes the gain against the average
+    price that was paid or, of a short position, received. A strategy's state is one ledger, so strategies run in
+    parallel and a day is one row.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         cash, held, peak, out = capital, {}, {}, []
+        paid: dict = {}  # average price of what is held
+        last: dict = {}
+
+        def trade(day, t, shares: float, price: float, cost: float, reason: str) -> None:
+            nonlocal cash
+            before = held.get(t, 0.0)
+            closed = -shares if before * shares < 0 and abs(shares) <= abs(before) else -before if before * shares < 0 else 0.0
+            pnl = closed * (price - paid.get(t, price)) - (cost if closed else 0.0)
+            after = before + shares
+            if abs(after) <= 1e-6:
+                held.pop(t, None), peak.pop(t, None), paid.pop(t, None)
+            else:
+                if before * shares >= 0:
+                    paid[t] = (before * paid.get(t, price) + shares * price) / after
+                elif abs(shares) > abs(before):
+                    paid[t] = price
+                held[t] = after
+            cash -= shares * price + cost
+            out.append((day.strategy, day.date, "trade", t, shares, price, abs(shares) * price, cost, pnl, reason, None, None, None, None))
+
         for day in rows.sort_values("date").itertuples():
             px = {x["ticker"]: x for x in day.names}
             trades = 0
@@ -275,11 +324,16 @@ def backtest(signals: DataFrame, capital: float = 1e6, commission: float = 0.001
                 close = px[t]["close"]
                 peak[t] = max(peak.get(t, close), close)
                 if stop > 0 and close < peak[t] * (1 - stop):
-                    shares = held.pop(t)
-                    cash += shares * px[t]["open"] - abs(shares) * px[t]["open"] * (commission + spread)
-                    peak.pop(t, None)
+                    price = px[t]["open"]
+                    trade(day, t, -held[t], price, abs(held[t]) * price * (commission + spread), "STOP")
                     trades += 1
-            wanted = {t: x["weight"] * nav for t, x in px.items() if x["weight"] is not None and x["weight"] == x["weight"]}
+            weights = {t: x["weight"] for t, x in px.items() if x["weight"] is not None and x["weight"] == x["weight"]}
+            if position_cap is not None and weights:
+                total = sum(weights.values())
+                weights = {t: min(w, position_cap) for t, w in weights.items()}
+                cut = sum(weights.values())
+                weights = {t: w * total / cut for t, w in weights.items()} if cut else weights
+            wanted = {t: w * nav for t, w in weights.items()}
             if day.is_rebalance and wanted:
                 delta = {t: wanted.get(t, 0.0) - (held.get(t, 0.0) * px[t]["close"] if t in px else 0.0) for t in sorted({*wanted, *held})}
                 turnover = sum(map(abs, delta.values()))
@@ -291,24 +345,40 @@ def backtest(signals: DataFrame, capital: float = 1e6, commission: float = 0.001
                     shares = d * scale / price
                     value = abs(shares) * price
                     cost = value * (commission + spread) + (value * min(abs(shares) / volume, adv_cap) * slippage if volume > 1e-6 else 0.0)
-                    cash -= shares * price + cost
-                    held[t] = held.get(t, 0.0) + shares
+                    trade(day, t, shares, price, cost, "REBALANCE")
                     trades += 1
-                    if abs(held[t]) <= 1e-6:
-                        held.pop(t)
-                        peak.pop(t, None)
-                    else:
+                    if t in held:
                         peak[t] = max(peak.get(t, price), price)
             invested = sum(s * px[t]["close"] for t, s in held.items() if t in px)
-            out.append((day.strategy, day.date, round(cash + invested, 4), round(invested, 4), round(cash, 4), trades))
-        return pd.DataFrame(out, columns=["strategy", "date", "total_value", "invested_value", "cash", "n_trades"])
+            last.update((t, px[t]["close"]) for t in held if t in px)
+            out.append((day.strategy, day.date, "day", None, None, None, None, None, None, None, round(cash + invested, 4), round(invested, 4), round(cash, 4), trades))
+        for t in sorted(held):
+            price = last.get(t, paid[t])
+            out.append((day.strategy, day.date, "position", t, held[t], price, held[t] * price, None, held[t] * (price - paid[t]), None, None, None, None, None))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _EVENTS.split(", ")])
+
+    return signals.groupBy("strategy").applyInPandas(run, _EVENTS)
+
+
+def backtest(signals: DataFrame, **options) -> DataFrame:
+    """(strategy, date, total_value, invested_value, cash, n_trades): the daily curve of ``backtest_events``."""
+    return backtest_events(signals, **options).where("kind = 'day'").select("strategy", "date", "total_value", "invested_value", "cash", "n_trades")
+
+
+def backtest_trades(events: DataFrame) -> DataFrame:
+    """(strategy, date, ticker, side, shares, price, value, cost, pnl, reason) of the trades among events; pnl of opening trades is 0."""
+    return events.where("kind = 'trade'").select("strategy", "date", "ticker", F.when(F.col("shares") > 0, "BUY").otherwise("SELL").alias("side"), F.abs("shares").alias("shares"), "price", "value", "cost", "pnl", "reason")
+
 
-    return signals.groupBy("strategy").applyInPandas(run, "strategy string, date date, total_value double, invested_value double, cash double, n_trades long")
+def backtest_positions(events: DataFrame) -> DataFrame:
+    """(strategy, ticker, shares, price, value, open_pnl) of what is held after the last day."""
+    return events.where("kind = 'position'").select("strategy", "ticker", "shares", "price", "value", F.col("pnl").alias("open_pnl"))
 
 
 def signal_days(bars: DataFrame, weights: DataFrame, every: str = "weekly") -> DataFrame:
-    """The rows ``backtest`` takes, of bars (date, ticker, open, close, volume) and weights (strategy, date, ticker, weight)."""
-    days = bars.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "open", "close", "volume"))).alias("bars"))
+    """The rows ``backtest`` takes: of names that any strategy ever wants, from bars (date, ticker, open, close, volume) and weights (strategy, date, ticker, weight)."""
+    ever = bars.join(weights.select("ticker").distinct(), "ticker", "left_semi")
+    days = ever.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "open", "close", "volume"))).alias("bars"))
     wanted = weights.groupBy("strategy", "date").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "weight"))).alias("w"))
     strategies = weights.select("strategy").distinct()
     rows = days.crossJoin(F.broadcast(strategies)).join(wanted, ["strategy", "date"], "left").join(F.broadcast(rebalance_days(bars, every).withColumn("is_rebalance", F.lit(True))), "date", "left")

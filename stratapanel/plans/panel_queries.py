@@ -510,13 +510,29 @@ t AS (SELECT b.date, b.ticker, row_number() OVER (PARTITION BY b.date ORDER BY s
 SELECT date, ticker, round(1.0 / count(*) OVER (PARTITION BY date), 6) AS weight FROM t WHERE place <= {NAMES}"""
 
 
-@query()
-def backtest_run(spark, d):
-    """Daily ledger of three strategies."""
+def _books(spark, d) -> DataFrame:
     s = signals(spark, d)
     picks = [pf.equal_weights(s, x, 5).select(F.lit(x).alias("strategy"), "date", "ticker", "weight") for x in SIGNALS]
     weights = picks[0].union(picks[1]).union(picks[2])
-    return pf.backtest(pf.signal_days(s.select("date", "ticker", "open", "close", "volume"), weights))
+    return pf.signal_days(s.select("date", "ticker", "open", "close", "volume"), weights)
+
+
+@query()
+def backtest_run(spark, d):
+    """Daily ledger of three strategies."""
+    return pf.backtest(_books(spark, d))
+
+
+@query()
+def backtest_trades(spark, d):
+    """All trades of three strategies whose positions are capped at a quarter."""
+    return pf.backtest_trades(pf.backtest_events(_books(spark, d), position_cap=0.25))
+
+
+@query()
+def backtest_positions(spark, d):
+    """What three strategies hold at the end."""
+    return pf.backtest_positions(pf.backtest_events(_books(spark, d)))
 
 
 @query(f"""WITH {oracle.BARS}, m AS MATERIALIZED (SELECT date, avg(a) AS x FROM (SELECT date, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS a FROM bars) GROUP BY 1), y AS MATERIALIZED (SELECT x, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM m WHERE x IS NOT NULL),

@@ -207,3 +207,45 @@ def test_flags_columns_and_hash(spark):
     assert checks.factor_columns(frame) == ["rsi", "raw_ret_5d"] and checks.forward_return_columns(frame) == ["raw_ret_5d"]
     one, two = (checks.table_hash(x).first() for x in (w, w.repartition(3).orderBy("weight")))
     assert one == two and checks.table_hash(w.where("weight > 0")).first() != one
+
+
+def test_trades_close_at_a_gain_and_positions_are_valued(spark):
+    prices = {1: 10.0, 2: 10.0, 3: 20.0, 4: 20.0}
+    names = lambda d, w: [{"ticker": "a", "open": prices[d], "close": prices[d], "volume": 1e9, "weight": w}, {"ticker": "b", "open": 5.0, "close": 5.0, "volume": 1e9, "weight": 1.0 - w if w is not None else None}]
+    rows = [("s", date(2024, 1, d), d != 2, names(d, w)) for d, w in ((1, 0.5), (2, None), (3, 0.0), (4, 0.0))]
+    days = spark.createDataFrame(rows, "strategy string, date date, is_rebalance boolean, names array<struct<ticker:string,open:double,close:double,volume:double,weight:double>>")
+    events = pf.backtest_events(days, capital=1000.0, commission=0.0, spread=0.0, slippage=0.0, stop=0.0, max_turnover=10.0)
+    trades = {(r["date"].day, r["ticker"]): r for r in pf.backtest_trades(events).collect()}
+    assert trades[1, "a"]["side"] == "BUY" and trades[1, "a"]["shares"] == 50 and trades[1, "a"]["pnl"] == 0
+    assert trades[3, "a"]["side"] == "SELL" and trades[3, "a"]["pnl"] == 500 and trades[3, "a"]["reason"] == "REBALANCE"
+    positions = {r["ticker"]: (r["shares"], r["value"]) for r in pf.backtest_positions(events).collect()}
+    assert positions == {"b": (300.0, 1500.0)}
+    assert [r["total_value"] for r in pf.backtest(days, capital=1000.0, commission=0.0, spread=0.0, slippage=0.0, stop=0.0, max_turnover=10.0).orderBy("date").collect()] == [1000.0, 1000.0, 1500.0, 1500.0]
+    capped = pf.backtest_trades(pf.backtest_events(days.where("date < date'2024-01-02'"), capital=1000.0, commission=0.0, spread=0.0, slippage=0.0, max_turnover=10.0, position_cap=0.3))
+    assert {r["ticker"]: r["value"] for r in capped.collect()} == {"a": 500.0, "b": 500.0}
+
+
+def test_stop_and_short_cost_basis(spark):
+    row = lambda d, price, w, again: ("s", date(2024, 1, d), again, [{"ticker": "a", "open": price, "close": price, "volume": 1e9, "weight": w}])
+    kind = "strategy string, date date, is_rebalance boolean, names array<struct<ticker:string,open:double,close:double,volume:double,weight:double>>"
+    plain = {"capital": 1000.0, "commission": 0.0, "spread": 0.0, "slippage": 0.0, "max_turnover": 10.0}
+    fall = pf.backtest_trades(pf.backtest_events(spark.createDataFrame([row(1, 10.0, 1.0, True), row(2, 8.0, None, False)], kind), **plain)).orderBy("date").collect()
+    assert [(r["reason"], r["pnl"]) for r in fall] == [("REBALANCE", 0.0), ("STOP", -200.0)]
+    short = pf.backtest_trades(pf.backtest_events(spark.createDataFrame([row(1, 10.0, -1.0, True), row(2, 5.0, 0.0, True)], kind), stop=0.0, **plain)).orderBy("date").collect()
+    assert [(r["side"], r["pnl"]) for r in short] == [("SELL", 0.0), ("BUY", 500.0)]
+
+
+def test_allocation_options_and_fallbacks(spark):
+    rnd = np.random.default_rng(2)
+    rows = [(date(2024, 1, 1), t, s, 1.0, [float(x) for x in rnd.normal(0, v, 60)], b) for t, s, v, b in (("a", 0.9, 0.01, 0.7), ("b", 0.6, 0.02, 0.2), ("c", 0.4, 0.03, 0.1))]
+    rows += [(date(2024, 1, 1), "d", None, 1.0, rows[0][4], 0.1), (date(2024, 1, 1), "e", 0.5, 1.0, [*rows[0][4][:-1], float("nan")], 0.1), (date(2024, 1, 1), "f", 0.5, 1.0, [0.1], 0.1), (date(2024, 1, 2), "a", 0.5, 1.0, [0.0] * 60, 0.5), (date(2024, 1, 2), "b", 0.5, 1.0, [0.0] * 60, 0.5), (date(2024, 1, 3), "a", None, 1.0, None, 0.5)]
+    day = spark.createDataFrame(rows, "date date, ticker string, score double, market_cap double, returns array<double>, budget double")
+    for method in pf.METHODS:
+        got = pf.allocate(day, method).toPandas()
+        one = got[got["date"] == date(2024, 1, 1)]
+        assert set(one["ticker"]) <= {"a", "b", "c"} and abs(one["weight"].sum() - 1) < 1e-9
+        assert got[got["date"] == date(2024, 1, 2)]["weight"].tolist() == pytest.approx([0.5, 0.5]) and not (got["date"] == date(2024, 1, 3)).any()
+    weights = lambda **o: {r["ticker"]: r["weight"] for r in pf.allocate(day.where("date = date'2024-01-01'"), **o).collect()}
+    assert weights(method="mean_variance", risk=200.0).get("b", 0) > weights(method="mean_variance", risk=1.0).get("b", 0)
+    even, tilted = weights(method="risk_parity"), weights(method="risk_parity", budget="budget")
+    assert tilted["a"] > even["a"] and weights(method="black_litterman", confidence=0.0, cap=0.6) != weights(method="black_litterman", confidence=0.9, cap=0.6)

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame) -> pd.DataFrame:
+    """A bounded table on the driver, by Arrow: no Python object is made for each row on the way."""
+    return df.toArrow().to_pandas()
+
+
 def short_batches(spark: SparkSession) -> None:
     """Keeps Arrow batches of whole texts small enough for a worker's memory."""
     for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import blocks, short_batches
+from stratapanel.llm.common import blocks, collected, short_batches
 
 #: Primes below 2**31 and bases; products of residues fit in 64 bits.
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
@@ -222,7 +222,7 @@ def _bounds(rows: DataFrame, parts: int) -> np.ndarray:
     """
     every = max(1, rows.count() // (PER_PART * parts))
     chosen = rows.where(F.pmod(F.xxhash64("id", "h", F.lit(5)), F.lit(every)) == 0).select(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "h")
-    sample = np.unique(chosen.toPandas().to_records(index=False).astype([("id", "<i8"), ("h", "<i8")]))
+    sample = np.unique(collected(chosen).to_records(index=False).astype([("id", "<i8"), ("h", "<i8")]))
     return sample[np.linspace(0, len(sample), parts + 1)[1:-1].astype(int)] if len(sample) and parts > 1 else sample[:0]
 
 

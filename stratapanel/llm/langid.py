@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import blocks, short_batches
+from stratapanel.llm.common import blocks, collected, short_batches
 
 ORDER = 4
 #: The classifier is fitted on so many labelled texts a language at most.
@@ -27,8 +27,8 @@ FIT_TEXTS = 3000
 BLOCK_CHARS = 1_000_000
 #: An odd 64-bit constant: multiplying by it permutes the n-grams.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
-#: Share of the calibration texts that may exceed the rejection threshold, and nats that are added to it.
-REJECT_SHARE, REJECT_SLACK = 0.002, 1.0
+#: Share of the calibration texts that may exceed the rejection threshold, and share of their scrambled copies that may stay below it.
+REJECT_SHARE, SCRAMBLED_SHARE = 0.002, 0.05
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -66,7 +66,7 @@ def characters(texts: list[str | None]) -> Characters:
     has = np.zeros(len(texts), bool)
     real = letter & np.isin(codes, np.array([0]), invert=True)
     has[np.unique(text[real])] = True
-    codes, text = (codes[keep] & 0xFFFF).astype(np.uint64), text[keep]
+    codes, text = np.where(codes > 0xFFFF, 0xE000 + codes % 0x1900, codes)[keep].astype(np.uint64), text[keep]  # rare letters share the private codes
     return Characters(codes, text, np.flatnonzero(codes), has)
 
 
@@ -204,21 +204,30 @@ def fit(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str =
     share = F.lit(0.0)
     for name, n in found.items():
         share = F.when(F.col(lang_col) == F.lit(name), F.lit(min(1.0, per_lang / n))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(8)), F.lit(1_000_000)) / 1_000_000.0
+    name = F.coalesce(F.col(id_col).cast("string"), F.sha1(F.col(text_col).cast("binary")))
+    place = F.pmod(F.xxhash64(name, F.lit(8)), F.lit(1_000_000)) / 1_000_000.0
     chosen = labelled.where(place < share)
-    aside = F.pmod(F.xxhash64(F.col(id_col), F.lit(88)), F.lit(10)) == 0
-    table = counts(chosen.where(~aside), text_col, lang_col).toPandas()
+    aside = F.pmod(F.xxhash64(name, F.lit(88)), F.lit(10)) == 0
+    table = collected(counts(chosen.where(~aside), text_col, lang_col))
     if table.empty:
         return Model([], [], [], [], [], 0.0)
     langs = sorted(set(table["lang"]))
     model = kneser_ney(langs, table["lang"].map(langs.index).to_numpy(), table["gram"].to_numpy().view(np.uint64), table["n"].to_numpy())
-    measured = _measured(chosen.where(aside), model, id_col, text_col, [lang_col]).select("lang", "n", "ces").toPandas()
-    calibrate(model, measured["lang"].to_numpy(), measured["n"].to_numpy(), list(measured["ces"]))
+    scrambled = F.transform(F.array_sort(F.transform(F.split(text_col, ""), lambda c, i: F.struct(F.xxhash64(i, F.lit(7)).alias("h"), c.alias("c")))), lambda x: x["c"])
+    kept = chosen.where(aside).select(id_col, F.col(lang_col).alias("__lang"), F.col(text_col).alias("__t"))
+    both = kept.withColumn("__bad", F.lit(False)).union(chosen.where(aside).select(id_col, F.col(lang_col), F.array_join(scrambled, "")).withColumn("__bad", F.lit(True)))
+    measured = collected(_measured(both, model, id_col, "__t", ["__lang", "__bad"]).select("__lang", "__bad", "n", "ces"))
+    good, bad = measured[~measured["__bad"]], measured[measured["__bad"]]
+    calibrate(model, good["__lang"].to_numpy(), good["n"].to_numpy(), list(good["ces"]), [min(c) for c in bad["ces"][bad["n"] > 0]])
     return model
 
 
-def calibrate(model: Model, lang: np.ndarray, n: np.ndarray, ces: list) -> None:
-    """Sets the scale of the score, by likelihood, and the rejection threshold."""
+def calibrate(model: Model, lang: np.ndarray, n: np.ndarray, ces: list, scrambled: list[float]) -> None:
+    """Sets the scale of the score, by likelihood, and the rejection threshold.
+
+    The threshold is half-way between nearly all texts kept aside and nearly all of their ``scrambled`` copies (the
+    same characters in another order), or just above the former where the two overlap.
+    """
     rows = [(model.langs.index(x), min(k, 200), np.asarray(c)) for x, k, c in zip(lang, n, ces, strict=True) if x in model.langs and k]
     if not rows:
         return
@@ -230,7 +239,8 @@ def calibrate(model: Model, lang: np.ndarray, n: np.ndarray, ces: list) -> None:
 
     model.scale = min((0.01 * 2**i for i in range(10)), key=loss)
     best = ce.min(1)
-    model.threshold = float(np.quantile(best, 1 - REJECT_SHARE) + REJECT_SLACK)
+    own = float(np.quantile(best, 1 - REJECT_SHARE))
+    model.threshold = max(own, (own + float(np.quantile(scrambled, SCRAMBLED_SHARE))) / 2) if scrambled else own
 
 
 def _measured(docs: DataFrame, model: Model, id_col: str, text_col: str, more: list[str]) -> DataFrame:

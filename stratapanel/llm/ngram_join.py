@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import blocks, materialised, short_batches, written
+from stratapanel.llm.common import blocks, collected, materialised, short_batches, written
 from stratapanel.llm.components import components
 
 #: Words of an n-gram; a link needs 100 * intersection >= PERCENT * union.
@@ -170,7 +170,8 @@ def _hot(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(k)], ["gram", "k"])
 
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(every)) == 0).select("text").mapInArrow(run, "gram long, k long")
-    often = some.groupBy("gram").agg(F.sum("k").alias("k")).where(F.col("k") >= HOT_COUNT).orderBy(F.desc("k"), "gram").limit(MOST_HOT).toPandas()
+    often = some.groupBy("gram").agg(F.sum("k").alias("k")).where(F.col("k") >= HOT_COUNT).orderBy(F.desc("k"), "gram").limit(MOST_HOT)
+    often = collected(often)
     gram = often["gram"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(gram)
     return gram[order], np.minimum(8 * np.log2(often["k"].to_numpy(float)[order] * every), 32767).astype(np.int16)

@@ -150,7 +150,7 @@ def fit(docs: DataFrame, labelled: DataFrame | None = None, id_col: str = "doc_i
     rows = rows.where("value is not null and label is not null").withColumn("h", F.xxhash64("value", "before", "after"))
     found = rows.orderBy("h", "label").limit(fit_rows).select(features(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")), words).alias("features"), "label", "h")
     sample = materialised(found, narrow=True)
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=5)
+    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=5, checkpointInterval=-1)
     aside = F.pmod("h", F.lit(4)) == 0 if labelled is None else F.lit(False)
     model = forest.fit(sample.where(~aside).select("label", array_to_vector("features").alias("vector")))
     seen = sample.where(aside).select(forest_share(model, F.col("features")).alias("p"), F.col("label").cast("int")).collect()

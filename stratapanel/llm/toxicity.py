@@ -4,7 +4,7 @@ Folding lower-cases, maps homoglyphs to plain letters and undoes digit substitut
 are also found under accents, which other languages need as they are. The lexicon
 is learned from labelled documents: words and word stems (``stem*``) are taken greedily while they explain toxic
 documents that few terms before explain, weighted by log odds. Exception phrases are blanked before matching. The weight found, and its rate by
-length, become a probability through a logistic curve fitted on the same labelled documents.
+length, become a probability through a logistic curve fitted on labelled documents that the terms were not chosen from.
 """
 
 from __future__ import annotations
@@ -17,16 +17,19 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import short_batches
+from stratapanel.llm.common import collected, short_batches
 
 #: Labelled documents that are learned from at most; lexicon terms at most.
 FIT_DOCS, TERMS = 40_000, 400
 #: A toxic document asks for so many terms; a term must serve so many that ask, and be so many times as frequent as elsewhere.
 ASKED, LEAST_DOCS, LEAST_RATIO = 3, 4, 5.0
+#: One in so many labelled documents is kept aside for the curve; with fewer of a label than this it is fitted on all.
+ASIDE, LEAST_ASIDE = 5, 20
 #: Toxic documents whose sets of words are so alike (Jaccard) count as one; they are found by so many bands of so many minhashes.
 COPY_LIKENESS, BANDS, BAND_HASHES = 0.8, 10, 6
 #: Letters of a stem.
@@ -240,14 +243,16 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_docs: int = FIT_D
     short_batches(spark)
     known = labels.where(F.coalesce(train, F.lit(False)) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    chosen = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(F.broadcast(known), "doc_id").select("toxic", "text")
+    every = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text")).join(F.broadcast(known), "doc_id")
+    every = every.select("toxic", "text", (F.pmod(F.xxhash64("doc_id", F.lit(66)), F.lit(ASIDE)) == 0).alias("aside"))
+    chosen = every.where("not aside").select("toxic", "text")
 
     def toxic_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [set(words(fold(x.as_py().decode("utf-8", "replace")))) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([bands(r) for r in rows], pa.list_(pa.int64())), pa.array([" ".join(sorted(r)) for r in rows], pa.string())], ["bands", "words"])
 
-    rows = chosen.where("toxic > 0").mapInArrow(toxic_words, "bands array<bigint>, words string").toPandas().sort_values("words", kind="stable")
+    rows = collected(chosen.where("toxic > 0").mapInArrow(toxic_words, "bands array<bigint>, words string")).sort_values("words", kind="stable")
     if rows.empty:
         return Lexicon({}, exceptions)
     names, once = without_copies(zip(rows["bands"], rows["words"], strict=True))
@@ -266,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_docs: int = FIT_D
         counts[""] = n
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
 
-    table = chosen.where("toxic = 0").mapInArrow(other_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    table = collected(chosen.where("toxic = 0").mapInArrow(other_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")))
     others = Counter(dict(zip(table["word"], table["n"].astype(int), strict=True)))
     good = {w: w for w in worthy(seen, len(once), others, others[""])}
     toxic = [{good[w] for w in terms_of(set(names[own])) if w in good} for own in once]
@@ -277,7 +282,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_docs: int = FIT_D
             rows = [lexicon.measures(x.as_py().decode("utf-8", "replace")) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.float64())], ["toxic", "a", "b"])
 
-    table = chosen.mapInArrow(measure, "toxic int, a double, b double").toPandas()
+    aside = collected(every.where("aside").select("toxic", "text").mapInArrow(measure, "toxic int, a double, b double"))
+    few = min((aside["toxic"] > 0).sum(), (aside["toxic"] <= 0).sum()) < LEAST_ASIDE
+    table = pd.concat([aside, collected(chosen.mapInArrow(measure, "toxic int, a double, b double"))]) if few else aside
     y = (table["toxic"] > 0).to_numpy(float)
     if 0 < y.mean() < 1:
         lexicon.curve = tuple(map(float, logistic(table[["a", "b"]].to_numpy(), y)))

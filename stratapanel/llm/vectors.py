@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import materialised
+from stratapanel.llm.common import collected, materialised
 from stratapanel.llm.components import components
 
 THRESHOLD = 0.95
@@ -151,7 +151,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, id_col: str
     answers = None
     for dim, n in sorted((r[0], r[1]) for r in vectors.groupBy(F.size("vector")).count().collect()):
         part = vectors.where(F.size("vector") == dim)
-        sample = part.select(F.xxhash64("id").alias("h"), "vector").orderBy("h").limit(FIT_ROWS).toPandas()
+        sample = collected(part.select(F.xxhash64("id").alias("h"), "vector").orderBy("h").limit(FIT_ROWS))
         block = min(BLOCK_ROWS, max(1024, BLOCK_VALUES // dim))
         centres = fitted_cells(_units(sample["vector"]), n, threshold, block)
         found = _links(part, centres, threshold, block)

@@ -19,6 +19,7 @@ from stratapanel.functions.aliases import resolve
 from stratapanel.functions.expr import all_rows, EPS, so_far, by_ticker, adjusted_kurtosis, adjusted_skew, change, clip, diff, div, filled, lag, mean, median, nonzero, pct_rank, roll, rolling_corr, rows, std, zscore
 from stratapanel.operators.asof import asof_join
 from stratapanel.operators.ewm import Ewm, add_ewm, span
+from stratapanel.operators.rolling import add_rolled
 
 
 @dataclass(frozen=True)
@@ -210,32 +211,27 @@ factor("alt_risk_on_off", "alternative", lambda: F.coalesce((c("vix_close") < 20
 factor("alt_volatility_stress", "alternative", lambda: c("_vix_norm") * 70 + clip("_vix5", 0, 1) * 30, "_vix_norm", "_vix5")
 
 # ---- composite
+#: Medians and ranks of a year of rows, from one grouped pass before the stages.
+ROLLED = {"_oil_med": ("oil_close", "median"), "_usd_med": ("usd_close", "median"), "_vix_rank": ("vix_close", "rank")}
+for _name in ROLLED:
+    part(_name, lambda n=_name: c(n))
+#: What the factors over windows read of a panel.
+READ = ("date", "ticker", "open", "high", "low", "close", "volume", "sp500_close", "vix_close", "us_10y_close", "oil_close", "usd_close", "pe_ratio", "roe", "earnings_growth", "debt_to_equity")
 part("_vix5m", lambda: mean("vix_close", 5))
 part("_y21m", lambda: mean("us_10y_close", 21, 5))
 part("_y21f", lambda: mean("us_10y_close", 21))
 part("_vix_s5", lambda: clip("_vix5m", 10, 40), "_vix5m")
 part("_mam", lambda: c("_r21") * 100 * div(F.lit(25.0), "_vix_s5"), "_r21", "_vix_s5")
 factor("comp_macro_momentum", "composite", smooth("_mam"), "_mam")
-part("_oil_med", lambda: median("oil_close", 252))
 part("_ocv", lambda: div(F.lit(1.0), clip(nonzero("pe_ratio"), 1, 100)) * F.when(c("oil_close") < c("_oil_med"), 1.0).otherwise(0.5), "_oil_med")
 factor("comp_oil_value", "composite", smooth("_ocv"), "_ocv")
 part("_roe_f", lambda: filled("roe"))
 part("_res", lambda: clip("_roe_f", -1, 1) * (1 - clip("_y21f", 0, 5) / 5), "_roe_f", "_y21f")
 factor("comp_rate_quality", "composite", smooth("_res"), "_res")
-part("_usd_med", lambda: median("usd_close", 252))
 part("_growth_f", lambda: filled("earnings_growth"))
 part("_dag", lambda: clip("_growth_f", -1, 1) * F.when(c("usd_close") < c("_usd_med"), 1.0).otherwise(0.7), "_growth_f", "_usd_med")
 factor("comp_dollar_growth", "composite", smooth("_dag"), "_dag")
 part("_mom_rank", lambda: pct_rank("_r21"), "_r21", daily=True)
-part("_vixs", lambda: F.collect_list("vix_close").over(rows(252)))
-part(
-    "_vix_rank",
-    lambda: F.when(
-        (F.size("_vixs") >= 252) & c("vix_close").isNotNull(),
-        (F.size(F.filter("_vixs", lambda v: v < c("vix_close"))) + (F.size(F.filter("_vixs", lambda v: v == c("vix_close"))) + 1) / 2.0) / F.size("_vixs"),
-    ),
-    "_vixs",
-)
 part("_rpb", lambda: (c("_mom_rank") + 1 - c("_vix_rank")) / 2, "_mom_rank", "_vix_rank")
 factor("comp_risk_parity", "composite", smooth("_rpb"), "_rpb")
 part("_mvd", lambda: c("_r21") - c("_vix21"), "_r21", "_vix21")
@@ -419,8 +415,12 @@ def compute(panel: DataFrame, names: list[str] | None = None) -> DataFrame:
         df = df.select("*", *(columns[n].alias(n) for n in by["fundamental"]))
     windowed = [n for f in ("momentum", "mean_reversion", "volume", "volatility", "alternative", "composite") for n in by[f]]
     wanted = windowed + (list(MEAN_INPUTS) if by["ewm"] else [])
-    for stage in stages(wanted):
-        df = df.select("*", *(s.build().alias(s.name) for s in stage))
+    planned = stages(wanted)
+    rolled = {s.name: ROLLED[s.name] for stage in planned for s in stage if s.name in ROLLED}
+    if rolled:
+        df = add_rolled(df.select(*(x for x in df.columns if x in READ or x in names)), rolled, 252)
+    for stage in planned:
+        df = df.select("*", *(s.build().alias(s.name) for s in stage if s.name not in rolled))
     if by["ewm"]:
         df = df.select("date", "ticker", "close", *MEAN_INPUTS, *(n for n in names if n not in by["ewm"]))
         df = add_ewm(df, [*MEANS, Ewm("_macd9", "_macd", span(9))], derive={"_macd": ("_e12", "_e26")})

@@ -25,3 +25,37 @@ def test_stages_chain_and_keep_clean_documents(spark, tables):
 
 def test_run_gives_the_last_stage(spark, tables):
     assert set(corpus_pipeline.run(spark, tables).columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+@pytest.fixture
+def edges(spark):
+    text = "the quick brown fox jumps over the lazy dog and runs away from here to there"
+    rows = [
+        (1, text, "en", "a", 77, "k", 1.0), (1, text, "en", "a", 77, "k", 1.0), (2, None, None, None, None, None, None), (3, "", "en", "b", 0, "k", 1.0), (None, text + " once more", "en", "a", 90, "k", 2.0), (4, text + " again mail me@here.org", None, "b", 99, None, None),
+        (5, " \n\t", "de", "b", 3, "k", 1.0), (6, "word " * 30_000, "en", "a", 150_000, "k", 1.0), (7, "12 34 !!", "en", None, 8, "k", 1.0),
+    ]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, base string, copies double")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_defines_the_edges(spark, tables, edges, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, edges.where("false"), tables).count() == 0
+    out = stage(spark, edges, tables)
+    rows = out.collect()
+    if name == "byte_bpe":
+        assert len(rows) == edges.count() and {r["n_tokens"] for r in rows if r["doc_id"] in (2, 3)} == {0}
+        return
+    assert out.columns == edges.columns and out.dtypes == edges.dtypes
+    ids = [r["doc_id"] for r in rows]
+    if name == "language":
+        assert not {2, 3, 5, 7} & {*ids} and ids.count(1) == 2
+    if name == "near_duplicates":
+        assert sorted(i or 0 for i in ids) == [0, 1, 2, 3, 4, 5, 6, 7]
+    if name == "personal_data":
+        texts = {r["doc_id"]: r["text"] for r in rows}
+        assert len(rows) == edges.count() and texts[2] is None and texts[3] == "" and texts[4].endswith("again mail [EMAIL]")
+        assert {r["doc_id"]: r["n_chars"] for r in rows}[4] == len(texts[4])
+    if name == "mixing":
+        assert {1, 6} <= {*ids} or len(rows) >= 1
+        assert max(ids.count(i) for i in set(ids)) <= 4

@@ -31,7 +31,7 @@ def test_run_gives_the_last_stage(spark, tables):
 def edges(spark):
     text = "the quick brown fox jumps over the lazy dog and runs away from here to there"
     rows = [
-        (1, text, "en", "a", 77, "k", 1.0), (1, text, "en", "a", 77, "k", 1.0), (2, None, None, None, None, None, None), (3, "", "en", "b", 0, "k", 1.0), (None, text + " once more", "en", "a", 90, "k", 2.0), (4, text + " again mail me@here.org", None, "b", 99, None, None),
+        (1, text, "en", "a", 77, "k", 1.0), (1, text, "en", "a", 77, "k", 1.0), (2, None, None, None, None, None, None), (3, "", "en", "b", 0, "k", 1.0), (None, text + " once more", "en", "a", 90, "k", 2.0), (4, "other words altogether stand in this row again mail me@here.org", None, "b", 99, None, None),
         (5, " \n\t", "de", "b", 3, "k", 1.0), (6, "word " * 30_000, "en", "a", 150_000, "k", 1.0), (7, "12 34 !!", "en", None, 8, "k", 1.0),
     ]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, base string, copies double")

@@ -33,4 +33,20 @@ p AS (SELECT *, substring(t, 1, i) AS a, substring(t, i + 1, j - i) AS m, substr
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
 sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || a || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p"""
 
-ORACLES = {"op3_ngram_join": NGRAM_JOIN, "op7_warc": WARC, "op9_embedding_dedup": VECTORS, "op12_fill_middle": FILL_MIDDLE}
+#: The checksum byte by byte from a table of 256 remainders; near words meet under what is left of them without one code point.
+SPELLING = r"""WITH RECURSIVE tab AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS MATERIALIZED (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+d AS MATERIALIZED (SELECT id, run, count(*) AS k FROM r GROUP BY 1, 2),
+b AS (SELECT run, k, flatten(list_transform(string_split(id || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [195, CAST(unicode(c) AS BIGINT) - 64] END)) AS bytes FROM d),
+c AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295) AS h FROM b, tab),
+v AS (SELECT CASE WHEN h % 97 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, k FROM c),
+w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM v GROUP BY 1 HAVING length(word) >= 5 AND sum(k) >= 3),
+x AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w), y AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS less FROM x),
+one AS MATERIALIZED (SELECT DISTINCT y.word AS a, w.word AS b FROM y JOIN w ON w.word = y.less),
+p AS MATERIALIZED (SELECT a, b FROM one UNION SELECT b, a FROM one UNION SELECT l.word, q.word FROM y l JOIN y q ON l.i = q.i AND l.less = q.less AND l.word <> q.word),
+m AS MATERIALIZED (SELECT p.a AS word, count(*) AS n_near, max(w.n) AS top, arg_min(w.word, struct_pack(k := -w.n, s := encode(w.word))) AS best FROM p JOIN w ON w.word = p.b GROUP BY 1),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(m.n_near, 0) AS n_near, CASE WHEN m.top >= 2 * w.n THEN m.best END AS form, CASE WHEN m.top >= 2 * w.n THEN m.top END AS form_n FROM w LEFT JOIN m USING (word)),
+chain AS (SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, chain.at AS root FROM f JOIN chain ON chain.word = f.word JOIN f AS e ON e.word = chain.at AND e.form IS NULL"""
+
+ORACLES = {"op3_ngram_join": NGRAM_JOIN, "op7_warc": WARC, "op9_embedding_dedup": VECTORS, "op12_fill_middle": FILL_MIDDLE, "op13_spelling": SPELLING}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import bpe, fill_middle, fingerprint, langid, mixing, ngram_join, oracles, pii, secrets, toxicity, vectors, warc
+from stratapanel.llm import bpe, fill_middle, fingerprint, langid, mixing, ngram_join, oracles, pii, secrets, spelling, toxicity, vectors, warc
 from stratapanel.llm.common import crc_remainder, materialised, scratch_path, table
 
 
@@ -86,6 +86,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.grouped(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))

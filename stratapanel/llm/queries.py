@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratapanel.llm import bpe, fill_middle, fingerprint, langid, mixing, ngram_join, oracles, pii, secrets, spelling, toxicity, vectors, warc
+from stratapanel.llm import bpe, fill_middle, fingerprint, hamming_index, langid, mixing, ngram_join, oracles, pii, secrets, spelling, toxicity, vectors, warc
 from stratapanel.llm.common import crc_remainder, materialised, scratch_path, table
 
 
@@ -82,6 +82,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_index.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.round_trip(table(spark, sf_dir, "documents"))
 

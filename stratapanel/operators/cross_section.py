@@ -76,7 +76,7 @@ def apply_date_scaler(df: DataFrame, bounds: DataFrame, columns: list[str]) -> D
     days = asof_join(df.select("date").distinct().withColumn("all", F.lit(1)), bounds.withColumn("all", F.lit(1)), "all", "date", names).drop("all")
     first = bounds.agg(*(F.min_by(n, "date").alias(f"__{n}") for n in names))
     days = days.crossJoin(F.broadcast(first)).select("date", *(F.coalesce(n, f"__{n}").alias(n) for n in names))
-    joined = df.join(F.broadcast(days), "date", "left")
+    joined = df.join(days, "date", "left")
     held = {x: F.when(F.col(x) < F.col(f"{x}_bounds")[0], F.col(f"{x}_bounds")[0]).when(F.col(x) > F.col(f"{x}_bounds")[1], F.col(f"{x}_bounds")[1]).otherwise(F.col(x)) for x in columns}
     return joined.withColumns(held).drop(*names)
 
@@ -88,7 +88,7 @@ def sector_residual_target(df: DataFrame, x: str = "raw_ret_5d") -> DataFrame:
     sectors = df.select("date", "sector", "sector_std").distinct()
     daily = sectors.groupBy("date").agg(F.percentile("sector_std", 0.95).alias("q"))
     running = daily.select("date", F.max("q").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("cap"))
-    df = df.join(F.broadcast(running), "date", "left")
+    df = df.join(running, "date", "left")
     residual = F.col(x) - F.col("sector_mean")
     return df.withColumn("target", F.when(F.col("sector_std") > F.col("cap"), residual * 0.5).otherwise(residual))
 

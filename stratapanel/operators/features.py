@@ -17,7 +17,7 @@ def market_features(panel: DataFrame) -> DataFrame:
     order = Window.orderBy("date")
     full = lambda x, n, least: F.when(F.count(x).over(order.rowsBetween(1 - n, 0)) >= least, F.avg(x).over(order.rowsBetween(1 - n, 0)))
     daily = daily.select("date", full("r", 5, 5).alias("macro_mom_5d"), full("r", 21, 21).alias("macro_mom_21d"), "macro_vix_proxy", F.coalesce(F.col("m") > full("m", 200, 100), F.lit(False)).cast("int").alias("macro_trend_200d"))
-    return panel.join(F.broadcast(daily), "date", "left")
+    return panel.join(daily, "date", "left")
 
 
 def announcement_features(events: DataFrame) -> DataFrame:

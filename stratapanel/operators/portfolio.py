@@ -279,7 +279,7 @@ def rebalance_days(days: DataFrame, every: str = "weekly") -> DataFrame:
     return days.select("date").distinct().groupBy(key.alias("k")).agg(F.min("date").alias("date")).select("date")
 
 
-_EVENTS = "strategy string, date date, kind string, ticker string, shares double, price double, value double, cost double, pnl double, reason string, total_value double, invested_value double, cash double, n_trades long"
+_EVENTS = "strategy string, date date, kind string, ticker {ticker}, shares double, price double, value double, cost double, pnl double, reason string, total_value double, invested_value double, cash double, n_trades long"
 
 
 def backtest_events(
@@ -294,6 +294,8 @@ def backtest_events(
     parallel and a day is one row.
     """
 
+    schema = _EVENTS.format(ticker=signals.schema["names"].dataType.elementType["ticker"].dataType.simpleString())
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         cash, held, peak, out = capital, {}, {}, []
         paid: dict = {}  # average price of what is held
@@ -355,9 +357,10 @@ def backtest_events(
         for t in sorted(held):
             price = last.get(t, paid[t])
             out.append((day.strategy, day.date, "position", t, held[t], price, held[t] * price, None, held[t] * (price - paid[t]), None, None, None, None, None))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _EVENTS.split(", ")])
+        made = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")], dtype=object)  # days have no ticker, whatever its type
+        return made.astype({x.split()[0]: "float64" for x in schema.split(", ") if x.endswith(" double")} | {"n_trades": "Int64"})
 
-    return signals.groupBy("strategy").applyInPandas(run, _EVENTS)
+    return signals.groupBy("strategy").applyInPandas(run, schema)
 
 
 def backtest(signals: DataFrame, **options) -> DataFrame:
@@ -376,11 +379,15 @@ def backtest_positions(events: DataFrame) -> DataFrame:
 
 
 def signal_days(bars: DataFrame, weights: DataFrame, every: str = "weekly") -> DataFrame:
-    """The rows ``backtest`` takes: of names that any strategy ever wants, from bars (date, ticker, open, close, volume) and weights (strategy, date, ticker, weight)."""
-    ever = bars.join(weights.select("ticker").distinct(), "ticker", "left_semi")
-    days = ever.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("ticker", "open", "close", "volume"))).alias("bars"))
-    wanted = weights.groupBy("strategy", "date").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "weight"))).alias("w"))
-    strategies = weights.select("strategy").distinct()
-    rows = days.crossJoin(F.broadcast(strategies)).join(wanted, ["strategy", "date"], "left").join(F.broadcast(rebalance_days(bars, every).withColumn("is_rebalance", F.lit(True))), "date", "left")
-    names = F.transform("bars", lambda b: F.struct(b["ticker"].alias("ticker"), b["open"].alias("open"), b["close"].alias("close"), b["volume"].alias("volume"), F.when(F.col("w").isNotNull(), F.try_element_at("w", b["ticker"])).alias("weight")))
-    return rows.select("strategy", "date", F.coalesce("is_rebalance", F.lit(False)).alias("is_rebalance"), names.alias("names"))
+    """The rows ``backtest`` takes, from bars (date, ticker, open, close, volume) and weights (strategy, date, ticker, weight).
+
+    A strategy gets a row for each day of the bars, and of a name only the bars from the day on when the strategy first
+    wants it. Ids of strategies and tickers keep their types.
+    """
+    since = weights.groupBy("strategy", "ticker").agg(F.min("date").alias("since"))
+    own = bars.join(since, "ticker").where("date >= since").join(weights, ["strategy", "date", "ticker"], "left")
+    names = own.groupBy("strategy", "date").agg(F.array_sort(F.collect_list(F.struct("ticker", "open", "close", "volume", "weight"))).alias("names"))
+    days = rebalance_days(bars, every).withColumn("is_rebalance", F.lit(True))
+    grid = weights.select("strategy").distinct().join(bars.select("date").distinct().join(days, "date", "left"))
+    rows = grid.join(names, ["strategy", "date"], "left")
+    return rows.select("strategy", "date", F.coalesce("is_rebalance", F.lit(False)).alias("is_rebalance"), F.coalesce("names", F.array().cast(names.schema["names"].dataType)).alias("names"))

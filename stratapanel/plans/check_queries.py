@@ -151,7 +151,7 @@ def lookback_slice(spark, d):
     return rows.where("i <= 30").dropna(subset=["close"]).select("ticker", "date", "close")
 
 
-@query(SIGNALS_SQL + ", x AS (SELECT date, ticker, row_number() OVER (PARTITION BY ticker ORDER BY date) AS i, return_21d FROM sig) SELECT a.date, a.ticker, round(a.return_21d, 6) + 0.0 AS now, round(b.return_21d, 6) + 0.0 AS before FROM x a JOIN x b ON a.ticker = b.ticker AND a.i = b.i + 21 WHERE a.return_21d IS NOT NULL AND b.return_21d IS NOT NULL")
+@query(SIGNALS_SQL + ", x AS (SELECT date, ticker, return_21d, lag(return_21d, 21) OVER (PARTITION BY ticker ORDER BY date) AS earlier FROM sig) SELECT date, ticker, round(return_21d, 6) + 0.0 AS now, round(earlier, 6) + 0.0 AS before FROM x WHERE return_21d IS NOT NULL AND earlier IS NOT NULL")
 def lagged_pairs(spark, d):
     s = signals(spark, d).select("date", "ticker", F.col("return_21d").alias("now"), F.lag("return_21d", 21).over(by_ticker()).alias("before"))
     return s.dropna().select("date", "ticker", r("now").alias("now"), r("before").alias("before"))

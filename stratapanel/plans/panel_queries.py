@@ -144,11 +144,12 @@ def inner_join_pred_ret(spark, d):
 
 @query(f"WITH {oracle.BARS}, {oracle.MACRO}, j AS (SELECT b.date, b.ticker, m.vix_close FROM bars b LEFT JOIN macro m ON b.date = m.date) SELECT date, ticker, last_value(vix_close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS UNBOUNDED PRECEDING) AS vix FROM j")
 def left_join_macro_filled(spark, d):
-    j = bars(spark, d).join(F.broadcast(macro(spark, d)), "date", "left")
+    j = bars(spark, d).join(macro(spark, d), "date", "left")
     return j.select("date", "ticker", factors.filled("vix_close").alias("vix"))
 
 
-@query(SIGNALS_SQL + ", a AS (SELECT date, ticker, zscore_21d AS x FROM sig WHERE zscore_21d > 0), b AS (SELECT date, ticker, return_21d AS y FROM sig WHERE return_21d > 0) SELECT coalesce(a.date, b.date) AS date, coalesce(a.ticker, b.ticker) AS ticker, round(x, 6) AS x, round(y, 6) AS y FROM a FULL JOIN b ON a.date = b.date AND a.ticker = b.ticker")
+@query(SIGNALS_SQL + """, u AS (SELECT date, ticker, unnest([CASE WHEN zscore_21d > 0 THEN {'x': zscore_21d, 'y': NULL} END, CASE WHEN return_21d > 0 THEN {'x': NULL, 'y': return_21d} END]) AS v FROM sig)
+SELECT date, ticker, round(max(v.x), 6) AS x, round(max(v.y), 6) AS y FROM u WHERE v IS NOT NULL GROUP BY 1, 2""")
 def full_outer_models(spark, d):
     s = signals(spark, d)
     a = s.where("zscore_21d > 0").select("date", "ticker", F.round("zscore_21d", 6).alias("x"))
@@ -489,7 +490,7 @@ def _candidates(spark, d, n: int = NAMES, days: int = HISTORY) -> DataFrame:
     """
     s = signals(spark, d).withColumn("ret", div("close", lag("close")) - 1).withColumn("i", F.row_number().over(by_ticker()))
     ranked = s.withColumn("score", pct_rank("return_21d")).withColumn("known", F.count("ret").over(by_ticker().rowsBetween(-days, -1)))
-    first = ranked.where(F.col("known") == days).join(F.broadcast(pf.rebalance_days(bars(spark, d), "monthly")), "date", "left_semi")
+    first = ranked.where(F.col("known") == days).join(pf.rebalance_days(bars(spark, d), "monthly"), "date", "left_semi")
     top = xs.top_n(first, "score", n).select("date", "ticker", "score", "market_cap", "i")
     past = top.withColumn("j", F.explode(F.sequence(F.col("i") - days, F.col("i") - 1))).join(s.select("ticker", F.col("i").alias("j"), "ret"), ["ticker", "j"])
     returns = past.groupBy("date", "ticker").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "ret"))), lambda x: x["ret"]).alias("returns"))

@@ -71,7 +71,7 @@ def rolling_risk(spark, d):
 SELECT ticker, date, close, CASE WHEN s > 0 THEN round(z / s * c, 4) END AS rebased FROM k""")
 def benchmark_rebased(spark, d):
     m = macro(spark, d).select("date", F.col("sp500_close").alias("benchmark"))
-    return reports.rebased(bars(spark, d).select("ticker", "date", "close"), F.broadcast(m)).select("ticker", "date", "close", F.round("rebased", 4).alias("rebased"))
+    return reports.rebased(bars(spark, d).select("ticker", "date", "close"), m).select("ticker", "date", "close", F.round("rebased", 4).alias("rebased"))
 
 
 _SIDE = _EQ + ", o AS (SELECT date, CASE WHEN zscore_21d > 0 THEN 'LONG' ELSE 'SHORT' END AS side, weight * 1000000 * CASE WHEN zscore_21d > 0 THEN 1 ELSE -1 END AS value, weight FROM eq)"
@@ -193,13 +193,13 @@ _DRAW = "(CAST('0x' || substr(md5(concat_ws('|', CAST(date AS VARCHAR), CAST(tic
 @query(f"""WITH {oracle.BARS}, o AS (SELECT date, ticker, close, CAST(trunc(volume / 10) AS BIGINT) AS shares, CASE WHEN ticker % 2 = 0 THEN 'buy' ELSE 'sell' END AS side,
 CASE WHEN volume <= 0 THEN 'ZERO_VOLUME' WHEN {_DRAW.format(11)} > 0.95 THEN 'PROBABILITY' WHEN CAST(trunc(volume / 10) AS BIGINT) <= 0 OR close <= 0 THEN 'INVALID_INPUTS' END AS failure_reason,
 0.0005 + 0.0002 * exp(sqrt(-2 * ln({_DRAW.format(21)})) * cos(2 * pi() * {_DRAW.format(22)}) * 0.02) + 0.0001 AS rate FROM bars)
-SELECT date, ticker, side, shares, close, round(greatest(CASE WHEN side = 'buy' THEN close + rate * close ELSE close - rate * close END, 0.01), 3) AS fill_price, round(shares * close * 0.001, 3) AS commission_usd, failure_reason IS NULL AS success, failure_reason FROM o WHERE shares > 0""")
+SELECT date, ticker, side, shares, close, round(greatest(CASE WHEN side = 'buy' THEN close + rate * close ELSE close - rate * close END, 0.01), 6) AS fill_price, round(shares * close * 0.001, 6) AS commission_usd, failure_reason IS NULL AS success, failure_reason FROM o WHERE shares > 0""")
 def simulated_fills(spark, d):
     """Every bar as an order for a tenth of its volume; fills and slippage are drawn by hash."""
     b = bars(spark, d)
     orders = b.select("date", "ticker", (F.col("volume") / 10).alias("shares"), F.when(F.col("ticker") % 2 == 0, "buy").otherwise("sell").alias("side"), F.lit(0.0001).alias("impact_rate"))
     done = execution.fills(orders, b.select("date", "ticker", "close", "volume", F.lit(0.02).alias("volatility")), fill=0.95)
-    return done.where("shares > 0").select("date", "ticker", "side", "shares", "close", F.round("fill_price", 3).alias("fill_price"), F.round("commission_usd", 3).alias("commission_usd"), "success", "failure_reason")
+    return done.where("shares > 0").select("date", "ticker", "side", "shares", "close", F.round("fill_price", 6).alias("fill_price"), F.round("commission_usd", 6).alias("commission_usd"), "success", "failure_reason")
 
 
 @query(f"""WITH RECURSIVE {oracle.BARS}, e AS MATERIALIZED (SELECT ticker, close, row_number() OVER (PARTITION BY ticker ORDER BY date) AS seq FROM bars),

@@ -75,5 +75,5 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with sector, market series of the day and the latest statement that counts."""
-    priced = bars(spark, sf_dir).join(sectors(spark, sf_dir), "ticker", "left").join(F.broadcast(macro(spark, sf_dir)), "date", "left")
+    priced = bars(spark, sf_dir).join(sectors(spark, sf_dir), "ticker", "left").join(macro(spark, sf_dir), "date", "left")
     return asof_join(priced, statements(spark, sf_dir), "ticker", "date", list(STATEMENT_FIELDS))

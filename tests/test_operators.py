@@ -249,3 +249,16 @@ def test_allocation_options_and_fallbacks(spark):
     assert weights(method="mean_variance", risk=200.0).get("b", 0) > weights(method="mean_variance", risk=1.0).get("b", 0)
     even, tilted = weights(method="risk_parity"), weights(method="risk_parity", budget="budget")
     assert tilted["a"] > even["a"] and weights(method="black_litterman", confidence=0.0, cap=0.6) != weights(method="black_litterman", confidence=0.9, cap=0.6)
+
+
+def test_backtest_keeps_the_type_of_tickers(spark):
+    """Integer tickers on days, trades and positions; names reach a strategy from the day on when it first wants them."""
+    bars = spark.createDataFrame([(date(2024, 1, d), t, 10.0 + t, 10.0 + t, 1e9) for d in range(1, 6) for t in (1, 2, 3)], "date date, ticker long, open double, close double, volume double")
+    weights = spark.createDataFrame([("s", date(2024, 1, 2), 2, 1.0), ("s", date(2024, 1, 4), 3, 1.0)], "strategy string, date date, ticker long, weight double")
+    days = pf.signal_days(bars, weights, "daily")
+    assert [[n["ticker"] for n in r["names"]] for r in days.orderBy("date").collect()] == [[], [2], [2], [2, 3], [2, 3]]
+    events = pf.backtest_events(days, max_turnover=10.0)
+    assert pf.backtest_trades(events).schema["ticker"].dataType.simpleString() == "bigint"
+    assert {(r["ticker"], r["side"]) for r in pf.backtest_trades(events).collect()} == {(2, "BUY"), (2, "SELL"), (3, "BUY")}
+    assert [r["ticker"] for r in pf.backtest_positions(events).collect()] == [3]
+    assert pf.backtest(days).count() == 5

@@ -207,9 +207,9 @@ def grouped(words: DataFrame, form_times: int = FORM_TIMES, narrow_at: int = NAR
     A word's form is its most frequent near word (ties: the smallest), if that is ``form_times`` as frequent; its root
     is where the forms end, itself without one. An empty table gives an empty one.
     """
-    words = materialised(words.select("word", "n"))
+    words = materialised(words.select("word", "n"), narrow=True)
     near = one_error_apart(words, narrow_at, group_rows)
     is_form = F.col("form_n") >= form_times * F.col("n")
     made = words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("form")).alias("form"), F.when(is_form, F.col("form_n")).alias("form_n"))
-    made = materialised(made)
+    made = materialised(made, narrow=True)
     return made.join(roots(made.where("form is not null")), "word", "left").withColumn("root", F.coalesce("root", "word"))

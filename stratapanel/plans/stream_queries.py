@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-
+from stratapanel.sources.shared import shared_dir
 from stratapanel.streaming import events
 
 QUERIES, ORACLES = {}, {}
@@ -15,7 +15,7 @@ _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE AS closed FROM events)"
 
 def _drained(make, columns):
     def run(spark, d):
-        path = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
         # a stream reads folders of files, so the one file is named by a pattern of its folder
         schema = spark.read.parquet(f"{d}/events.parquet").schema
         stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -53,11 +53,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
-    warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), path)
-    read = warc.read(spark, path)
-    lost = F.raise_error(F.concat(F.lit("damaged archive "), "archive", F.lit(": "), "gap_reason"))
-    page = F.when(F.col("gap_end").isNull(), F.col("page_id")).otherwise(lost.cast("long"))
-    return read.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    manifest = warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), path)
+    return warc.complete(manifest, warc.read(spark, path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

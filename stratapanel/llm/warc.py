@@ -462,3 +462,19 @@ def read(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
 
     kinds = "archive string, start bigint, page_id bigint, record_type string, url string, payload_digest string, payload_bytes bigint, refers_to bigint, gap_end bigint, gap_reason string, payload binary"
     return files.mapInArrow(run, kinds)
+
+
+def complete(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` of ``read``, if every record of the manifest of ``write`` was read and there is no gap; else an error that names archives.
+
+    The manifest has a row an archive and the comparison is a join, so an archive that is missing, or cut off at a
+    member's end, is seen too. ``found`` is kept in the shared folder, without payloads.
+    """
+    rows = materialised(found.drop("payload"), narrow=True)
+    archive = F.substring_index("archive", "/", -1).alias("archive")
+    read_of = rows.groupBy(archive).agg(F.count(F.when(F.col("gap_end").isNull(), 1)).alias("read"), F.max("gap_reason").alias("gap"))
+    wrong = manifest.join(read_of, "archive", "full").where("coalesce(records, 0) <> coalesce(read, 0) or gap is not null")
+    lost = wrong.orderBy("archive").limit(5).collect()
+    if lost:
+        raise ValueError("damaged archives: " + "; ".join(f"{r['archive']}: {r['read'] or 0} of {r['records'] or 0} records, {r['gap'] or 'no gap'}" for r in lost))
+    return rows

@@ -232,6 +232,21 @@ class TestWarc:
             assert (got[i]["payload_bytes"], got[i]["payload_digest"], got[i]["record_type"], got[i]["refers_to"]) == want
             assert got[i]["payload"] == (body if kept == i else b"")
 
+    def test_lost_records_are_named(self, spark, tmp_path):
+        pages, rows = self._pages(spark)
+        root = tmp_path / "w"
+        manifest = warc.write(warc.with_revisits(pages).repartition(3, "page_id"), str(root))
+        assert warc.complete(manifest, warc.read(spark, str(root))).count() == len(rows)
+        archives = sorted(root.glob("part-*"))
+        whole = archives[0].read_bytes()
+        archives[0].unlink()
+        with pytest.raises(ValueError, match=archives[0].name):
+            warc.complete(manifest, warc.read(spark, str(root)))
+        cut = whole.rindex(b"\x1f\x8b\x08")  # without the last member there is no gap
+        archives[0].write_bytes(whole[:cut])
+        with pytest.raises(ValueError, match="records"):
+            warc.complete(manifest, warc.read(spark, str(root)))
+
     def test_no_pages(self, spark, tmp_path):
         pages, _ = self._pages(spark)
         assert warc.write(warc.with_revisits(pages.where("false")), str(tmp_path / "none")).count() == 0

@@ -32,14 +32,17 @@ REJECT_SHARE, SCRAMBLED_SHARE = 0.002, 0.05
 UNKNOWN = "und"
 
 _LETTERS: list[np.ndarray] = []
+#: Marks of a kind of letter: 1 for letters, 2 for marks that belong to one.
+LETTER, MARK = 1, 2
 
 
 def letters() -> np.ndarray:
-    """By code point: whether it is a letter or a mark that belongs to one."""
+    """By code point: LETTER, MARK or 0. A text of marks alone has no letter."""
     if not _LETTERS:
         import unicodedata
 
-        _LETTERS.append(np.array([unicodedata.category(chr(c))[0] in "LM" and chr(c).isalpha() or unicodedata.category(chr(c))[0] == "M" for c in range(0x110000)]))
+        kinds = {"L": LETTER, "M": MARK}
+        _LETTERS.append(np.array([kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8))
     return _LETTERS[0]
 
 
@@ -58,14 +61,13 @@ def characters(texts: list[str | None]) -> Characters:
     joined = gap + gap.join(" " + (t or "").replace("\0", " ").lower() + " " for t in texts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letters()[codes]
-    codes = np.where(letter, codes, np.where(codes == 0, 0, 32))
+    codes = np.where(letter > 0, codes, np.where(codes == 0, 0, 32))
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 32) | (codes[:-1] != 32)
     starts = (codes == 0) & np.r_[True, codes[:-1] != 0]
     text = np.cumsum(starts) - 1
     has = np.zeros(len(texts), bool)
-    real = letter & np.isin(codes, np.array([0]), invert=True)
-    has[np.unique(text[real])] = True
+    has[np.unique(text[letter == LETTER])] = True
     codes, text = np.where(codes > 0xFFFF, 0xE000 + codes % 0x1900, codes)[keep].astype(np.uint64), text[keep]  # rare letters share the private codes
     return Characters(codes, text, np.flatnonzero(codes), has)
 

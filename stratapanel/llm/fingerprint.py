@@ -29,8 +29,8 @@ from stratapanel.llm.common import blocks, collected, short_batches
 PRIMES, BASES = (2147483647, 2147483629), (911382323, 972663749)
 #: Code points of a span; span hashes kept; code points handled together.
 SPAN, KEPT, BLOCK_CHARS = 12, 64, 1_000_000
-#: Bytes of text of a range of ids; sampled rows of a range that its bounds are taken from.
-PART_BYTES, PER_PART = 8_000_000, 20
+#: Bytes of text of a range of ids at least; sampled rows of a range that its bounds are taken from; ranges at most: beyond, they grow with the table.
+PART_BYTES, PER_PART, MOST_PARTS = 8_000_000, 20, 8192
 #: Lengths of the prefixes that a fingerprint holds: each about 1.4 times the one before.
 STEPS = np.unique((2.0 ** np.arange(0, 40, 0.5)).astype(np.int64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -248,7 +248,7 @@ def _chained(docs: DataFrame, id_col: str, text_col: str, part_bytes: int) -> Da
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, math.ceil(total / part_bytes))
+    parts = max(1, min(MOST_PARTS, math.ceil(total / part_bytes)))
     key = F.struct(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), "h")
     rows = rows.withColumn("bucket", _range(_bounds(rows.select("id", "h"), parts), key))
     first = {r[0]: r[1] for r in rows.groupBy("bucket").agg(F.max(key).alias("k")).collect()}

@@ -82,6 +82,8 @@ class TestLanguage:
         model = langid.fit(edges.withColumn("lang", F.lit("xx")), F.lit(True))
         got = {(r["doc_id"], r["lang_pred"]) for r in langid.identify(edges, model).collect()}
         assert {(1, "und"), (2, "und"), (3, "und"), (7, "und"), (4, "xx"), (None, "xx")} <= got
+        marks = edges.sparkSession.createDataFrame([(1, "\u0301\u0302 \u0301"), (2, "e\u0301te\u0301 la")], "doc_id long, text string")
+        assert {(r["doc_id"], r["lang_pred"] == "und") for r in langid.identify(marks, model).collect()} == {(1, True), (2, False)}
         assert langid.identify(empty, model).count() == 0
         none = langid.fit(empty.withColumn("lang", F.lit("xx")), F.lit(True))
         assert {r["lang_pred"] for r in langid.identify(edges, none).collect()} == {"und"}
@@ -126,7 +128,7 @@ class TestFingerprint:
                 assert one[i : i + k] == moved[j : j + k]
             assert str(fingerprint.Fingerprint.parse(str(c))) == str(c) and fingerprint.likeness(fingerprint.Fingerprint.parse(str(a)), c) == fingerprint.likeness(a, c) == fingerprint.likeness(c, a)
 
-    def test_rows_of_one_id_are_split_and_chained_in_order(self, spark):
+    def test_rows_of_one_id_are_split_and_chained_in_order(self, spark, monkeypatch):
         rows = [(7, f"text number {i} of one id") for i in range(60)] + [(None, f"no id {i}") for i in range(40)] + [(7, "twice"), (7, "twice")]
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         chained = fingerprint._chained(docs, "doc_id", "text", 200)
@@ -135,6 +137,8 @@ class TestFingerprint:
         ordered = sorted(rows, key=lambda r: (r[0] is None, -hashed[r[1]]))
         want = sorted(hashlib.sha256(fingerprint.edited(t, ordered[(k + 1) % len(ordered)][1]).encode()).hexdigest() for k, (_, t) in enumerate(ordered))
         assert sorted(r["edited_sha256"] for r in fingerprint.compare_with_edits(docs, part_bytes=200).collect()) == want
+        monkeypatch.setattr(fingerprint, "MOST_PARTS", 3)
+        assert sorted(r["edited_sha256"] for r in fingerprint.compare_with_edits(docs, part_bytes=20).collect()) == want
 
     def test_repeats_nulls_and_empty(self, edges, empty):
         assert fingerprint.compare_with_edits(edges).count() == len(EDGES)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratapanel.functions.expr import by_day, div
 from stratapanel.operators.cross_section import by_sector, top_n
+from stratapanel.operators.quadratic import quadratic_program
 
 
 def equal_weights(df: DataFrame, score: str, n: int, cap: float = 0.1) -> DataFrame:
@@ -169,34 +170,31 @@ def black_litterman_returns(sigma: np.ndarray, caps: np.ndarray, views: np.ndarr
 def kelly_weights(mu: np.ndarray, sigma: np.ndarray, rate: float = 0.04, fraction: float = 0.5, leverage: float = 1.0) -> np.ndarray:
     """Fractional Kelly bets on excess returns, long only, scaled to 1; equal weights if no bet is worth it."""
     n, excess = len(mu), mu - rate
-    step = fraction / max(float(np.linalg.eigvalsh(sigma)[-1]), 1e-12)
-    w = np.zeros(n)
-    for _ in range(3000):
-        new = np.maximum(w + step * (excess - sigma @ w / fraction), 0)
-        if new.sum() > leverage:
-            new = project_capped_simplex(w + step * (excess - sigma @ w / fraction), leverage, leverage)
-        if np.abs(new - w).max() < 1e-12:
-            break
-        w = new
+    unit = min(leverage, fraction * max(float(excess.max()), 0.0) / float(np.diag(sigma).mean()))  # the size of a bet, in which the problem is solved
+    if unit <= 0:
+        return np.full(n, 1.0 / n)
+    bounds, limits = np.vstack([-np.eye(n), np.ones((1, n))]), np.r_[np.zeros(n), leverage / unit]
+    w, _ = quadratic_program(sigma * (unit / fraction), -excess, bounds, limits, np.zeros((0, n)), np.zeros(0))
+    w = np.where(w > 1e-7 * w.max(), w, 0.0) * unit
     return w / w.sum() if w.sum() > 1e-6 else np.full(n, 1.0 / n)
 
 
-def max_sharpe_weights(mu: np.ndarray, sigma: np.ndarray, rate: float = 0.04, cap: float = 1.0, steps: int = 16) -> np.ndarray:
+def max_sharpe_weights(mu: np.ndarray, sigma: np.ndarray, rate: float = 0.04, cap: float = 1.0) -> np.ndarray:
     """The highest excess return per deviation over the capped simplex; equal weights if no excess is positive.
 
-    That point is on the frontier of risk-averse weights, and the ratio rises with aversion as long as the aversion
-    is below excess / (2 * variance), so bisection of the aversion finds it.
+    The ratio does not change with scale, so the least variance of bets that earn one unit of excess gives it.
     """
     excess, n = mu - rate, len(mu)
+    cap = max(cap, 1.0 / n)
     if not (excess > 0).any():
         return np.full(n, 1.0 / n)
-    low, high = np.log(1e-2), np.log(1e4)
-    for _ in range(steps):
-        risk = np.exp((low + high) / 2)
-        w = quadratic_weights(excess, sigma, risk, cap, rounds=300)
-        variance = max(float(w @ sigma @ w), 1e-18)
-        low, high = ((low + high) / 2, high) if risk <= float(excess @ w) / (2 * variance) else (low, (low + high) / 2)
-    return w
+    unit = np.abs(excess).max()
+    bounds = np.vstack([-np.eye(n), np.eye(n) - cap])  # each bet is the cap's share of all at most
+    y, solved = quadratic_program(2 * sigma / np.diag(sigma).mean(), np.zeros(n), bounds, np.zeros(2 * n), excess[None, :] / unit, np.ones(1))
+    y = np.where(y > 1e-9, y, 0.0)
+    if solved and y.sum() > 0:
+        return y / y.sum()
+    return quadratic_weights(excess, sigma, 1e-2, cap)  # no capped mix earns an excess: the largest return
 
 
 def shrunk_covariance(returns: np.ndarray) -> np.ndarray:

@@ -64,3 +64,25 @@ def test_days(spark):
     assert set(got[got["date"].map(lambda x: x.day) < 3]["status"]) == {"optimal"} and got[got["status"] == "optimal"]["breach"].max() < 1e-6
     alone = got[got["date"].map(lambda x: x.day) == 4].iloc[0]
     assert alone["status"] == "infeasible" and alone["weight"] == 1.0 and alone["breach"] > 0.3
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 25])
+def test_residuals_vanish_for_solutions_only(n):
+    """Solvers against the conditions of a solution, and these conditions against weights that solve nothing."""
+    from stratapanel.operators import optimality
+    from stratapanel.operators import portfolio as pf
+
+    random = np.random.default_rng(n)
+    x = random.normal(size=(252, n)) * random.uniform(0.01, 0.05, n)
+    sigma = pf.shrunk_covariance(x) * 252 if n > 1 else np.array([[0.04]])
+    mu, even = (random.uniform(0.4, 1, n) - 0.5) * 0.6, np.full(n, 1.0 / n)
+    deviation = np.sqrt(np.diag(sigma))
+    solved = {
+        "mean_variance": pf.quadratic_weights(mu, sigma, 1.0, 0.4), "max_sharpe": pf.max_sharpe_weights(mu, sigma, cap=0.4), "risk_parity": pf.risk_parity_weights(sigma), "kelly": pf.kelly_weights(mu, sigma),
+        "black_litterman": pf.quadratic_weights(pf.black_litterman_returns(sigma, np.ones(n), mu), sigma, 2.5, 0.4), "inverse_vol": (1 / deviation) / (1 / deviation).sum(), "top_n": even,
+    }
+    for method, w in solved.items():
+        assert optimality.residual(method, w, mu, sigma, np.ones(n), cap=0.4) < 2e-3, method
+        if n == 5 and method != "top_n":
+            wrong = np.array([0.9, 0.025, 0.025, 0.025, 0.025])
+            assert optimality.residual(method, wrong, mu, sigma, np.ones(n), cap=0.95) > 1e-2, method

@@ -75,6 +75,26 @@ class TestPii:
         assert [got[1000 + i] for i in range(4)] == ["write [EMAIL] today", "so [EMAIL] here", "phone [PHONE] now", "or [PHONE] then"]
         assert {i: got[i] for i, _ in rows if i >= 2000} == {i: t for i, t in rows if i >= 2000}
 
+    def test_any_separators_and_what_rules_cannot_tell_apart(self, spark):
+        """Digits one by one are a number to call or a row of figures, by the words before; a longer number is no phone, nor are four kinds of numbers that were never shown."""
+        digits = [f"{310 + i}555{2000 + 37 * i}" for i in range(20)]
+        spaced = [" ".join(d) for d in digits]
+        rows = [(i, f"please call {t} today") for i, t in enumerate(spaced)] + [(100 + i, f"the row {t} of it") for i, t in enumerate(spaced)]
+        rows += [(200, "card 4 1 1 1   1 1 1 1   1 1 1 1   1 1 1 1 ok"), (201, "card 4111__1111__1111__1111 ok")]
+        unseen = ["tracking 9400 1000 0000 0000 0000 00 on", "measured 12.5 13.25 14.75 15.5 there", "lot 2024-117-0042-9 of", "vol. 12, 1034-1048 in", "sums 1,204 3,310 2,115 in all"]
+        rows += [(300 + i, t) for i, t in enumerate(unseen)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        detector = pii.fit(docs)
+        candidates = {r["doc_id"]: r for r in pii.with_candidates(docs).collect()}
+        for i, t in enumerate(spaced):
+            for r in (candidates[i], candidates[100 + i]):
+                assert t in [r["text"][c["start"] : c["end"]] for c in r["candidates"] if c["kind"] == 3]
+        for i in (200, 201):
+            assert any(sum(x.isdigit() for x in candidates[i]["text"][c["start"] : c["end"]]) == 16 for c in candidates[i]["candidates"] if c["kind"] == 2)
+        got = {r["doc_id"]: r["text"] for r in pii.redact(docs, detector).collect()}
+        assert sum("[PHONE]" in got[i] for i in range(20)) >= 18 and sum(got[100 + i] != dict(rows)[100 + i] for i in range(20)) <= 1
+        assert [got[300 + i] for i in range(len(unseen))] == unseen
+
     def test_redaction(self, docs, spark):
         clean = pii.redact(docs, pii.Detector(None, (2.0,) * 4))
         assert clean.columns == docs.columns and clean.dtypes == docs.dtypes

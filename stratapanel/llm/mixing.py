@@ -129,11 +129,12 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = 1) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame, seed: int = 1) -> DataFrame:
-    """The rows of ``docs`` (with doc_id, text and source) repeated by their copies, columns unchanged.
+    """The rows of ``docs`` (with doc_id, text and source) repeated by their copies; all columns are kept, whatever their names.
 
     Rows alike in id, source and size share their copies in the order of a hash of their text.
     """
-    sized = docs.withColumn("__size", word_count(F.col("text")))
+    own = [c if c in ("doc_id", "text", "source") else f"own{i}" for i, c in enumerate(docs.columns)]
+    sized = docs.toDF(*own).withColumn("__size", word_count(F.col("text")))
     rows = sized.select("doc_id", "source", F.col("__size").alias("size"))
     counts = mix(rows, materialised(source_targets(rows)), seed)
     key = F.xxhash64("doc_id", "source", "size")
@@ -145,4 +146,4 @@ def mixed_rows(docs: DataFrame, seed: int = 1) -> DataFrame:
     base = F.floor(F.col("__copies") / F.col("__rows"))
     joined = joined.withColumn("__nth", nth)
     times = base + (F.col("__nth") <= F.col("__copies") - base * F.col("__rows")).cast("long")
-    return joined.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    return joined.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*own).toDF(*docs.columns)

@@ -298,18 +298,18 @@ def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Of linked rows that share the smallest id, the one with the smallest hash of its text stays, and of repeated
     rows one. Rows with an empty set, or without an id, all stay.
     """
-    found = written(_similar(docs, id_col, text_col), "similar")
-    mine, own = F.struct("doc_id", "h"), F.xxhash64(F.col(text_col).cast("binary"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows, id_name, text_name = docs.toDF(*names), names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
+    found = written(_similar(rows.select(F.col(id_name).alias("doc_id"), F.col(text_name).alias("text")), "doc_id", "text"), "similar")
+    mine, own = F.struct("doc_id", "h"), F.xxhash64(F.col(text_name).cast("binary"))
     go = found.where(mine != F.col("component")).select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct()
     twins = found.where((F.col("n") > 0) & (mine == F.col("component"))).groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"))
-    same = lambda: (F.col(id_col) == F.col("__id")) & (own == F.col("__h"))
-    kept = docs.join(go, same(), "left_anti")
-    if not twins.limit(1).count():
-        return kept
-    names = [f"__c{i}" for i in range(len(docs.columns))]
-    once = kept.join(twins, same(), "left_semi").toDF(*names).withColumn("__h", F.xxhash64(F.col(names[docs.columns.index(text_col)]).cast("binary")))
-    once = once.groupBy(names[docs.columns.index(id_col)], "__h").agg(*(F.first(c).alias(f"{c}_") for c in names))
-    return kept.join(twins, same(), "left_anti").union(once.select(*(f"{c}_" for c in names)).toDF(*docs.columns))
+    same = lambda: (F.col(id_name) == F.col("__id")) & (own == F.col("__h"))
+    kept = rows.join(go, same(), "left_anti")
+    if twins.limit(1).count():
+        once = kept.join(twins, same(), "left_semi").withColumn("__h", own).groupBy(F.col(id_name).alias("__id"), "__h").agg(*(F.first(c).alias(c) for c in names))
+        kept = kept.join(twins, same(), "left_anti").union(once.select(*names))
+    return kept.toDF(*docs.columns)
 
 
 def _key(x: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 
@@ -26,12 +27,43 @@ def tree_column(description: str, features: Column) -> Column:
     return node()
 
 
+def _levels(description: str) -> tuple[list[int], list[float], list[float]]:
+    """(feature, limit) of the inner nodes of a tree level by level, and its leaves; a leaf above the lowest level is repeated below."""
+    steps = [m.groups() for line in description.splitlines() if (m := _LINE.search(line))]
+
+    def node(at: int) -> tuple[tuple | float, int]:
+        kind, feature, _, limit, leaf = steps[at]
+        if kind is None:
+            return float(leaf), at + 1
+        below, at = node(at + 1)
+        above, at = node(at + 1)  # after the line of the other side
+        return (int(feature), float(limit), below, above), at
+
+    level: list = [node(0)[0]]
+    features, limits = [], []
+    while any(isinstance(x, tuple) for x in level):
+        inner = [x if isinstance(x, tuple) else (0, 1e308, x, x) for x in level]
+        features += [x[0] for x in inner]
+        limits += [x[1] for x in inner]
+        level = [y for x in inner for y in x[2:]]
+    return features, limits, level
+
+
 def boosted_probability(model, features: Column) -> Column:
-    """Probability of class 1 from a fitted gradient-boosted classifier."""
-    margin = F.lit(0.0)
-    for tree, weight in zip(model.trees, model.treeWeights, strict=True):
-        margin = margin + tree_column(tree.toDebugString, features) * F.lit(float(weight))
-    return 1.0 / (1.0 + F.exp(-2.0 * margin))
+    """Probability of class 1 from a fitted gradient-boosted classifier.
+
+    The trees are one constant and a row walks down them by level, so plans don't grow with their nodes.
+    """
+    rows = [dict(zip(("feature", "limit", "leaf"), _levels(t.toDebugString), strict=True)) | {"weight": float(w)} for t, w in zip(model.trees, model.treeWeights, strict=True)]
+    trees = F.from_json(F.lit(json.dumps(rows)), "array<struct<feature:array<int>,limit:array<double>,leaf:array<double>,weight:double>>")
+
+    def walked(total: Column, tree: Column) -> Column:
+        down = lambda at, _: 2 * at + F.when(F.get(features, F.get(tree["feature"], at)) <= F.get(tree["limit"], at), 1).otherwise(2)
+        inner = F.size(tree["feature"])
+        steps = F.when(inner > 0, F.sequence(F.lit(1), F.floor(F.log2(inner + 1) + 0.5).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return total + tree["weight"] * F.get(tree["leaf"], F.aggregate(steps, F.lit(0), down) - inner)
+
+    return 1.0 / (1.0 + F.exp(-2.0 * F.aggregate(trees, F.lit(0.0), walked)))
 
 
 def forest_share(model, features: Column) -> Column:

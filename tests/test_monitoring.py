@@ -88,6 +88,57 @@ def test_two_regimes(spark):
     assert np.mean(got[:150]) < 0.1 and np.mean(got[150:]) > 0.9
 
 
+def _one_chain(x: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """The chain of one series, row by row."""
+    if len(x) < 10 or x.std() == 0:
+        return np.zeros(len(x), int)
+    mean, var = np.full(2, x.mean()), x.var() * np.array([0.5, 2.0])
+    step, start = np.array([[0.95, 0.05], [0.05, 0.95]]), np.full(2, 0.5)
+    for _ in range(rounds):
+        like = np.exp(-0.5 * (x[:, None] - mean) ** 2 / var) / np.sqrt(var) + 1e-300
+        ahead, scale = np.empty_like(like), np.empty(len(x))
+        for t in range(len(x)):
+            ahead[t] = (start if not t else ahead[t - 1] @ step) * like[t]
+            scale[t] = ahead[t].sum()
+            ahead[t] /= scale[t]
+        behind = np.ones_like(like)
+        for t in range(len(x) - 2, -1, -1):
+            behind[t] = step @ (like[t + 1] * behind[t + 1]) / scale[t + 1]
+        each = ahead * behind
+        each /= each.sum(1, keepdims=True)
+        moves = step * (ahead[:-1].T @ (like[1:] * behind[1:] / scale[1:, None]))
+        step, start = moves / moves.sum(1, keepdims=True), each[0]
+        mean = (each * x[:, None]).sum(0) / each.sum(0)
+        var = np.maximum((each * (x[:, None] - mean) ** 2).sum(0) / each.sum(0), 1e-12)
+    cost, came = np.log(start + 1e-300) + np.log(like[0]), np.zeros((len(x), 2), int)
+    for t in range(1, len(x)):
+        way = cost[:, None] + np.log(step + 1e-300)
+        came[t], cost = way.argmax(0), way.max(0) + np.log(like[t])
+    path = np.full(len(x), cost.argmax())
+    for t in range(len(x) - 1, 0, -1):
+        path[t - 1] = came[t, path[t]]
+    return path if var[1] >= var[0] else 1 - path
+
+
+def test_two_regimes_of_many_keys(spark, monkeypatch):
+    """Series of any length are fitted side by side, and each gets the states it gets alone; keys go over batches."""
+    rnd = np.random.default_rng(5)
+    series = {k: np.r_[rnd.normal(0, 0.02, n), rnd.normal(0.01, 0.2, n // 2), rnd.normal(0, 0.02, n // 3)] for k, n in enumerate([4, 9, 40, 41, 75, 120, 12, 300, 10])}
+    series |= {20: np.full(30, 0.25), 21: np.array([0.5])}
+    sizes = np.array([len(x) for x in series.values()])
+    alone = np.concatenate([_one_chain(x) for x in series.values()])
+    monkeypatch.setattr(statistics, "REGIME_CELLS", 500)
+    assert statistics.regime_states(np.concatenate(list(series.values())), sizes).tolist() == alone.tolist() and 0 < alone.mean() < 1
+    rows = [(k, date(2020, 1, 1) + timedelta(i), float(v)) for k, x in series.items() for i, v in enumerate(x)] + [(None, date(2020, 1, 1), 0.1), (2, date(2030, 1, 1), None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = statistics.two_regimes(spark.createDataFrame(rows, "ticker long, date date, r double"), "r").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == sizes.sum() + 1
+    assert [r["state"] for r in sorted((r for r in got if r["ticker"] is not None), key=lambda r: (r["ticker"], r["date"]))] == alone.tolist()
+
+
 def test_calendar(spark):
     assert calendar.easter(2024) == date(2024, 3, 31)
     closed = {date(2024, 1, 1), date(2024, 1, 15), date(2024, 2, 19), date(2024, 3, 29), date(2024, 5, 27), date(2024, 6, 19), date(2024, 7, 4), date(2024, 9, 2), date(2024, 11, 28), date(2024, 12, 25)}

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from stratapanel.functions.expr import div
+from stratapanel.operators.quantiles import quantiles
+from stratapanel.sources.shared import shared_table
 
 
 def factor_columns(df: DataFrame, meta: Sequence[str] = ("date", "ticker", "sector", "industry", "open", "high", "low", "close", "volume")) -> list[str]:
@@ -64,10 +66,10 @@ def damped_target(df: DataFrame, x: str = "raw_ret_5d", n: int = 63, least: int
     """``target``: the return less its sector's mean of the day, over 1 + its trailing deviation; a missing deviation is the median of all."""
     trailing = Window.partitionBy("ticker").orderBy("date").rowsBetween(1 - n, 0)
     spread = F.when(F.count(x).over(trailing) >= least, F.stddev_samp(x).over(trailing))
-    rows = df.withColumns({"__s": spread, "__m": F.avg(x).over(Window.partitionBy("date", "sector"))})
-    middle = rows.agg(F.median("__s").alias("__all"))
-    rows = rows.crossJoin(F.broadcast(middle))
-    return rows.withColumn("target", (F.col(x) - F.col("__m")) * div(F.lit(1.0), 1 + F.coalesce("__s", "__all"))).drop("__s", "__m", "__all")
+    rows = shared_table(df.withColumn("__s", spread), "damped-target")
+    middle = F.lit(quantiles(rows, "__s", [0.5])[0]).cast("double")
+    rows = rows.withColumn("__m", F.avg(x).over(Window.partitionBy("date", "sector")))
+    return rows.withColumn("target", (F.col(x) - F.col("__m")) * div(F.lit(1.0), 1 + F.coalesce(F.col("__s"), middle))).drop("__s", "__m")
 
 
 def sector_composite(df: DataFrame, n: int = 20, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -76,10 +78,11 @@ def sector_composite(df: DataFrame, n: int = 20, low: float = 0.01, high: float
     rows = df.withColumn("__r", div("close", F.lag("close").over(Window.partitionBy("ticker").orderBy("date"))) - 1)
     full = lambda x, f: F.when(F.count(x).over(frame) >= n, f(x).over(frame))
     rows = rows.withColumn("__c", div(div("close", full("close", F.avg)) - 1, full("__r", F.stddev_samp)))
-    cuts = rows.agg(F.percentile("__c", F.array(F.lit(low), F.lit(high))).alias("__q"))
-    rows = rows.crossJoin(F.broadcast(cuts)).withColumn("__c", F.when(F.col("__c").isNotNull(), F.least(F.greatest("__c", F.col("__q")[0]), F.col("__q")[1])))
+    rows = shared_table(rows.drop("__r"), "sector-composite")
+    lowest, highest = (F.lit(q).cast("double") for q in quantiles(rows, "__c", [low, high]))
+    rows = rows.withColumn("__c", F.when(F.col("__c").isNotNull(), F.least(F.greatest(F.col("__c"), lowest), highest)))
     group = Window.partitionBy("date", "sector")
-    return rows.withColumn("composite", div(F.col("__c") - F.avg("__c").over(group), F.stddev_samp("__c").over(group))).drop("__r", "__c", "__q")
+    return rows.withColumn("composite", div(F.col("__c") - F.avg("__c").over(group), F.stddev_samp("__c").over(group))).drop("__c")
 
 
 def macro_for_earnings(macro: DataFrame, n: int = 63) -> DataFrame:

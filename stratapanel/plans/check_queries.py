@@ -121,7 +121,7 @@ def currency_amounts(spark, d):
 @query(SIGNALS_SQL + """, s AS (SELECT date, ticker, raw_ret_5d - avg(raw_ret_5d) OVER (PARTITION BY date, sector) AS e, CASE WHEN count(raw_ret_5d) OVER w >= 21 THEN stddev_samp(raw_ret_5d) OVER w END AS sd FROM sig WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)),
 m AS (SELECT quantile_cont(sd, 0.5) AS m FROM s) SELECT date, ticker, round(e / (1 + coalesce(sd, m)), 6) + 0.0 AS target FROM s, m""")
 def target_damped(spark, d):
-    return checks.damped_target(signals(spark, d)).select("date", "ticker", r("target").alias("target"))
+    return checks.damped_target(signals(spark, d).select("date", "ticker", "sector", "raw_ret_5d")).select("date", "ticker", r("target").alias("target"))
 
 
 @query(SIGNALS_SQL + f""", b AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret FROM sig), c AS (SELECT date, ticker, sector, (close / nullif({oracle.mean("close", 20)}, 0) - 1) / nullif({oracle.std("ret", 20)}, 0) AS x FROM b),

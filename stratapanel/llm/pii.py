@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratapanel.llm.common import materialised
+from stratapanel.llm.common import materialised, written
 from stratapanel.llm.trees import boosted_probability, calibrated_threshold, located, spans
 
 KINDS = ("email", "ip", "card", "phone")
@@ -45,10 +45,9 @@ OTHER_CUES = r"(?i)(?<![a-z])(?:version|release|build|v|ids?|isbn|order|invoice|
 #: Usual groups of a phone number without a plus.
 GROUPED = r"^(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}$"
 DATE = r"^(?:[0-9]{1,2}[./-][0-9]{1,2}[./-])?(?:19|20)[0-9]{2}(?![0-9])"
-#: The trees are fitted on so many candidates at most, a quarter of them kept aside for the thresholds.
-FIT_ROWS, TREES, DEPTH = 20_000, 12, 4
-#: Documents that candidates are fitted on at most, about; calibrated probability from which a candidate is redacted.
-FIT_DOCS, PROBABILITY = 50_000, 0.98
+TREES, DEPTH = 12, 4
+#: Calibrated probability from which a candidate is redacted; weight of the examples by that of the corpus's candidates, at least.
+PROBABILITY, EXAMPLE_SHARE = 0.98, 0.1
 
 
 def _digits(value: Column) -> Column:
@@ -193,40 +192,42 @@ def examples() -> list[tuple[str, str, str, int]]:
 
 
 def _made(texts: DataFrame) -> DataFrame:
-    """(h, kind, features, label) of the candidates in made texts (before, value, after, kind; -1: none)."""
+    """(h, kind, features, label, n) of the candidates in made texts (before, value, after, kind, n; kind -1: none)."""
     at = F.length("before")
-    texts = texts.where("value is not null").select(F.col("kind").alias("is"), at.alias("start"), (at + F.length("value")).alias("end"), F.concat("before", "value", "after").alias("text"))
-    rows = with_candidates(texts).select("text", "is", "start", "end", F.explode("candidates").alias("c"))
+    texts = texts.where("value is not null").select(F.col("kind").alias("is"), at.alias("start"), (at + F.length("value")).alias("end"), F.concat("before", "value", "after").alias("text"), "n")
+    rows = with_candidates(texts).select("text", "is", "start", "end", "n", F.explode("candidates").alias("c"))
     own = F.col("c.kind") == F.col("is")
     rows = rows.where((F.col("c.start") == F.col("start")) & (F.col("c.end") == F.col("end")) | (F.col("is") < 0))
-    return rows.select(F.xxhash64("text", "c.start", "c.kind").alias("h"), "c.kind", "c.features", own.cast("double").alias("label"))
+    return rows.select(F.xxhash64("text", "c.start", "c.kind").alias("h"), "c.kind", "c.features", own.cast("double").alias("label"), "n")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", fit_rows: int = FIT_ROWS) -> Detector:
-    """Fits the trees on at most ``fit_rows`` candidates, chosen by a hash of document and place, their rewritten forms and the examples.
+def fit(docs: DataFrame, id_col: str = "doc_id") -> Detector:
+    """Fits the trees on all labelled candidates of all documents, their rewritten forms and the examples.
 
-    The candidates come from about ``FIT_DOCS`` documents, chosen by a hash of the id. A quarter of the rows is kept
-    aside; a rising fit to these turns scores into probabilities, which set each kind's threshold.
+    Candidates with the same features and label are one row with their number as its weight, so what the trees pass over
+    grows with the forms that data takes, not with the documents. Examples weigh a tenth of the candidates at least, so
+    a large corpus doesn't drown them. A quarter of the rows, by a hash of document and place,
+    is kept aside; a rising fit to these turns scores into probabilities, which set each kind's threshold.
     """
-    every = max(1, docs.count() // FIT_DOCS)
-    some = docs.select(id_col, "text").where(F.pmod(F.xxhash64(F.col(id_col), F.lit(44)), F.lit(every)) == 0)
-    rows = with_candidates(some).where(F.size("candidates") > 0)
+    rows = with_candidates(docs.select(id_col, "text")).where(F.size("candidates") > 0)
     part = lambda start, n: F.substr("__text", (start + 1).cast("int"), n.cast("int"))
     kept = F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["features"].alias("features"), F.when(_on_base(c), 1.0).when(refused(c["kind"], c["features"]) | F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])), 0.0).alias("label"), c["end"].alias("end")))
     known = F.filter(kept, lambda c: c["label"].isNotNull())
     cut = F.transform(known, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["features"].alias("features"), c["label"].alias("label"), F.when(c["label"] > 0, F.struct(part(F.greatest(c["start"] - 24, F.lit(0)), F.least(c["start"], F.lit(24))).alias("before"), part(c["start"], c["end"] - c["start"]).alias("value"), part(c["end"], F.lit(8)).alias("after"))).alias("seen")))
     rows = rows.select(id_col, F.explode(cut).alias("c")).select(F.xxhash64(id_col, "c.start", "c.kind").alias("h"), "c.kind", "c.features", "c.label", "c.seen")
-    sample = materialised(rows.orderBy("h", "kind", "label").limit(fit_rows), narrow=True)
-    if sample.isEmpty():
+    found = written(rows, "pii-candidates").withColumn("n", F.lit(1.0))
+    total, shown = found.count(), examples()
+    if not total:
         return Detector(None, (2.0,) * len(KINDS))
-    known = docs.sparkSession.createDataFrame(examples(), "before string, value string, after string, kind int")
-    again = sample.where("label > 0").select("seen.before", rewritten(F.col("kind"), F.col("seen.value")).alias("value"), "seen.after", "kind")
-    texts = materialised(again.union(known), narrow=True)  # else the plan of the candidates is copied to both sides
-    sample = materialised(sample.drop("seen").union(_made(texts)), narrow=True)
-    train = sample.where(F.pmod("h", F.lit(4)) != 0)
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=4, checkpointInterval=-1).fit(train.select("label", array_to_vector("features").alias("vector")))
-    aside = sample.where(F.pmod("h", F.lit(4)) == 0).select("kind", boosted_probability(model, F.col("features")).alias("p"), F.col("label").cast("int")).collect()
-    return Detector(model, tuple(calibrated_threshold([(r[1], r[2]) for r in aside if r[0] == k], PROBABILITY, 2.0) for k in range(len(KINDS))))
+    known = docs.sparkSession.createDataFrame(shown, "before string, value string, after string, kind int").withColumn("n", F.lit(max(1.0, EXAMPLE_SHARE * total / len(shown))))
+    again = found.where("label > 0").select("seen.before", rewritten(F.col("kind"), F.col("seen.value")).alias("value"), "seen.after", "kind", "n")
+    both = found.drop("seen").union(_made(again.union(known)))
+    forms = both.groupBy((F.pmod("h", F.lit(4)) == 0).alias("aside"), "kind", "features", "label").agg(F.sum("n").alias("n"))
+    forms = materialised(forms, narrow=True)
+    train = forms.where("not aside").select("label", "n", array_to_vector("features").alias("vector"))
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, seed=4, checkpointInterval=-1).fit(train)
+    aside = forms.where("aside").groupBy("kind", boosted_probability(model, F.col("features")).alias("p")).agg(F.sum(F.col("label") * F.col("n")), F.sum("n")).collect()
+    return Detector(model, tuple(calibrated_threshold([(p, ones, n) for kind, p, ones, n in aside if kind == k], PROBABILITY, 2.0) for k in range(len(KINDS))))
 
 
 def find(docs: DataFrame, detector: Detector, text_col: str = "text") -> DataFrame:

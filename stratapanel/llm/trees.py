@@ -74,11 +74,14 @@ def forest_share(model, features: Column) -> Column:
     return votes / F.lit(float(len(model.trees)))
 
 
-def isotonic(rows: list[tuple[float, int]]) -> list[tuple[float, float]]:
-    """(lowest score, probability) of the steps of the rising fit to labelled rows (score, label), by pooling neighbours that fall."""
+def isotonic(rows: list[tuple]) -> list[tuple[float, float]]:
+    """(lowest score, probability) of the steps of the rising fit to labelled rows (score, label), by pooling neighbours that fall.
+
+    A row may stand for several: (score, sum of their labels, their number).
+    """
     pools: list[list[float]] = []
-    for score, label in sorted(rows):
-        pools.append([score, label, 1])
+    for score, label, *n in sorted(rows):
+        pools.append([score, label, n[0] if n else 1])
         while len(pools) > 1 and (pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2] or pools[-2][0] == pools[-1][0]):
             _, right, n = pools.pop()
             pools[-1][1] += right
@@ -86,8 +89,8 @@ def isotonic(rows: list[tuple[float, int]]) -> list[tuple[float, float]]:
     return [(score, right / n) for score, right, n in pools]
 
 
-def calibrated_threshold(rows: list[tuple[float, int]], probability: float, otherwise: float) -> float:
-    """The lowest score whose calibrated probability, by the rows (score, label), is at least ``probability``; else ``otherwise``."""
+def calibrated_threshold(rows: list[tuple], probability: float, otherwise: float) -> float:
+    """The lowest score whose calibrated probability, by the rows of ``isotonic``, is at least ``probability``; else ``otherwise``."""
     return next((score for score, p in isotonic(rows) if p >= probability), otherwise)
 
 

@@ -95,6 +95,15 @@ class TestPii:
         assert sum("[PHONE]" in got[i] for i in range(20)) >= 18 and sum(got[100 + i] != dict(rows)[100 + i] for i in range(20)) <= 1
         assert [got[300 + i] for i in range(len(unseen))] == unseen
 
+    def test_trees_are_fitted_on_all_candidates(self, spark, monkeypatch):
+        """21,000 addresses, more than any sample of before, each once as found and once rewritten; equal forms are one row."""
+        docs = spark.createDataFrame([(i, " ".join(f"u{j % 10}@mail.com" for j in range(1000))) for i in range(21)], "doc_id long, text string")
+        seen, keep = [], pii.materialised
+        monkeypatch.setattr(pii, "materialised", lambda df, narrow=False: seen.append(keep(df, narrow)) or seen[-1])
+        pii.fit(docs)
+        counts = {(r["label"], r["big"]): (r["n"], r["rows"]) for r in seen[-1].where("kind = 0").groupBy("label", (F.col("n") > 1000).alias("big")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
+        assert sum(n for (label, _), (n, _) in counts.items() if label == 1) >= 42_000 and sum(rows for _, rows in counts.values()) < 500
+
     def test_redaction(self, docs, spark):
         clean = pii.redact(docs, pii.Detector(None, (2.0,) * 4))
         assert clean.columns == docs.columns and clean.dtypes == docs.dtypes

@@ -20,3 +20,9 @@ def test_boosted_probability_equals_the_model(spark):
         model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=5, maxDepth=depth, seed=4).fit(df.withColumn("label", label))
         both = model.transform(df).select("probability", trees.boosted_probability(model, F.col("features")).alias("p"), F.filter(F.array("features"), lambda x: trees.boosted_probability(model, x) >= 0.5).alias("f")).collect()
         assert all(abs(r["probability"][1] - r["p"]) < 1e-9 and (len(r["f"]) == 1) == (r["p"] >= 0.5) for r in both)
+
+
+def test_rows_that_stand_for_several_calibrate_by_their_number():
+    rows = [(0.9, 40.0, 40.0), (0.2, 0.0, 10.0), (0.7, 1.0, 2.0), (0.5, 3.0, 4.0)]
+    assert trees.isotonic(rows) == [(0.2, 0.0), (0.5, 4 / 6), (0.9, 1.0)]
+    assert trees.calibrated_threshold(rows, 0.98, 2.0) == 0.9 and trees.calibrated_threshold(rows[1:], 0.98, 2.0) == 2.0

@@ -262,3 +262,30 @@ def test_backtest_keeps_the_type_of_tickers(spark):
     assert {(r["ticker"], r["side"]) for r in pf.backtest_trades(events).collect()} == {(2, "BUY"), (2, "SELL"), (3, "BUY")}
     assert [r["ticker"] for r in pf.backtest_positions(events).collect()] == [3]
     assert pf.backtest(days).count() == 5
+
+
+def test_ledgers_pass_in_small_batches(spark):
+    """Names reach a ledger as rows, in batches of any size, and strategies that share a task keep apart."""
+    days = [date(2024, 1, 1 + k) for k in range(12)]
+    names = "array<struct<ticker:bigint,open:double,close:double,volume:double,weight:double>>"
+    rows = [(s, day, k % 5 == 0, [(t, 10.0 + t + k, 10.0 + t + k * (1 if s == "a" else -0.5), 1e4, 0.5 if k % 5 == 0 and (t + k) % 3 else None) for t in range(1, 5)] if k != 7 else []) for s in ("a", "b") for k, day in enumerate(days)]
+    df = spark.createDataFrame(rows, f"strategy string, date date, is_rebalance boolean, names {names}").repartition(3)
+    events = pf.backtest_events(df)
+    assert "MapInArrow" in events._jdf.queryExecution().toString()
+    whole = sorted(events.collect(), key=str)
+    assert {r["strategy"]: r["n"] for r in events.where("kind = 'day'").groupBy("strategy").count().withColumnRenamed("count", "n").collect()} == {"a": 12, "b": 12}
+    alone = [r for s in ("a", "b") for r in pf.backtest_events(df.where(F.col("strategy") == s)).collect()]
+    assert sorted(alone, key=str) == whole
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(pf.backtest_events(df).collect(), key=str) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_stored_rows_keep_line_items_from_being_read_again(spark, tables):
+    """Line items in the plan: of candidates only chosen names' history and statements, of the books none."""
+    from stratapanel.plans import panel_queries
+
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("/lineitem.parquet")
+    assert scans(panel_queries._candidates(spark, tables)) == 2 and scans(panel_queries._books(spark, tables)) == 0

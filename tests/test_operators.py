@@ -285,7 +285,16 @@ def test_ledgers_pass_in_small_batches(spark):
 
 def test_stored_rows_keep_line_items_from_being_read_again(spark, tables):
     """Line items in the plan: of candidates only chosen names' history and statements, of the books none."""
-    from stratapanel.plans import panel_queries
+    from stratapanel.plans import panel_queries, report_queries
 
     scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("/lineitem.parquet")
     assert scans(panel_queries._candidates(spark, tables)) == 2 and scans(panel_queries._books(spark, tables)) == 0
+    assert scans(report_queries.bootstrap_ic(spark, tables)) == 0
+
+
+def test_exponential_means_pass_other_columns_unchanged(spark):
+    """A whole number beyond 2**53 beside a missing one stays what it is."""
+    big = 2**53 + 1
+    rows = [(1, date(2024, 1, d), float(d) if d != 2 else None, big if d == 1 else None) for d in (3, 1, 2)]
+    got = add_ewm(spark.createDataFrame(rows, "ticker int, date date, x double, id bigint"), [Ewm("m", "x", 0.5)]).orderBy("date").collect()
+    assert [(r["x"], r["id"]) for r in got] == [(1.0, big), (None, None), (3.0, None)] and got[1]["m"] == 1.0

@@ -191,16 +191,35 @@ def examples() -> list[tuple[str, str, str, int]]:
     return out
 
 
+def _exploded(rows: DataFrame, spans: Column, *kept: str) -> DataFrame:
+    """A row ``c`` for each of the spans, with the kept columns.
+
+    The plain generator makes Spark filter rows by the size of the array first, down to where the text is read: each
+    step that makes the array then stands in the plan as often as the next ones name it, hundreds of MB on the driver.
+    """
+    return rows.select(*kept, F.explode_outer(spans).alias("c")).where("c is not null")
+
+
 def _made(texts: DataFrame) -> DataFrame:
     """(h, kind, features, label, n) of the candidates in made texts (before, value, after, kind, n; kind -1: none)."""
     at = F.length("before")
     texts = texts.where("value is not null").select(F.col("kind").alias("is"), at.alias("start"), (at + F.length("value")).alias("end"), F.concat("before", "value", "after").alias("text"), "n")
-    rows = with_candidates(texts).select("text", "is", "start", "end", "n", F.explode("candidates").alias("c"))
+    rows = _exploded(with_candidates(texts), F.col("candidates"), "text", "is", "start", "end", "n")
     own = F.col("c.kind") == F.col("is")
     rows = rows.where((F.col("c.start") == F.col("start")) & (F.col("c.end") == F.col("end")) | (F.col("is") < 0))
     return rows.select(F.xxhash64("text", "c.start", "c.kind").alias("h"), "c.kind", "c.features", own.cast("double").alias("label"), "n")
 
 
+def _labelled(docs: DataFrame, id_col: str) -> DataFrame:
+    """(h, kind, features, label, seen) of the labelled candidates of all documents; seen: positive ones with the text around."""
+    rows = with_candidates(docs.select(id_col, "text"))
+    part = lambda start, n: F.substr("__text", (start + 1).cast("int"), n.cast("int"))
+    kept = F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["features"].alias("features"), F.when(_on_base(c), 1.0).when(refused(c["kind"], c["features"]) | F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])), 0.0).alias("label"), c["end"].alias("end")))
+    known = F.filter(kept, lambda c: c["label"].isNotNull())
+    cut = F.transform(known, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["features"].alias("features"), c["label"].alias("label"), F.when(c["label"] > 0, F.struct(part(F.greatest(c["start"] - 24, F.lit(0)), F.least(c["start"], F.lit(24))).alias("before"), part(c["start"], c["end"] - c["start"]).alias("value"), part(c["end"], F.lit(8)).alias("after"))).alias("seen")))
+    return _exploded(rows, cut, id_col).select(F.xxhash64(id_col, "c.start", "c.kind").alias("h"), "c.kind", "c.features", "c.label", "c.seen")
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id") -> Detector:
     """Fits the trees on all labelled candidates of all documents, their rewritten forms and the examples.
 
@@ -209,13 +228,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id") -> Detector:
     a large corpus doesn't drown them. A quarter of the rows, by a hash of document and place,
     is kept aside; a rising fit to these turns scores into probabilities, which set each kind's threshold.
     """
-    rows = with_candidates(docs.select(id_col, "text")).where(F.size("candidates") > 0)
-    part = lambda start, n: F.substr("__text", (start + 1).cast("int"), n.cast("int"))
-    kept = F.transform("candidates", lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["features"].alias("features"), F.when(_on_base(c), 1.0).when(refused(c["kind"], c["features"]) | F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])), 0.0).alias("label"), c["end"].alias("end")))
-    known = F.filter(kept, lambda c: c["label"].isNotNull())
-    cut = F.transform(known, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["features"].alias("features"), c["label"].alias("label"), F.when(c["label"] > 0, F.struct(part(F.greatest(c["start"] - 24, F.lit(0)), F.least(c["start"], F.lit(24))).alias("before"), part(c["start"], c["end"] - c["start"]).alias("value"), part(c["end"], F.lit(8)).alias("after"))).alias("seen")))
-    rows = rows.select(id_col, F.explode(cut).alias("c")).select(F.xxhash64(id_col, "c.start", "c.kind").alias("h"), "c.kind", "c.features", "c.label", "c.seen")
-    found = written(rows, "pii-candidates").withColumn("n", F.lit(1.0))
+    found = written(_labelled(docs, id_col), "pii-candidates").withColumn("n", F.lit(1.0))
     total, shown = found.count(), examples()
     if not total:
         return Detector(None, (2.0,) * len(KINDS))

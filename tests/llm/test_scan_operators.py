@@ -104,6 +104,14 @@ class TestPii:
         counts = {(r["label"], r["big"]): (r["n"], r["rows"]) for r in seen[-1].where("kind = 0").groupBy("label", (F.col("n") > 1000).alias("big")).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
         assert sum(n for (label, _), (n, _) in counts.items() if label == 1) >= 42_000 and sum(rows for _, rows in counts.values()) < 500
 
+    def test_plans_name_each_step_once(self, docs, spark):
+        """A filter on the array of candidates would stand in the plan with all steps below it, time and again."""
+        made = spark.createDataFrame([("call ", "+1 415 555 0100", " now", 3)], "before string, value string, after string, kind int").withColumn("n", F.lit(1.0))
+        made = made.select("before", pii.rewritten(F.col("kind"), F.col("value")).alias("value"), "after", "kind", "n")
+        for rows in (pii._made(made), pii._labelled(docs, "doc_id")):
+            assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 50_000
+        assert pii._made(made).select("kind", "label").collect() == [(3, 1.0)]
+
     def test_redaction(self, docs, spark):
         clean = pii.redact(docs, pii.Detector(None, (2.0,) * 4))
         assert clean.columns == docs.columns and clean.dtypes == docs.dtypes

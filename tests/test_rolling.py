@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -77,3 +78,10 @@ def test_all_factors_carry_no_family_through_the_ranks_of_a_day(spark, tables):
     else:
         raise AssertionError("no rank of a day")
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") >= 2
+
+
+def test_halves_round_as_sql_does(spark):
+    """Values whose decimal text and whose scaled value lie on different sides of a half."""
+    values = [46.2868125, 64.5338125, 0.1478125, 51.2258125, -46.2868125, 0.1478125 - 2**-55, 1.0000005, -2.5e-7, 4e303, None] + [k + (2 * k + 1) / 2e6 for k in range(400)]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double").orderBy("i").select(expr.rounded("x", 6)).collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [values]).fetchall()]

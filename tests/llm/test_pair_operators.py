@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -159,6 +161,69 @@ def test_correlated_vectors_equal_brute_force(spark, monkeypatch):
     assert got == {i: (linked[i].sum(), names[i], names[i] == i) for i in range(900)}
 
 
+def _two_blocks(rows, dim=64):
+    rnd = np.random.default_rng(8)
+    unit = rnd.normal(size=(2 * rows, dim)).astype(np.float32)
+    unit[rows : rows + 40] = unit[:40] + 0.01 * rnd.normal(size=(40, dim))
+    return unit, pa.table({"id": np.arange(2 * rows)[::-1], "copies": np.full(2 * rows, 2), "vector": pa.array(list(unit), pa.list_(pa.float32())), "side": np.repeat([1, 2], rows)})
+
+
+def test_blocks_are_compared_without_a_matrix_of_them():
+    """Two blocks of 16,384 vectors: a byte a pair would be 268 MB."""
+    _, group = _two_blocks(16_384)
+    tracemalloc.start()
+    got = vectors._compared(0.95)(group).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+    assert sorted((r["id"], r["n"], r["root"]) for r in got) == sorted((32_767 - k - extra, 2, 16_383 - k) for k in range(40) for extra in (0, 16_384))
+
+
+def test_blocks_of_dense_links_join_what_is_kept(monkeypatch):
+    monkeypatch.setattr(vectors, "KEPT_LINKS", 50)
+    monkeypatch.setattr(vectors, "PRODUCT_ROWS", 8)
+    monkeypatch.setattr(vectors, "PRODUCT_COLUMNS", 16)
+    rnd = np.random.default_rng(9)
+    for side in (np.repeat([1, 2], 90), np.full(180, 3)):
+        unit = rnd.normal(size=(180, 3))
+        group = pa.table({"id": np.arange(180), "copies": np.ones(180, np.int64), "vector": pa.array(list(unit), pa.list_(pa.float64())), "side": side})
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+        linked = (unit @ unit.T >= 0.95) & ((side[:, None] != side[None, :]) | (side[0] == 3))
+        np.fill_diagonal(linked, False)
+        names = _groups(range(180), list(zip(*np.nonzero(linked), strict=True)))
+        got = {r["id"]: (r["n"], r["root"]) for r in vectors._compared(0.95)(group).to_pylist()}
+        assert got == {i: (linked[i].sum(), names[i]) for i in range(180) if linked[i].any()}
+
+
+def test_a_vector_goes_to_few_blocks():
+    """Copies of a vector that travel to be compared: 13 blocks until 400,000 vectors of 64 components, then one for 32,768."""
+    for n, dim, most in ((50_000, 64, 13), (400_000, 64, 13), (4_000_000, 64, 123), (400_000, 2048, 391)):
+        assert -(-n // vectors.block_size(n, dim)[1]) <= most
+
+
+def test_a_guest_of_many_cells_stands_once():
+    """Vectors without structure are guests of most cells: 2,000 of them came back 199,104 times."""
+    rnd = np.random.default_rng(10)
+    rows = pd.DataFrame({"id": np.arange(2000), "copies": 1, "vector": list(rnd.normal(size=(2000, 64))), "cell": "", "guest": np.int32(0)})
+    centres = rnd.normal(size=(256, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    pieces = list(vectors._assigned(rows, centres, 0.95))
+    assert max(map(len, pieces)) <= vectors.PRODUCT_ROWS and list(pd.concat(pieces)["id"]) == list(range(2000))
+    row, cell, home = vectors.cells_of(vectors._units(rows["vector"]), centres)
+    assert len(row) > 150_000 and [(i, c) for i, cells in enumerate(pd.concat(pieces)["cells"]) for c in cells] == list(zip(row, cell, strict=True))
+    assert list(pd.concat(pieces)["home"][row]) == list(home)
+
+
+def test_cells_that_save_little_are_none():
+    rnd = np.random.default_rng(11)
+    unit = rnd.normal(size=(8000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert len(vectors.fitted_cells(unit, 10_000_000)) == 1
+    near = unit[rnd.integers(0, 64, 8000)] + 0.01 * rnd.normal(size=(8000, 64))
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    assert len(vectors.fitted_cells(near, 1_000_000)) > 10
+
+
 def test_exact_boundary_of_the_jaccard_limit(spark):
     words = [f"a{i}" for i in range(13)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:12])), (3, " ".join(words[:11])), (4, " ".join(words[:10]))], "doc_id long, text string")
